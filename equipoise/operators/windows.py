@@ -61,6 +61,12 @@ def nth_value(df: DataFrame, by: list[str], value: str, order: list[Column], n:
     return attach(df, nth, by, "left")
 
 
+def ratio_over(value: Column, window) -> Column:
+    """RATIO_TO_REPORT as a plain window, for groups of known small size (rows of a report)."""
+    number = value.cast("double")
+    return F.try_divide(number, F.nullif(F.sum(number).over(window), F.lit(0.0)))
+
+
 def ratio_to_report(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
     """Share of the group total as DOUBLE; a zero total gives NULL.
 
