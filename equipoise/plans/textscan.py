@@ -2,8 +2,7 @@
 
 The corpus is a table (path, context, text). All work is per text, inside the JVM and without a
 shuffle: comments and literals are blanked at equal length so offsets still point into the
-original, each rule's matches are found in one pass, and only texts with a match pay for line
-numbers.
+original, one pass lists the functions a text calls, and only texts with a match pay for positions.
 """
 
 from __future__ import annotations
@@ -54,7 +53,7 @@ def _running(values: Column) -> Column:
     return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
 
 
-def located(text: Column, haystack: Column, pattern: Column) -> Column:
+def located(haystack: Column, pattern: Column) -> Column:
     """Array of (start, line, size) of every match of ``pattern``, offsets 0-based, lines 1-based."""
     found = F.regexp_extract_all(haystack, pattern, F.lit(0))
     pieces = F.split(F.regexp_replace(haystack, pattern, F.concat(F.lit(_MARK), F.lit("$0"))), _MARK, -1)
@@ -80,33 +79,48 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     # Java's U flag gives \w, \b and \s the Unicode meaning the patterns were written for.
     flags = "(?iuUm)" if context == "yaml" else "(?iuU)"
     rules = rules_for(context)
-    if context == "yaml":
-        prepared = texts.select("path", "text", F.translate("text", _MARK, " ").alias("code"), F.lit(None).cast("string").alias("stringy"), F.lit(None).cast("string").alias("template"))
-    else:
-        prepared = texts.select(
-            "path", "text", mask_sql(F.col("text")).alias("code"), mask_sql(F.col("text"), keep_strings=True).alias("stringy"),
-            mask_templates(F.col("text")).alias("template"),
-        )
-    hay = lambda r: F.col("stringy" if r.keep_strings and context != "yaml" else "code")
-    # One literal-pattern test per rule decides which (text, rule) pairs need positions.
-    fired = F.array_compact(F.array(*[F.when(hay(r).rlike(flags + r.pattern), F.lit(i)) for i, r in rules]))
-    pairs = prepared.select("path", "text", "code", "stringy", "template", F.explode(fired).alias("rule_no"))
+    sql = context != "yaml"
+    prepared = texts.select(
+        "path", "text", (mask_sql(F.col("text")) if sql else F.translate("text", _MARK, " ")).alias("code")
+    )
+    # One pass lists the functions a text calls; a rule made of names is then a set lookup.
+    called = F.transform(F.regexp_extract_all("code", F.lit(r"(?U)(\w+)\s*\("), F.lit(1)), F.lower)
+    prepared = prepared.withColumns(
+        {"called": F.array_distinct(called) if sql else F.lit(None).cast("array<string>"), "lowered": F.lower("code")}
+    )
+
+    def fires(rule) -> Column:
+        tests = []
+        if rule.calls:
+            tests.append(F.arrays_overlap("called", F.array(*[F.lit(n) for n in rule.calls])))
+        if rule.extra:
+            # A plain substring test first; the literals are masked differently only where asked.
+            code = mask_sql(F.col("text"), keep_strings=True) if rule.keep_strings else F.col("code")
+            where = F.lower("text") if rule.keep_strings else F.col("lowered")
+            present = reduce(lambda a, b: a | b, [where.contains(n) for n in rule.needs], F.lit(not rule.needs))
+            tests.append(F.when(present, code.rlike(flags + rule.extra)).otherwise(False))
+        return reduce(lambda a, b: a | b, tests)
+
+    fired = F.array_compact(F.array(*[F.when(fires(r), F.lit(i)) for i, r in rules]))
+    pairs = prepared.select("path", "text", "code", F.explode(fired).alias("rule_no"))
     table = F.array(
         *[
             F.struct(
                 F.lit(flags + r.pattern).alias("pattern"), F.lit(r.id).alias("rule"), F.lit(r.construct).alias("construct"),
                 F.lit(r.klass).alias("class"), F.lit(r.weight).alias("counts"),
-                F.lit(r.skip_templates and context != "yaml").alias("skip"),
-                F.lit(r.keep_strings and context != "yaml").alias("keep"),
+                F.lit(r.skip_templates).alias("skip"), F.lit(r.keep_strings).alias("keep"),
             )
             for r in RULES
         ]
     )
-    placed = pairs.withColumn("r", F.get(table, F.col("rule_no"))).withColumn(
-        "haystack", F.when(F.col("r.keep"), F.col("stringy")).otherwise(F.col("code"))
+    # Only pairs with a match pay for positions, and only these are masked again where a rule asks for it.
+    haystack = F.when(F.col("r.keep"), mask_sql(F.col("text"), keep_strings=True)).otherwise(F.col("code"))
+    template = F.when(F.col("r.skip") & F.lit(sql), mask_templates(F.col("text")))
+    placed = pairs.withColumn("r", F.get(table, F.col("rule_no"))).select(
+        "path", "text", "r", haystack.alias("haystack"), template.alias("template")
     )
-    hits = placed.select("path", "text", "template", "r", F.inline(located(F.col("text"), F.col("haystack"), F.col("r.pattern"))))
-    in_template = F.col("r.skip") & (F.substring(F.col("template"), F.col("start") + 1, F.lit(1)) == _TEMPLATE)
+    hits = placed.select("path", "text", "template", "r", F.inline(located(F.col("haystack"), F.col("r.pattern"))))
+    in_template = F.substring(F.col("template"), F.col("start") + 1, F.lit(1)) == _TEMPLATE
     shown = F.trim(F.regexp_replace(F.substring(F.col("text"), F.col("start") + 1, F.col("size")), r"(?U)\s+", " "))
     return hits.where(~F.coalesce(in_template, F.lit(False))).select(
         "path", F.col("r.rule").alias("rule"), F.col("r.construct").alias("construct"), F.col("r.class").alias("class"),
@@ -148,7 +162,7 @@ def regex_backslashes(corpus: DataFrame) -> DataFrame:
     pattern = r"(?isU)\bregexp_\w+\s*\([^)]{0,400}?'((?:[^']|'')*+)'"
     plain = F.translate("text", _MARK, " ")
     literals = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
-    pairs = F.arrays_zip(located(F.col("text"), plain, F.lit(pattern)).alias("at"), literals.alias("literal"))
+    pairs = F.arrays_zip(located(plain, F.lit(pattern)).alias("at"), literals.alias("literal"))
     return (
         corpus.where(F.col("text").contains("\\"))
         .select("path", F.explode(pairs).alias("p"))
