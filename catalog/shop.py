@@ -25,31 +25,33 @@ def money(column) -> Column:
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t = lambda name: table(spark, sf_dir, name)
-    people = t("customer").select((F.col("c_custkey") + 1).alias("id"))
-    goods = t("part").select(
-        (F.col("p_partkey") + 1).alias("id"),
-        (money("p_retailprice") * 100).cast("bigint").alias("price_cents"),
-        F.col("p_name").alias("product_name"),
-    )
-    heads = t("orders").select(
-        (F.col("o_orderkey") + 1).alias("id"),
-        (F.col("o_custkey") + 1).alias("customer_id"),
-        add_to_timestamp("second", F.col("o_orderkey") % 86_400, F.col("o_orderdate")).alias("order_ts"),
-    )
-    clicks = t("events").select(
-        (F.col("event_id") + 1).alias("id"), (F.col("user_id") + 1).alias("customer_id"), F.col("ts").alias("event_ts")
-    )
-    n_products = goods.count()  # footer row counts only
-    out = {
-        "customers": synthetic.customers(people),
-        "customer_contacts": synthetic.customer_contacts(people),
-        "products": synthetic.products(goods),
-        "orders": synthetic.orders(heads),
-        "web_events": synthetic.web_events(clicks, n_products=n_products),
+    n_products = lambda: t("part").count()  # noqa: E731  footer row counts only
+
+    def people():
+        return t("customer").selectExpr("c_custkey + 1 as id")
+
+    def goods():
+        cents = "cast(cast(p_retailprice as decimal(12,2)) * 100 as bigint) as price_cents"
+        return t("part").selectExpr("p_partkey + 1 as id", cents, "p_name as product_name")
+
+    def heads():
+        moment = add_to_timestamp("second", F.col("o_orderkey") % 86_400, F.col("o_orderdate"))
+        return t("orders").select((F.col("o_orderkey") + 1).alias("id"), (F.col("o_custkey") + 1).alias("customer_id"), moment.alias("order_ts"))
+
+    def clicks():
+        return t("events").selectExpr("event_id + 1 as id", "user_id + 1 as customer_id", "ts as event_ts")
+
+    recipes = {
+        "customers": lambda: synthetic.customers(people()),
+        "customer_contacts": lambda: synthetic.customer_contacts(people()),
+        "products": lambda: synthetic.products(goods()),
+        "orders": lambda: synthetic.orders(heads()),
+        "web_events": lambda: synthetic.web_events(clicks(), n_products=n_products()),
+        "order_items": lambda: synthetic.order_items(made["orders"], made["products"], n_products()),
+        "payments": lambda: synthetic.payments(made["orders"], made["order_items"]),
     }
-    out["order_items"] = synthetic.order_items(out["orders"], out["products"], n_products)
-    out["payments"] = synthetic.payments(out["orders"], out["order_items"])
-    return out
+    made = retail.OnDemand(recipes, lambda recipe: recipe())
+    return made
 
 
 def models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -327,19 +327,36 @@ def rpt_monthly_revenue(orders: DataFrame) -> DataFrame:
     )
 
 
-def build(sources: dict[str, DataFrame], as_of: date = AS_OF) -> dict[str, DataFrame]:
-    """All ten models from the six sources they read."""
-    m: dict[str, DataFrame] = {}
-    m["stg_customers"] = stg_customers(sources["customers"], as_of)
-    m["stg_products"] = stg_products(sources["products"])
-    m["stg_orders"] = stg_orders(sources["orders"])
-    m["stg_order_items"] = stg_order_items(sources["order_items"])
-    m["stg_payments"] = stg_payments(sources["payments"])
-    m["int_order_lines"] = int_order_lines(m["stg_order_items"], m["stg_orders"], m["stg_products"])
-    m["int_web_item_views"] = int_web_item_views(sources["web_events"], m["stg_products"])
+# How each model is made from its inputs; ``s`` are the sources, ``m`` the models.
+RECIPES = {
+    "stg_customers": lambda s, m, as_of: stg_customers(s["customers"], as_of),
+    "stg_products": lambda s, m, as_of: stg_products(s["products"]),
+    "stg_orders": lambda s, m, as_of: stg_orders(s["orders"]),
+    "stg_order_items": lambda s, m, as_of: stg_order_items(s["order_items"]),
+    "stg_payments": lambda s, m, as_of: stg_payments(s["payments"]),
+    "int_order_lines": lambda s, m, as_of: int_order_lines(m["stg_order_items"], m["stg_orders"], m["stg_products"]),
+    "int_web_item_views": lambda s, m, as_of: int_web_item_views(s["web_events"], m["stg_products"]),
     # The totals only need columns the staged lines already have, and only lines of an existing
     # order can join: reading them here saves the enrichment joins.
-    m["fct_orders"] = fct_orders(m["stg_orders"], m["stg_customers"], m["stg_order_items"], m["stg_payments"])
-    m["dim_customers"] = dim_customers(m["stg_customers"], m["fct_orders"], m["int_web_item_views"], as_of)
-    m["rpt_monthly_revenue"] = rpt_monthly_revenue(m["fct_orders"])
-    return m
+    "fct_orders": lambda s, m, as_of: fct_orders(m["stg_orders"], m["stg_customers"], m["stg_order_items"], m["stg_payments"]),
+    "dim_customers": lambda s, m, as_of: dim_customers(m["stg_customers"], m["fct_orders"], m["int_web_item_views"], as_of),
+    "rpt_monthly_revenue": lambda s, m, as_of: rpt_monthly_revenue(m["fct_orders"]),
+}
+
+
+class OnDemand(dict):
+    """Frames made the first time they are asked for."""
+
+    def __init__(self, recipes: dict, make):
+        super().__init__()
+        self._recipes, self._make = recipes, make
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._make(self._recipes[name])
+        return self[name]
+
+
+def build(sources, as_of: date = AS_OF) -> dict[str, DataFrame]:
+    """The ten models, each planned when first used; inputs are planned with it."""
+    models = OnDemand(RECIPES, lambda recipe: recipe(sources, models, as_of))
+    return models

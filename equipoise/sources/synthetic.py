@@ -14,12 +14,10 @@ orders, failed payments before a success, anonymous events, and events without i
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.functions.numbers import line_amount, try_to_number
+from equipoise.functions.numbers import line_amount
 
 FIRST_NAMES = ("Ada", "Boris", "Cleo", "Dries", "Elin", "Faro", "Gwen", "Hidde", "Ilse", "Joris", "Kaat", "Loek")
 LAST_NAMES = ("van Dam", "Berg", "Claes", "Duval", "Egger", "Fabre", "Groot", "Hansen", "Ibsen", "Jonker")
@@ -41,265 +39,234 @@ def ids(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n + 1)
 
 
-def draw(purpose: str, *key: Column, n: int) -> Column:
-    """A number in [0, n) that depends on the purpose and the key only."""
-    text = F.concat_ws(":", F.lit(purpose), *[k.cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % n
-
-
-def pick(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+# The helpers give SQL expressions: one parse per column keeps plan building cheap.
 
 
-def bands(value: Column, limits: list[tuple[int, object]], otherwise) -> Column:
-    """Weighted choice: the first limit above the draw wins."""
-    branch = reduce(lambda acc, lim: acc.when(value < lim[0], lim[1]), limits[1:], F.when(value < limits[0][0], limits[0][1]))
-    return branch.otherwise(otherwise)
+def draw(purpose: str, *key: str, n: int) -> str:
+    """A number in [0, n) that depends on the purpose and the key only."""
+    text = f"concat_ws(':', '{purpose}', {', '.join(f'string({k})' for k in key)})"
+    return f"(bigint(conv(substring(md5({text}), 1, 15), 16, 10)) % {n})"
 
 
-def every(key: Column, k: int) -> Column:
-    return key % k == 0
+def pick(values: tuple, index: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), int({index}) + 1)"
 
 
-def _given(df: DataFrame, name: str, drawn: Column) -> Column:
-    return F.col(name) if name in df.columns else drawn
+def pick_drawn(values: tuple, purpose: str, *key: str) -> str:
+    return pick(values, draw(purpose, *key, n=len(values)))
 
 
-def _seconds_after(start: str, seconds: Column) -> Column:
-    zero = F.lit(0)
-    return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+def bands(value: str, limits: list[tuple[int, object]], otherwise) -> str:
+    """Weighted choice: the first limit above the draw wins."""
+    return "case " + " ".join(f"when {value} < {top} then {then}" for top, then in limits) + f" else {otherwise} end"
 
 
-def _later(ts: Column, seconds) -> Column:
-    zero = F.lit(0)
-    amount = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return ts + F.make_dt_interval(zero, zero, zero, amount.cast("decimal(18,6)"))
+def after(ts: str, seconds: str) -> str:
+    return f"({ts} + make_dt_interval(0, 0, 0, cast({seconds} as decimal(18,6))))"
 
 
-def _number(value: Column) -> Column:
-    return value.cast("decimal(38,0)")
+def json_object(*pairs: tuple[str, str]) -> str:
+    """JSON object text from already encoded values; a NULL value leaves its key out."""
+    parts = ", ".join(f"""concat('"{name}":', {value})""" for name, value in pairs)
+    return f"concat('{{', concat_ws(',', {parts}), '}}')"
 
 
-def _json(*pairs: tuple[str, Column]) -> Column:
-    """JSON object text from already encoded values; a NULL value leaves its key out."""
-    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in pairs]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def quoted(value: str) -> str:
+    return f"""concat('"', {value}, '"')"""
 
 
-def _quoted(value: Column) -> Column:
-    return F.concat(F.lit('"'), value, F.lit('"'))
+def _given(df: DataFrame, name: str, drawn: str) -> str:
+    return name if name in df.columns else drawn
 
 
 def customers(people: DataFrame) -> DataFrame:
-    i = F.col("id")
-    person = F.when(every(i, 50) & (i > 25), i - 25).otherwise(i)
-    second = person != i
-    first = pick(FIRST_NAMES, draw("first_name", person, n=len(FIRST_NAMES)))
-    last = pick(LAST_NAMES, draw("last_name", person, n=len(LAST_NAMES)))
-    clean = F.concat(
-        F.lower(first), F.lit("."), F.replace(F.lower(last), F.lit(" "), F.lit("")), person.cast("string"),
-        F.lit("@"), pick(DOMAINS, draw("domain", person, n=len(DOMAINS))),
+    who = people.selectExpr("id", "if(id % 50 = 0 and id > 25, id - 25, id) as person")
+    drawn = who.selectExpr(
+        "id",
+        "person",
+        f"{pick_drawn(FIRST_NAMES, 'first_name', 'person')} as first",
+        f"{pick_drawn(LAST_NAMES, 'last_name', 'person')} as last",
+        f"{pick_drawn(DOMAINS, 'domain', 'person')} as domain",
+        f"{pick_drawn(COUNTRIES, 'country', 'person')} as country",
+        f"{after('timestamp_ntz \'2023-01-01 00:00:00\'', draw('signup', 'person', n=912 * DAY))} as signup",
     )
-    email = (
-        F.when(second & every(i, 100), F.upper(clean))
-        .when(second, F.concat(F.lit("  "), clean, F.lit(" ")))
-        .when(every(i, 37), F.initcap(clean))
-        .otherwise(clean)
-    )
-    country = pick(COUNTRIES, draw("country", person, n=len(COUNTRIES)))
-    signup = _seconds_after("2023-01-01 00:00:00", draw("signup", person, n=912 * DAY))
-    return people.select(
-        _number(i).alias("customer_id"),
-        F.when(every(i, 23), F.concat(F.lit(" "), first, F.lit(" "))).otherwise(first).alias("first_name"),
-        F.when(every(i, 31), F.concat(last, F.lit("  "))).otherwise(last).alias("last_name"),
-        email.alias("email"),
-        F.when(every(i, 17), F.lower(country)).otherwise(country).alias("country_code"),
-        F.when(second, _later(signup, (F.lit(30) + i % 200) * DAY)).otherwise(signup).alias("signup_ts"),
-        F.when(~every(i, 13), draw("opt_in", i, n=3) == 0).alias("marketing_opt_in"),
+    mailed = drawn.selectExpr("*", "concat(lower(first), '.', replace(lower(last), ' ', ''), person, '@', domain) as clean")
+    return mailed.selectExpr(
+        "cast(id as decimal(38,0)) as customer_id",
+        "if(id % 23 = 0, concat(' ', first, ' '), first) as first_name",
+        "if(id % 31 = 0, concat(last, '  '), last) as last_name",
+        "case when person <> id and id % 100 = 0 then upper(clean) when person <> id then concat('  ', clean, ' ') "
+        "when id % 37 = 0 then initcap(clean) else clean end as email",
+        "if(id % 17 = 0, lower(country), country) as country_code",
+        f"if(person <> id, {after('signup', f'(30 + id % 200) * {DAY}')}, signup) as signup_ts",
+        f"if(id % 13 = 0, null, {draw('opt_in', 'id', n=3)} = 0) as marketing_opt_in",
     )
 
 
 def customer_contacts(people: DataFrame) -> DataFrame:
-    i = F.col("id")
-    digits = lambda purpose, n, width: F.lpad(draw(purpose, i, n=n).cast("string"), width, "0")
-    check = F.lpad((draw("iban_check", i, n=90) + 10).cast("string"), 2, "0")
-    return people.select(
-        _number(i).alias("customer_id"),
-        F.when(~every(i, 19), F.concat(F.lit("+31 6 "), digits("phone", 10**8, 8))).alias("phone"),
-        F.concat(F.lit("NL"), check, F.lit("DEMO"), digits("iban", 10**10, 10)).alias("iban"),
-        F.date_add(F.lit("1950-01-01").cast("date"), draw("dob", i, n=18_250).cast("int")).alias("date_of_birth"),
+    digits = lambda purpose, n, width: f"lpad(string({draw(purpose, 'id', n=n)}), {width}, '0')"
+    return people.selectExpr(
+        "cast(id as decimal(38,0)) as customer_id",
+        f"if(id % 19 = 0, null, concat('+31 6 ', {digits('phone', 10**8, 8)})) as phone",
+        f"concat('NL', lpad(string({draw('iban_check', 'id', n=90)} + 10), 2, '0'), 'DEMO', {digits('iban', 10**10, 10)}) as iban",
+        f"date_add(date '1950-01-01', int({draw('dob', 'id', n=18_250)})) as date_of_birth",
     )
 
 
-def sku_of(product: Column) -> Column:
-    code = _category(product)
-    number = F.lpad(product.cast("string"), F.greatest(F.lit(5), F.length(product.cast("string"))), F.lit("0"))
-    return F.concat(F.when(every(product, 11), F.lower(code)).otherwise(code), F.lit("-"), number)
-
-
-def _category(product: Column) -> Column:
-    return pick(CATEGORIES, draw("category", product, n=len(CATEGORIES)))
+def sku_of(product: str) -> str:
+    code = pick_drawn(CATEGORIES, "category", product)
+    number = f"lpad(string({product}), greatest(5, length(string({product}))), '0')"
+    return f"concat(if({product} % 11 = 0, lower({code}), {code}), '-', {number})"
 
 
 def products(items: DataFrame) -> DataFrame:
-    i = F.col("id")
-    raw = _given(items, "price_cents", draw("price", i, n=25_000) + 199)
-    # 8k + 4 cents: an odd quantity at 12.5 % lands on exactly half a cent.
-    cents = F.when(every(i, 3), raw - raw % 8 + 4).otherwise(raw)
-    name = F.concat(
-        pick(STYLES, draw("style", i, n=len(STYLES))), F.lit(" "), pick(GOODS, draw("good", i, n=len(GOODS))),
-        F.when(every(i, 13), F.lit(" ")).otherwise(F.lit("")),
+    name = (
+        f"concat({pick_drawn(STYLES, 'style', 'id')}, ' ', {pick_drawn(GOODS, 'good', 'id')}, if(id % 13 = 0, ' ', ''))"
+    )
+    raw = items.selectExpr(
+        "id",
+        f"{_given(items, 'price_cents', draw('price', 'id', n=25_000) + ' + 199')} as raw",
+        f"{_given(items, 'product_name', name)} as product_name",
     )
-    price = (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(10,2)")
-    return items.select(
-        _number(i).alias("product_id"),
-        sku_of(i).alias("sku"),
-        _given(items, "product_name", name).alias("product_name"),
-        _category(i).alias("category_code"),
-        F.when(~every(i, 37), price).alias("unit_price"),
-        (~every(i, 10)).alias("is_active"),
+    # 8k + 4 cents: an odd quantity at 12.5 % lands on exactly half a cent.
+    return raw.selectExpr(
+        "cast(id as decimal(38,0)) as product_id",
+        f"{sku_of('id')} as sku",
+        "product_name",
+        f"{pick_drawn(CATEGORIES, 'category', 'id')} as category_code",
+        "if(id % 37 = 0, null, cast(cast(if(id % 3 = 0, raw - raw % 8 + 4, raw) as decimal(12,0)) * 0.01 as decimal(10,2))) as unit_price",
+        "id % 10 <> 0 as is_active",
     )
 
 
 def orders(heads: DataFrame, buyers: int = 1850) -> DataFrame:
-    i = F.col("id")
-    clean = bands(draw("status", i, n=20), [(2, "placed"), (5, "shipped"), (17, "delivered"), (19, "cancelled")], "returned")
-    status = (
-        F.when(every(i, 7), F.upper(clean))
-        .when(every(i, 11), F.initcap(clean))
-        .when(every(i, 29), F.concat(clean, F.lit(" ")))
-        .otherwise(clean)
+    start = after("timestamp_ntz '2025-01-01 00:00:00'", draw("order_ts", "id", n=546 * DAY))
+    drawn = heads.selectExpr(
+        "id",
+        f"{_given(heads, 'customer_id', draw('customer', 'id', n=buyers) + ' + 1')} as buyer",
+        f"{_given(heads, 'order_ts', start)} as order_ts",
+        f"{draw('status', 'id', n=20)} as st",
+        f"{draw('shipping', 'id', n=10)} as ship",
+        f"{draw('coupon', 'id', n=10)} as cpn",
+        f"{draw('channel', 'id', n=20)} as chan",
+    )
+    stated = drawn.selectExpr(
+        "*", bands("st", [(2, "'placed'"), (5, "'shipped'"), (17, "'delivered'"), (19, "'cancelled'")], "'returned'") + " as clean"
     )
-    ship = draw("shipping", i, n=10)
-    cost = F.when(every(i, 97), "n/a").otherwise(bands(ship, [(7, "4.95"), (8, "0.00")], "9.95"))
-    shipping = _json(("method", F.when(ship < 8, '"standard"').otherwise('"express"')), ("cost", _quoted(cost)))
-    coupon = bands(draw("coupon", i, n=10), [(6, None), (8, "null")], _quoted(pick(COUPONS, i % len(COUPONS))))
-    meta = _json(
-        ("coupon", coupon),
-        ("device", F.when(~every(i, 25), _quoted(pick(DEVICES, draw("device", i, n=len(DEVICES)))))),
-        ("shipping", F.when(~every(i, 40), shipping)),
-        ("gift", F.when(~every(i, 9), (draw("gift", i, n=10) == 0).cast("string"))),
+    cost = "case when id % 97 = 0 then 'n/a' when ship < 7 then '4.95' when ship < 8 then '0.00' else '9.95' end"
+    shipping = json_object(("method", """if(ship < 8, '"standard"', '"express"')"""), ("cost", quoted(cost)))
+    meta = json_object(
+        ("coupon", bands("cpn", [(6, "null"), (8, "'null'")], quoted(pick(COUPONS, f"id % {len(COUPONS)}")))),
+        ("device", f"if(id % 25 = 0, null, {quoted(pick_drawn(DEVICES, 'device', 'id'))})"),
+        ("shipping", f"if(id % 40 = 0, null, {shipping})"),
+        ("gift", f"if(id % 9 = 0, null, string({draw('gift', 'id', n=10)} = 0))"),
     )
-    return heads.select(
-        _number(i).alias("order_id"),
-        _number(_given(heads, "customer_id", draw("customer", i, n=buyers) + 1)).alias("customer_id"),
-        _given(heads, "order_ts", _seconds_after("2025-01-01 00:00:00", draw("order_ts", i, n=546 * DAY))).alias("order_ts"),
-        status.alias("status"),
-        bands(draw("channel", i, n=20), [(11, "web"), (17, "app")], "marketplace").alias("channel"),
-        meta.alias("order_meta"),
+    return stated.selectExpr(
+        "cast(id as decimal(38,0)) as order_id",
+        "cast(buyer as decimal(38,0)) as customer_id",
+        "order_ts",
+        "case when id % 7 = 0 then upper(clean) when id % 11 = 0 then initcap(clean) when id % 29 = 0 then concat(clean, ' ') "
+        "else clean end as status",
+        bands("chan", [(11, "'web'"), (17, "'app'")], "'marketplace'") + " as channel",
+        f"{meta} as order_meta",
     )
 
 
 def order_items(heads: DataFrame, catalogue: DataFrame, n_products: int = 150) -> DataFrame:
     """0-5 lines per order. A line is numbered within its order, so no global numbering is needed."""
-    count = F.when(every(F.col("order_id"), 499), 0).otherwise(
-        bands(draw("lines", F.col("order_id"), n=20), [(4, 1), (9, 2), (14, 3), (18, 4)], 5)
-    )
-    lines = (
-        heads.select("order_id", count.alias("n"))
-        .where("n > 0")
-        .select("order_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line_no"))
-    )
-    key = (F.col("order_id"), F.col("line_no"))
-    drawn = lines.select(
-        "order_id", "line_no",
-        _number(draw("product", *key, n=n_products) + 1).alias("product_id"),
-        _number(bands(draw("quantity", *key, n=20), [(12, 1), (16, 2), (19, 3)], 5)).alias("quantity"),
-        bands(draw("discount", *key, n=20), [(10, "0"), (13, "5"), (15, "10"), (17, "12.5"), (19, "15")], "33.33")
-        .cast("decimal(5,2)").alias("discount_pct"),
+    size = bands(draw("lines", "order_id", n=20), [(4, 1), (9, 2), (14, 3), (18, 4)], 5)
+    lines = heads.selectExpr("order_id", f"explode(sequence(1, {size})) as line_no").where("order_id % 499 <> 0")
+    key = ("order_id", "line_no")
+    drawn = lines.selectExpr(
+        "order_id",
+        "line_no",
+        f"cast({draw('product', *key, n=n_products)} + 1 as decimal(38,0)) as product_id",
+        f"cast({bands(draw('quantity', *key, n=20), [(12, 1), (16, 2), (19, 3)], 5)} as decimal(38,0)) as quantity",
+        f"{draw('discount', *key, n=20)} as cut",
     )
-    legacy = ((draw("legacy_price", F.col("product_id"), n=5000) + 500).cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(10,2)")
-    return drawn.join(catalogue.select("product_id", "unit_price"), "product_id").select(
-        _number(F.col("order_id") * 10 + F.col("line_no")).alias("order_item_id"),
-        _number(F.col("order_id")).alias("order_id"),
+    legacy = f"cast(cast({draw('legacy_price', 'product_id', n=5000)} + 500 as decimal(12,0)) * 0.01 as decimal(10,2))"
+    discount = bands("cut", [(10, "0"), (13, "5"), (15, "10"), (17, "12.5"), (19, "15")], "33.33")
+    return drawn.join(catalogue.select("product_id", "unit_price"), "product_id").selectExpr(
+        "cast(order_id * 10 + line_no as decimal(38,0)) as order_item_id",
+        "order_id",
         "product_id",
         "quantity",
-        F.coalesce("unit_price", legacy).alias("unit_price"),
-        "discount_pct",
+        f"coalesce(unit_price, {legacy}) as unit_price",
+        f"cast({discount} as decimal(5,2)) as discount_pct",
     )
 
 
 def payments(heads: DataFrame, items: DataFrame) -> DataFrame:
     """Attempts derived from the order total: maybe a failure, then a success, a refund if returned."""
-    totals = items.groupBy("order_id").agg(
-        F.sum(line_amount(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))).alias("items_amount")
-    )
-    cost = F.coalesce(try_to_number(F.get_json_object("order_meta", "$.shipping.cost"), 10, 2), F.lit(0))
+    line = line_amount(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))
+    totals = items.groupBy("order_id").agg(F.sum(line).alias("items_amount"))
     paid = (
-        heads.where(~every(F.col("order_id"), 20))
+        heads.where("order_id % 20 <> 0")
         .join(totals, "order_id")
-        .select(
-            "order_id", "order_ts", F.lower(F.trim("status")).alias("order_status"),
-            (F.col("items_amount") + cost).alias("total"), (draw("retry", F.col("order_id"), n=10) == 0).alias("failed_first"),
+        .selectExpr(
+            "order_id",
+            "order_ts",
+            "items_amount + coalesce(try_cast(get_json_object(order_meta, '$.shipping.cost') as decimal(10,2)), 0) as total",
+            "lower(trim(status)) = 'returned' as returned",
+            f"{draw('retry', 'order_id', n=10)} = 0 as failed_first",
         )
     )
-    failed, returned = F.col("failed_first"), F.col("order_status") == "returned"
-    attempt = lambda no, status, delay: F.struct(
-        F.lit(no).alias("no"), F.lit(status).alias("status"), delay.cast("bigint").alias("delay")
+    attempts = (
+        "array_compact(array(if(failed_first, struct(1 as no, 'failed' as status, 120 as delay), null), "
+        "struct(2 as no, 'success' as status, if(failed_first, 540, 180) as delay), "
+        f"if(returned, struct(3 as no, 'refunded' as status, {14 * DAY} as delay), null)))"
     )
-    attempts = F.array_compact(
-        F.array(
-            F.when(failed, attempt(1, "failed", F.lit(2 * 60))),
-            attempt(2, "success", F.when(failed, 9 * 60).otherwise(3 * 60)),
-            F.when(returned, attempt(3, "refunded", F.lit(14 * DAY))),
-        )
-    )
-    return paid.select("*", F.inline(attempts)).select(
-        _number(F.col("order_id") * 10 + F.col("no")).alias("payment_id"),
+    return paid.selectExpr("*", f"inline({attempts})").selectExpr(
+        "cast(order_id * 10 + no as decimal(38,0)) as payment_id",
         "order_id",
-        pick(METHODS, draw("method", F.col("order_id"), F.col("no"), n=len(METHODS))).alias("payment_method"),
-        _number(F.col("total") * 100).alias("amount_cents"),
+        f"{pick_drawn(METHODS, 'method', 'order_id', 'no')} as payment_method",
+        "cast(total * 100 as decimal(38,0)) as amount_cents",
         "status",
-        _later(F.col("order_ts"), F.col("delay")).alias("paid_ts"),
+        f"{after('order_ts', 'delay')} as paid_ts",
     )
 
 
 def web_events(clicks: DataFrame, n_customers: int = 2000, n_products: int = 150) -> DataFrame:
     """Events with an items array; about a third are anonymous, page views show no items."""
-    i = F.col("id")
-    kind = bands(draw("event_type", i, n=20), [(8, "page_view"), (14, "product_view"), (18, "add_to_cart")], "checkout")
-    extra = draw("item_count", i, n=4)
-    shown = (
-        F.when(F.col("event_type") == "page_view", 0)
-        .when(F.col("event_type") == "product_view", 1)
-        .when(F.col("event_type") == "add_to_cart", 1 + extra % 2)
-        .otherwise(1 + extra)
+    moment = after("timestamp_ntz '2025-01-01 00:00:00'", draw("event_ts", "id", n=546 * DAY))
+    drawn = clicks.selectExpr(
+        "id",
+        f"{_given(clicks, 'customer_id', draw('customer', 'id', n=n_customers) + ' + 1')} as visitor",
+        f"{_given(clicks, 'event_ts', moment)} as event_ts",
+        f"{draw('event_type', 'id', n=20)} as kind",
+        f"{draw('item_count', 'id', n=4)} as extra",
+        f"{draw('utm', 'id', n=10)} as origin",
     )
-
-    def item(no: Column) -> Column:
-        sku = sku_of(draw("product", i, no, n=n_products) + 1)
-        ghost = F.concat(F.lit("XX-"), F.lpad(draw("ghost_sku", i, no, n=100_000).cast("string"), 5, "0"))
-        spelled = (
-            F.when(draw("ghost", i, no, n=60) == 0, ghost)
-            .when(draw("case", i, no, n=7) == 0, F.lower(sku))
-            .otherwise(sku)
-        )
-        return _json(("sku", _quoted(spelled)), ("qty", (draw("qty", i, no, n=3) + 1).cast("string")))
-
-    listed = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda no: no <= F.col("n_items")), item)
-    items = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
-    silent = (F.col("event_type") == "page_view") & every(i, 2)
-    origin = draw("utm", i, n=10)
-    campaign = F.when(draw("campaign", i, n=4) == 0, "null").otherwise(
-        _quoted(pick(CAMPAIGNS, draw("campaign_name", i, n=len(CAMPAIGNS))))
+    typed = drawn.selectExpr(
+        "*", bands("kind", [(8, "'page_view'"), (14, "'product_view'"), (18, "'add_to_cart'")], "'checkout'") + " as event_type",
+        bands("kind", [(8, "0"), (14, "1"), (18, "1 + extra % 2")], "1 + extra") + " as n_items",
     )
-    utm = F.when(origin >= 2, _json(("source", _quoted(pick(SOURCES, F.greatest(origin - 2, F.lit(0))))), ("campaign", campaign)))
-    known = _given(clicks, "customer_id", draw("customer", i, n=n_customers) + 1)
-    payload = _json(
-        ("session_id", _quoted(F.concat(F.lit("s_"), (draw("session", i, n=900_000) + 100_000).cast("string")))),
-        ("items", F.when(~silent, items)),
-        ("utm", utm),
+    ghost = f"concat('XX-', lpad(string({draw('ghost_sku', 'id', 'no', n=100_000)}), 5, '0'))"
+    sku = sku_of("prod")
+    spelled = (
+        f"case when {draw('ghost', 'id', 'no', n=60)} = 0 then {ghost} "
+        f"when {draw('case', 'id', 'no', n=7)} = 0 then lower({sku}) else {sku} end"
     )
-    return (
-        clicks.withColumn("event_type", kind)
-        .withColumn("n_items", shown)
-        .select(
-            _number(i).alias("event_id"),
-            F.when(draw("anonymous", i, n=10) >= 3, _number(known)).alias("customer_id"),
-            _given(clicks, "event_ts", _seconds_after("2025-01-01 00:00:00", draw("event_ts", i, n=546 * DAY))).alias("event_ts"),
-            "event_type",
-            payload.alias("payload"),
-        )
+    item = json_object(("sku", quoted(spelled)), ("qty", f"string({draw('qty', 'id', 'no', n=3)} + 1)"))
+    shown = "filter(sequence(1, 4), no -> no <= n_items)"
+    numbered = f"transform({shown}, no -> struct(no, {draw('product', 'id', 'no', n=n_products)} + 1 as prod))"
+    listed = f"transform({numbered}, p -> {item.replace('prod', 'p.prod').replace('(no)', '(p.no)')})"
+    utm = json_object(
+        ("source", quoted(pick(SOURCES, "greatest(origin - 2, 0)"))),
+        ("campaign", f"if({draw('campaign', 'id', n=4)} = 0, 'null', {quoted(pick_drawn(CAMPAIGNS, 'campaign_name', 'id'))})"),
+    )
+    payload = json_object(
+        ("session_id", quoted(f"concat('s_', {draw('session', 'id', n=900_000)} + 100000)")),
+        ("items", f"if(event_type = 'page_view' and id % 2 = 0, null, concat('[', array_join({listed}, ','), ']'))"),
+        ("utm", f"if(origin < 2, null, {utm})"),
+    )
+    return typed.selectExpr(
+        "cast(id as decimal(38,0)) as event_id",
+        f"if({draw('anonymous', 'id', n=10)} < 3, null, cast(visitor as decimal(38,0))) as customer_id",
+        "event_ts",
+        "event_type",
+        f"{payload} as payload",
     )
 
 
