@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every query module imported."""
-    from catalog import q_retail, registry  # noqa: F401
+    from catalog import q_parity, q_retail, q_semantics, registry  # noqa: F401
 
     return registry

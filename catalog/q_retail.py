@@ -14,6 +14,7 @@ from equipoise.functions.dates import trunc_date
 from equipoise.functions.numbers import exact_avg, gross_amount, line_amount, rounded_ratio
 from equipoise.operators.windows import ratio_over
 from equipoise.plans import retail, retail_tests
+from equipoise.session import cut_lineage
 from equipoise.sources.schemas import SOURCE_SCHEMAS
 
 for _name in SOURCE_SCHEMAS:
@@ -74,8 +75,11 @@ def _tests_sql() -> str:
 
 @query("retail_tests", _tests_sql())
 def retail_test_results(spark, sf_dir):
-    sources = shop.sources(spark, sf_dir)
-    return retail_tests.run(sources, retail.build(sources))
+    sources = shop.sources(spark, sf_dir, stored=True)
+    models = retail.build(sources)
+    for mart in retail.MARTS:
+        models[mart] = cut_lineage(models[mart])
+    return retail_tests.run(sources, models)
 
 
 # --------------------------------------------------------------------------- on the order tables

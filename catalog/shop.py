@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.dates import add_to_timestamp
 from equipoise.plans import retail
+from equipoise.session import cut_lineage
 from equipoise.sources import synthetic
 
 
@@ -23,7 +24,8 @@ def money(column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("decimal(12,2)")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def sources(spark: SparkSession, sf_dir: str, *, stored: bool = False) -> dict[str, DataFrame]:
+    """The seven sources; ``stored`` writes each one once, for plans that read it many times."""
     t = lambda name: table(spark, sf_dir, name)
     n_products = lambda: t("part").count()  # noqa: E731  footer row counts only
 
@@ -50,9 +52,13 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "order_items": lambda: synthetic.order_items(made["orders"], made["products"], n_products()),
         "payments": lambda: synthetic.payments(made["orders"], made["order_items"]),
     }
-    made = retail.OnDemand(recipes, lambda recipe: recipe())
+    made = retail.OnDemand(recipes, lambda recipe: cut_lineage(recipe()) if stored else recipe())
     return made
 
 
-def models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return retail.build(sources(spark, sf_dir))
+def models(spark: SparkSession, sf_dir: str, *, stored: bool = False) -> dict[str, DataFrame]:
+    """The ten models; ``stored`` also writes the marts once, as the project materialises them."""
+    built = retail.build(sources(spark, sf_dir, stored=stored))
+    for mart in retail.MARTS if stored else ():
+        built[mart] = cut_lineage(built[mart])
+    return built

@@ -36,8 +36,9 @@ def _by_integers(num, den, scale, s1, s2):
     n = (F.abs(num) * _pow10(s1)).cast(integer) * _pow10(scale + s2)
     top, bottom = (n * 2 + d).cast(integer), F.nullif((d * 2).cast(integer), F.lit(0).cast(integer))
     whole = ((top - top % bottom).cast(integer) / bottom).cast(integer)
-    signed = F.when((num < 0) != (den < 0), -whole).otherwise(whole)
-    return (signed * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
+    # 37 - scale digits times a literal of that scale still fits 38 digits without losing scale.
+    signed = F.when((num < 0) != (den < 0), -whole).otherwise(whole).cast(f"decimal({37 - scale},0)")
+    return signed * F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale or 1},{scale})")
 
 
 def round_div(
