@@ -41,10 +41,8 @@ def _full_join_sql(left: str, right: str, keys: list[str], diffs: dict[str, str]
 
 def _wide(report, columns: list[str]) -> DataFrame:
     """Counts and per-column differences of one model as a single row."""
-    pivoted = report.columns.agg(
-        *[F.max(F.when(F.col("column_name") == c, F.col("differing_rows"))).cast("bigint").alias(f"diff_{c}") for c in columns]
-    )
-    return report.models.select("status", *_COUNTS).crossJoin(pivoted)  # one row each
+    differing = [f"cast(filter(compared, c -> c.column_name = '{c}')[0].differing_rows as bigint) as diff_{c}" for c in columns]
+    return report.summary.selectExpr("status", *_COUNTS, *differing)
 
 
 _DRIFT_SQL = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +33,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "equ
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session without that setting (a test on one machine) gets a temporary folder.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        return tempfile.mkdtemp(prefix="equipoise-")
+    return f"{named.rstrip('/')}/equipoise-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and continue from the files.
+    """Write ``df`` once to the shared folder and continue from the committed files.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a session without that
-    setting (a test on one machine) gets a temporary one.
+    Columnar files keep column pruning and filter push-down for what follows, the frame is
+    computed a single time, and a lost executor only re-reads.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="equipoise-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/data"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
