@@ -53,18 +53,34 @@ def _running(values: Column) -> Column:
     return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
 
 
-def located(haystack: Column, pattern: Column) -> Column:
-    """Array of (start, line, size) of every match of ``pattern``, offsets 0-based, lines 1-based."""
-    found = F.regexp_extract_all(haystack, pattern, F.lit(0))
-    pieces = F.split(F.regexp_replace(haystack, pattern, F.concat(F.lit(_MARK), F.lit("$0"))), _MARK, -1)
-    starts = _running(F.transform(pieces, F.length))
-    breaks = _running(F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))))
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.get(starts, i + 1).alias("start"), (F.get(breaks, i + 1) + 1).alias("line"), F.length(m).alias("size")
-        ),
+def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, **arrays: Column) -> DataFrame:
+    """One row per match of ``pattern``: ``start`` (0-based), ``line`` (1-based), ``size``.
+
+    ``kept`` columns pass through; ``arrays`` are extra per-match arrays. The text is cut before
+    every match, and running sums of the pieces' lengths and line breaks place the matches; each
+    step is a column of its own, so nothing is computed per match.
+    """
+    cut = df.select(
+        *kept, haystack.alias("_hay"), pattern.alias("_pattern"),
+    ).withColumns(
+        {
+            "_found": F.regexp_extract_all("_hay", F.col("_pattern"), F.lit(0)),
+            "_pieces": F.split(F.regexp_replace("_hay", F.col("_pattern"), F.lit(f"{_MARK}$0")), _MARK, -1),
+            **{f"_{n}": a for n, a in arrays.items()},
+        }
+    )
+    measured = cut.select(
+        *kept,
+        F.transform("_found", F.length).alias("_sizes"),
+        _running(F.transform("_pieces", F.length)).alias("_starts"),
+        _running(F.transform("_pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))).alias("_breaks"),
+        *[F.col(f"_{n}") for n in arrays],
     )
+    nth = lambda c: F.slice(c, F.lit(2), F.size("_sizes"))
+    zipped = F.arrays_zip(nth("_starts"), nth("_breaks"), F.col("_sizes"), *[F.col(f"_{n}") for n in arrays])
+    fields = ["start", "breaks", "size", *arrays]
+    rows = measured.select(*kept, F.inline(zipped)).toDF(*kept, *fields)
+    return rows.withColumn("line", F.col("breaks") + 1).drop("breaks")
 
 
 def scan(corpus: DataFrame) -> DataFrame:
@@ -115,11 +131,12 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     )
     # Only pairs with a match pay for positions, and only these are masked again where a rule asks for it.
     haystack = F.when(F.col("r.keep"), mask_sql(F.col("text"), keep_strings=True)).otherwise(F.col("code"))
-    template = F.when(F.col("r.skip") & F.lit(sql), mask_templates(F.col("text")))
-    placed = pairs.withColumn("r", F.get(table, F.col("rule_no"))).select(
-        "path", "text", "r", haystack.alias("haystack"), template.alias("template")
-    )
-    hits = placed.select("path", "text", "template", "r", F.inline(located(F.col("haystack"), F.col("r.pattern"))))
+    placed = pairs.withColumn("r", F.get(table, F.col("rule_no")))
+    if sql:
+        placed = placed.withColumn("template", F.when(F.col("r.skip"), mask_templates(F.col("text"))))
+    else:
+        placed = placed.withColumn("template", F.lit(None).cast("string"))
+    hits = located(placed, haystack, F.col("r.pattern"), "path", "text", "template", "r")
     in_template = F.substring(F.col("template"), F.col("start") + 1, F.lit(1)) == _TEMPLATE
     shown = F.trim(F.regexp_replace(F.substring(F.col("text"), F.col("start") + 1, F.col("size")), r"(?U)\s+", " "))
     return hits.where(~F.coalesce(in_template, F.lit(False))).select(
@@ -161,13 +178,10 @@ def regex_backslashes(corpus: DataFrame) -> DataFrame:
     """(path, line_no, literal): regex literals that contain a backslash, to be re-escaped by hand."""
     pattern = r"(?isU)\bregexp_\w+\s*\([^)]{0,400}?'((?:[^']|'')*+)'"
     plain = F.translate("text", _MARK, " ")
-    literals = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
-    pairs = F.arrays_zip(located(plain, F.lit(pattern)).alias("at"), literals.alias("literal"))
-    return (
-        corpus.where(F.col("text").contains("\\"))
-        .select("path", F.explode(pairs).alias("p"))
-        .where(F.col("p.literal").contains("\\"))
-        .select("path", F.col("p.at.line").alias("line_no"), F.substring(F.col("p.literal"), F.lit(1), F.lit(60)).alias("literal"))
+    literals = F.regexp_extract_all("_hay", F.lit(pattern), F.lit(1))
+    found = located(corpus.where(F.col("text").contains("\\")), plain, F.lit(pattern), "path", literal=literals)
+    return found.where(F.col("literal").contains("\\")).select(
+        "path", F.col("line").alias("line_no"), F.substring("literal", 1, 60).alias("literal")
     )
 
 
