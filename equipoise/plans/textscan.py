@@ -37,7 +37,9 @@ def mask_sql(text: Column, *, keep_strings: bool = False) -> Column:
     openers = "-/{$" if keep_strings else "-/{$'"
     opened = r"(?s)^(?:--|/\*|\{#|\$\$" + ("" if keep_strings else "|'") + ").*"
     blank = lambda s: F.when(s.rlike(opened), F.regexp_replace(s, r"[^\n]", " ")).otherwise(s)
-    return F.translate(F.array_join(F.transform(_segments(text, special, openers), blank), ""), _MARK + _TEMPLATE, "  ")
+    blanked = F.array_join(F.transform(_segments(text, special, openers), blank), "")
+    present = r"--|/\*|\{#|\$\$" + ("" if keep_strings else "|'")
+    return F.translate(F.when(text.rlike(present), blanked).otherwise(text), _MARK + _TEMPLATE, "  ")
 
 
 def mask_templates(text: Column) -> Column:
@@ -91,6 +93,28 @@ def scan(corpus: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bool(value: bool) -> str:
+    return str(value).lower()
+
+
+def _fires(rule, flags: str) -> str:
+    tests = []
+    if rule.calls:
+        tests.append(f"arrays_overlap(called, array({', '.join(_sql(n) for n in rule.calls)}))")
+    if rule.extra:
+        # Inside a literal the construct is looked for again on the hits, with literals kept.
+        where, lowered = ("text", "lowered_text") if rule.keep_strings else ("code", "lowered")
+        checks = [" or ".join(f"contains({lowered}, {_sql(n)})" for n in rule.needs)] if rule.needs else []
+        checks += [f"rlike({where}, {_sql(rule.gate)})"] if rule.gate else []
+        checks += [f"rlike({where}, {_sql(flags + rule.extra)})"]
+        tests.append("(" + " and ".join(f"({c})" for c in checks) + ")")
+    return " or ".join(tests)
+
+
 def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     # Java's U flag gives \w, \b and \s the Unicode meaning the patterns were written for.
     flags = "(?iuUm)" if context == "yaml" else "(?iuU)"
@@ -100,35 +124,20 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
         "path", "text", (mask_sql(F.col("text")) if sql else F.translate("text", _MARK, " ")).alias("code")
     )
     # One pass lists the functions a text calls; a rule made of names is then a set lookup.
-    called = F.transform(F.regexp_extract_all("code", F.lit(r"(?U)(\w+)\s*\("), F.lit(1)), F.lower)
-    prepared = prepared.withColumns(
-        {"called": F.array_distinct(called) if sql else F.lit(None).cast("array<string>"), "lowered": F.lower("code")}
+    calls = "array_distinct(transform(regexp_extract_all(code, r'(?U)\\b(\\w++)\\s*+\\(', 1), c -> lower(c)))"
+    prepared = prepared.selectExpr(
+        "*", "lower(code) as lowered", "lower(text) as lowered_text",
+        f"if(contains(code, '('), {calls}, array()) as called" if sql else "cast(array() as array<string>) as called",
     )
-
-    def fires(rule) -> Column:
-        tests = []
-        if rule.calls:
-            tests.append(F.arrays_overlap("called", F.array(*[F.lit(n) for n in rule.calls])))
-        if rule.extra:
-            # A plain substring test first; the literals are masked differently only where asked.
-            code = mask_sql(F.col("text"), keep_strings=True) if rule.keep_strings else F.col("code")
-            where = F.lower("text") if rule.keep_strings else F.col("lowered")
-            present = reduce(lambda a, b: a | b, [where.contains(n) for n in rule.needs], F.lit(not rule.needs))
-            tests.append(F.when(present, code.rlike(flags + rule.extra)).otherwise(False))
-        return reduce(lambda a, b: a | b, tests)
-
-    fired = F.array_compact(F.array(*[F.when(fires(r), F.lit(i)) for i, r in rules]))
-    pairs = prepared.select("path", "text", "code", F.explode(fired).alias("rule_no"))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(flags + r.pattern).alias("pattern"), F.lit(r.id).alias("rule"), F.lit(r.construct).alias("construct"),
-                F.lit(r.klass).alias("class"), F.lit(r.weight).alias("counts"),
-                F.lit(r.skip_templates).alias("skip"), F.lit(r.keep_strings).alias("keep"),
-            )
-            for r in RULES
-        ]
+    # Tests as one SQL expression: an alternative with fixed text is searched for that text first.
+    fired = ", ".join(f"if({_fires(r, flags)}, {i}, null)" for i, r in rules)
+    pairs = prepared.select("path", "text", "code", F.explode(F.expr(f"array_compact(array({fired}))")).alias("rule_no"))
+    entries = ", ".join(
+        f"struct({_sql(flags + r.pattern)} as pattern, '{r.id}' as rule, {_sql(r.construct)} as construct, '{r.klass}' as class, "
+        f"{_bool(r.weight)} as counts, {_bool(r.skip_templates)} as skip, {_bool(r.keep_strings)} as keep)"
+        for r in RULES
     )
+    table = F.expr(f"array({entries})")
     # Only pairs with a match pay for positions, and only these are masked again where a rule asks for it.
     haystack = F.when(F.col("r.keep"), mask_sql(F.col("text"), keep_strings=True)).otherwise(F.col("code"))
     placed = pairs.withColumn("r", F.get(table, F.col("rule_no")))
