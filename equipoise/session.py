@@ -36,9 +36,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "equ
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    A checkpoint folder set on the context counts as named. Only a session without either (a test on one machine) gets a temporary folder.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
         return tempfile.mkdtemp(prefix="equipoise-")
     return f"{named.rstrip('/')}/equipoise-{uuid.uuid4().hex}"
