@@ -15,6 +15,7 @@ from equipoise.functions import semi as js
 from equipoise.functions import strings as st
 from equipoise.functions.ordering import ascending, descending
 from equipoise.operators import windows as wn
+from equipoise.operators.keyed import attach
 
 
 @query("cond_nulls", """
@@ -354,11 +355,11 @@ FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custke
   f AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def window_values(spark, sf_dir):
     people, by, order = table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_acctbal", "c_custkey"]
-    out = wn.first_value(people, by, "c_custkey", order, "first_key")
-    out = wn.last_value(out, by, "c_custkey", order, "last_key")
-    out = wn.nth_value(out, by, "c_custkey", [ascending(c) for c in order], 3, "third_key")
-    out = wn.add_group_values(out, by, accounts=F.count(F.lit(1)))
-    return out.select("c_custkey", "first_key", "last_key", "third_key", "accounts")
+    third = wn.nth_in_group(people, by, "c_custkey", [ascending(c) for c in order], 3, "third_key")
+    out = wn.add_group_values(
+        people, by, first_key=wn.first_in("c_custkey", order), last_key=wn.last_in("c_custkey", order), accounts=F.count(F.lit(1))
+    )
+    return attach(out, third, by, "left").select("c_custkey", "first_key", "last_key", "third_key", "accounts")
 
 
 @query("rank_suppliers", """

@@ -20,8 +20,7 @@ def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame
     ``order`` must be total within a group.
     """
     rest = [c for c in df.columns if c not in by]
-    rank = [part for c in order for part in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]
-    kept = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_row"))
+    kept = df.groupBy(*by).agg(F.min_by(F.struct(*rest), _rank(order)).alias("_row"))
     return kept.select(*[F.col(c) if c in by else F.col("_row")[c].alias(c) for c in df.columns])
 
 
@@ -37,28 +36,40 @@ def add_group_values(df: DataFrame, by: list[str], **aggregates: Column) -> Data
     return attach(df, totals, by)
 
 
+def _rank(order: list[str]) -> Column:
+    """Ordering value for min_by and max_by: ascending, NULLs last."""
+    return F.struct(*[part for c in order for part in (F.col(c).isNull().alias(f"_{c}"), F.col(c))])
+
+
+def first_in(value: str, order: list[str]) -> Column:
+    """Aggregate form of FIRST_VALUE over a whole group."""
+    return F.min_by(value, _rank(order))
+
+
+def last_in(value: str, order: list[str]) -> Column:
+    """Aggregate form of LAST_VALUE with the full frame."""
+    return F.max_by(value, _rank(order))
+
+
 def first_value(df: DataFrame, by: list[str], value: str, order: list[str], name: str) -> DataFrame:
-    """FIRST_VALUE over the whole group, NULLs last."""
-    rank = [part for c in order for part in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]
-    return add_group_values(df, by, **{name: F.min_by(value, F.struct(*rank))})
+    """FIRST_VALUE added to every row. Several values of one grouping: one ``add_group_values``."""
+    return add_group_values(df, by, **{name: first_in(value, order)})
 
 
 def last_value(df: DataFrame, by: list[str], value: str, order: list[str], name: str) -> DataFrame:
-    """LAST_VALUE with the full frame, NULLs last."""
-    rank = [part for c in order for part in (F.col(c).isNull().alias(f"_{c}"), F.col(c))]
-    return add_group_values(df, by, **{name: F.max_by(value, F.struct(*rank))})
+    """LAST_VALUE with the full frame added to every row."""
+    return add_group_values(df, by, **{name: last_in(value, order)})
+
+
+def nth_in_group(df: DataFrame, by: list[str], value: str, order: list[Column], n: int, name: str) -> DataFrame:
+    """One row per group that has an n-th row: its value. Groups are cut to n rows before the shuffle."""
+    numbered = df.select(*by, value, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_n"))
+    return numbered.where(F.col("_n") <= n).where(F.col("_n") == n).select(*by, F.col(value).alias(name))
 
 
 def nth_value(df: DataFrame, by: list[str], value: str, order: list[Column], n: int, name: str) -> DataFrame:
     """NTH_VALUE with the full frame; a group with fewer than n rows gives NULL."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    nth = (
-        df.select(*by, value, F.row_number().over(window).alias("_n"))
-        .where(F.col("_n") <= n)
-        .where(F.col("_n") == n)
-        .select(*by, F.col(value).alias(name))
-    )
-    return attach(df, nth, by, "left")
+    return attach(df, nth_in_group(df, by, value, order, n, name), by, "left")
 
 
 def ratio_over(value: Column, window) -> Column:

@@ -22,14 +22,14 @@ def meta(spark):
                          ("RAW", "ORDERS", "ORDER_ID", 1, "NUMBER", "YES"), ("RAW", "ORDERS", "META", 2, "VARIANT", "NO"), ("RAW", "GEO", "SHAPE", 1, "GEOGRAPHY", "NO"),
                          ("RAW", "PLAIN", "X", 1, "number(38,0)", "NO"), ("RAW", "PLAIN", "Y", 2, "SOMETHING_NEW", None)),
         "views": frame(spark, "table_schema string, table_name string, view_definition string, is_secure string",
-                       ("RAW", "V_ORDERS", "create view v_orders as select iff(a,1,0) from orders", "YES")),
+                       ("RAW", "V_ORDERS", "create or replace view v as select iff(paid, total, 0) t from orders", "YES")),
         "iceberg_tables": frame(spark, "name string", ("lake",)),
-        "tasks": frame(spark, "schema_name string, name string, definition string", ("OPS", "T1", "CALL ops.load()"), ("OPS", "T2", "INSERT INTO t SELECT 1")),
+        "tasks": frame(spark, "schema_name string, name string, definition string", ("OPS", "T1", "call nightly()"), ("OPS", "T2", "insert into log select 1")),
         "sequences": frame(spark, "sequence_schema string, sequence_name string", ("RAW", "S1")),
-        "shares": frame(spark, "name string, kind string, owner_account string", ("USAGE", "INBOUND", "SNOWFLAKE"), ("SAMPLE", "INBOUND", "SFSALESSHARED.SFC_SAMPLES_X"),
-                        ("FEED", "INBOUND", "ACME_DATA"), ("OUT", "OUTBOUND", "")),
+        "shares": frame(spark, "name string, kind string, owner_account string", ("USAGE", "INBOUND", "SNOWFLAKE"), ("SAMPLE", "INBOUND", "SFSALESSHARED.SFC_SAMPLES_EU"),
+                        ("DAILY", "INBOUND", "WEATHER_CO"), ("OUT", "OUTBOUND", "")),
         "procedures": frame(spark, "procedure_schema string, procedure_name string, argument_signature string, procedure_language string, procedure_definition string",
-                            ("S", "A", "()", "PYTHON", "x"), ("S", "B", "()", "SQL", "BEGIN\n LET x := 1;\nEND"), ("S", "C", "()", "SQL", "INSERT INTO t SELECT * FROM s"), ("S", "D", "()", "SQL", None)),
+                            ("S", "A", "()", "PYTHON", "x"), ("S", "B", "()", "SQL", "declare n int; begin n := 2; end"), ("S", "C", "()", "SQL", "insert into daily select * from hourly"), ("S", "D", "()", "SQL", None)),
         "functions": frame(spark, "function_schema string, function_name string, function_language string", ("S", "F", "SQL"), ("S", "G", "JAVASCRIPT")),
     }
 
@@ -47,7 +47,7 @@ def test_inventory(spark, meta):
     assert klass["task", "OPS.T1"] == UNSUPPORTED and klass["task", "OPS.T2"] == REVIEW
     assert klass["sequence", "RAW.S1"] == UNSUPPORTED
     assert klass["share (provided)", "USAGE"] == klass["share (provided)", "SAMPLE"] == AUTOMATIC
-    assert klass["share (inbound)", "FEED"] == UNSUPPORTED and "ACME_DATA" in items["share (inbound)", "FEED"].reason
+    assert klass["share (inbound)", "DAILY"] == UNSUPPORTED and "WEATHER_CO" in items["share (inbound)", "DAILY"].reason
     assert klass["share (outbound)", "OUT"] == UNSUPPORTED
     assert [klass["procedure", f"S.{p}()"] for p in "ABCD"] == [REDESIGN, REDESIGN, REVIEW, REDESIGN]
     assert "not readable" in items["procedure", "S.D()"].reason

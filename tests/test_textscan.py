@@ -16,48 +16,48 @@ def hits(spark, cases):
 
 
 CASES = {
-    "line comment": ("-- we used to call nvl(a, b) here\nselect 1\n", "sql", set()),
-    "block and template comment": ("/* listagg(x, ',') */\n{# div0(a, b) #}\nselect 1\n", "sql", set()),
-    "literals": ("select 'iff(a,b,c)' as note, replace(x, 'div0', '') from t\n", "sql", set()),
-    "escaped quote": ("select 'it''s fine' as a, iff(x, 1, 0) as b from t\n", "sql", {"S1"}),
-    "unterminated": ("select iff(a, 1, 0) /* nvl(b, 0)", "sql", {"S1"}),
-    "conditionals": (
-        "select iff(a, 1, 0) as x, nvl(b, 0) as y, zeroifnull(c) as z,\n decode(d, 'a', 1, 2) as w, concat(e, f) as v from t\n",
-        "sql", {"S1", "S2", "S3", "S5"},
+    "line comment": ("select a -- formerly ifnull(a, 1)\nfrom t", "sql", set()),
+    "block and template comment": ("/* array_agg(k) */ select 2 {# div0null(p, q) #}\n", "sql", set()),
+    "literals": ("select 'decode(x)' as hint, 'least(' || name from t", "sql", set()),
+    "escaped quote": ("select 'o''clock' as w, nvl(h, 12) as h from t", "sql", {"S2"}),
+    "unterminated": ("select iff(ok, 'y', 'n') /* concat(a, b)", "sql", {"S1"}),
+    "conditionals": ("select nvl2(a, 1, 2), iff(b, 3, 4),\n  greatest(c, d), decode(e, 1, 'one'),\n  concat_ws('-', f, g) from t", "sql", {"S1", "S2", "S3", "S4", "S5"}),
+    "cast is no path": ("select amount::text as shown from t", "sql", set()),
+    "half even": ("select round(fee, 1, 'half_to_even') from t", "sql", {"N5"}),
+    "half even in comment": ("select 1 /* round(fee, 1, 'half_to_even') */", "sql", set()),
+    "begin in sql": ("begin\n delete from t;\nend", "sql", set()),
+    "begin in proc": ("begin\n delete from t;\nend", "proc", {"F-NOTPORT"}),
+    "loop in proc": ("for i in 1 to 3 do x; end for", "proc", {"F-NOTPORT"}),
+    "scripting": ("call refresh_all();\nexecute immediate stmt;", "sql", {"F-NOTPORT"}),
+    "three parts": ("select 1 from prod_db.sales.invoices", "sql", {"P5"}),
+    "templated source": ("select 1 from {{ source('erp', 'invoices') }}", "sql", set()),
+    "random": ("select random() as r, randstr(4, r) from t", "sql", {"H10"}),
+    "nextval": ("insert into t select ids.nextval", "sql", {"H10"}),
+    "quoted nextval": ('select "Ids" . nextval from t', "sql", {"H10"}),
+    "no nextval": ("select nextval_seen, t.next_val from t", "sql", set()),
+    "int cast": ("select qty::smallint from t", "sql", {"N1"}),
+    "int cast function": ("select cast(n as tinyint ) from t", "sql", {"N1"}),
+    "bigint cast": ("select count_if(late)::bigint from t", "sql", {"A7"}),
+    "bare decimal": ("select price::numeric from t", "sql", {"N1"}),
+    "sized decimal": ("select price::numeric(12,4) from t", "sql", set()),
+    "desc": ("select 1 from t order by seen_at desc, id", "sql", {"A4"}),
+    "desc nulls": ("select 1 from t order by seen_at desc nulls last", "sql", set()),
+    "desc in name": ("select long_desc, describe_me from t", "sql", set()),
+    "subscript": ("select e.body['kind'] from e", "sql", {"J1"}),
+    "list index": ("select parts[0], e.parts[2], parts[n] from e", "sql", set()),
+    "secure": ("create secure view v as select 1", "sql", {"Y2"}),
+    "grants": ("grant select on t to role reader;\ncreate table u clone t;", "sql", {"Y2"}),
+    "money": ("select price * (100 - pct) / 100 as net, div0(net, n) as each from t", "sql", {"N2", "N7"}),
+    "division in template": ("select {{ a / b }} as y from t", "sql", set()),
+    "windows": (
+        "select x.index, last_value(v) over (order by k), ratio_to_report(v) over (partition by g),\n listagg(n, ';') within group (order by n)\n"
+        "from t, lateral flatten(input => t.doc:list) x\nqualify rank() over (order by k) = 1",
+        "sql", {"A1", "A2", "A5", "A6", "F1", "J1"},
     ),
-    "cast is no path": ("select x::varchar as y from t\n", "sql", set()),
-    "half even": ("select round(amount, 2, 'HALF_TO_EVEN') as a from t\n", "sql", {"N5"}),
-    "half even in comment": ("-- we used to round(x, 2, 'HALF_TO_EVEN')\nselect 1\n", "sql", set()),
-    "begin in sql": ("BEGIN\n  INSERT INTO t VALUES (1);\nEND", "sql", set()),
-    "begin in proc": ("BEGIN\n  INSERT INTO t VALUES (1);\nEND", "proc", {"F-NOTPORT"}),
-    "three parts": ("select * from WAREHOUSE.RAW.ORDERS\n", "sql", {"P5"}),
-    "templated source": ("select * from {{ source('raw', 'orders') }}\n", "sql", set()),
-    "uuid": ("select uuid_string() as k from t", "sql", {"H10"}),
-    "nextval": ("select order_seq.nextval as id from t", "sql", {"H10"}),
-    "quoted nextval": ('select "ORDER_SEQ".nextval as id from t', "sql", {"H10"}),
-    "no nextval": ("select t.next_value, nextvalue from t", "sql", set()),
-    "int cast": ("select customer_id :: integer from t", "sql", {"N1"}),
-    "int cast function": ("select cast(qty as integer) from t", "sql", {"N1"}),
-    "bigint cast": ("select count_if(x)::bigint as n from t", "sql", {"A7"}),
-    "bare decimal": ("select amount::decimal as amt from t", "sql", {"N1"}),
-    "sized decimal": ("select amount::decimal(10,2) as amt from t", "sql", set()),
-    "desc": ("select x from t order by paid_ts desc", "sql", {"A4"}),
-    "desc nulls": ("select x from t order by ts desc nulls first", "sql", set()),
-    "desc in name": ("select product_desc, description from t", "sql", set()),
-    "subscript": ("select o.order_meta['coupon'] from orders o", "sql", {"J1"}),
-    "list index": ("select arr[1], t.arr[1], arr[idx] from t", "sql", set()),
-    "secure": ("{{ config(secure=true) }} select 1", "sql", {"Y2"}),
-    "money": ("select round(q * p * (1 - discount_pct / 100), 2) as amt, div0(a, b) as r from t\n", "sql", {"N2", "N7"}),
-    "division in template": ("select {{ 1 / x }} as y from t", "sql", set()),
-    "flatten": (
-        "select f.index, ratio_to_report(x::float) over (partition by g) as share,\n"
-        " listagg(distinct c, ',') within group (order by c) as cs\nfrom t, lateral flatten(input => t.payload:items) f\n"
-        "qualify row_number() over (partition by k order by k) = 1\n",
-        "sql", {"A1", "A2", "A6", "F1", "J1"},
-    ),
-    "configs": ("models:\n  shop:\n    +transient: true\n    +query_tag: q\n    marts:\n      +materialized: incremental\n", "yaml", {"P2", "P6"}),
-    "database": ("sources:\n  - name: raw\n    database: DB\n", "yaml", {"P3"}),
-    "grants": ("models:\n  shop:\n    +grants:\n      select: [analyst]\n", "yaml", {"P2"}),
+    "configs": ("models:\n  proj:\n    +copy_grants: true\n    daily:\n      +materialized: 'incremental'\n", "yaml", {"P2", "P6"}),
+    "database": ("sources:\n  - name: erp\n    database: prod\n", "yaml", {"P3"}),
+    "yaml grants": ("models:\n  proj:\n    +grants:\n      select: [reader]\n", "yaml", {"P2"}),
+    "hooks": ("on-run-end:\n  - a; b\n", "yaml", {"P10"}),
     "null text": (None, "sql", set()),
 }
 
@@ -74,12 +74,12 @@ def test_rules_fire(found, case):
 
 def test_classes(spark, found):
     got = {k: {h[2] for h in v if h[3]} for k, v in found.items()}
-    assert got["bare decimal"] == {"AGENT_PLUS_REVIEW"} and got["uuid"] == {"REDESIGN"} and got["secure"] == {"REDESIGN"}
-    assert got["desc"] == set() and got["grants"] == {"NOT_SUPPORTED_TODAY"}
+    assert got["bare decimal"] == {"AGENT_PLUS_REVIEW"} and got["random"] == {"REDESIGN"} and got["secure"] == {"REDESIGN"}
+    assert got["desc"] == set() and got["grants"] == got["yaml grants"] == {"NOT_SUPPORTED_TODAY"}
 
 
 def test_lines_and_text(spark):
-    text = "select e.payload:session_id::string as s,\n f.value:sku::string as sku,\n order_meta:shipping.cost as c\nfrom t e where iff\n (a, b, c)\n"
+    text = "select d.doc:visit::string as v,\n doc:cart.total as t,\n x.value:code as c\nfrom d where iff\n (a, b, c)"
     got = hits(spark, {"a": (text, "sql")})["a"]
     assert sorted(h[1] for h in got if h[0] == "J1") == [1, 2, 3]
     assert [(h[1], h[5]) for h in got if h[0] == "S1"] == [(4, "iff (")]
@@ -109,18 +109,18 @@ def test_rule_table():
 def test_alias_shadow(spark):
     corpus = spark.createDataFrame(
         [
-            ("a", "select\n    coalesce(discount_pct, 0) as discount_pct,\n    round(q * (1 - discount_pct * 0.01), 2) as line_amount\nfrom t\n"),
-            ("b", "select cast(x as decimal) as y,\n       decimal from t\n"),
+            ("a", "select\n  nvl(rate, 1) as rate,\n  fee * rate as charged\nfrom t\n"),
+            ("b", "select cast(n as text) as m,\n  text from t\n"),
             ("c", "select a as b,\n 1 as c\nselect b from t"),
         ],
         "path string, text string",
     )
-    assert [tuple(r) for r in textscan.alias_shadow(corpus).collect()] == [("a", 3, "discount_pct")]
+    assert [tuple(r) for r in textscan.alias_shadow(corpus).collect()] == [("a", 3, "rate")]
 
 
 def test_regex_backslashes(spark):
-    corpus = spark.createDataFrame([("a", "select 1,\nregexp_substr(s, '\\\\d+') from t\n"), ("b", "regexp_substr(s, 'd')")], "path string, text string")
-    assert [tuple(r) for r in textscan.regex_backslashes(corpus).collect()] == [("a", 2, "\\\\d+")]
+    corpus = spark.createDataFrame([("a", "select 1,\nregexp_count(s, '\\\\w+') from t\n"), ("b", "regexp_count(s, 'w')")], "path string, text string")
+    assert [tuple(r) for r in textscan.regex_backslashes(corpus).collect()] == [("a", 2, "\\\\w+")]
 
 
 def test_macro_risk_reaches_callers(spark):
