@@ -83,6 +83,13 @@ def _epoch_seconds(value: Column) -> Column:
     return days * 86400 + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
 
 
+def wall_micros(value: Column) -> Column:
+    """Wall-clock microseconds of a zone-less timestamp, independent of the session zone."""
+    wall = value.cast("timestamp_ntz")
+    fraction = (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("bigint") - F.second(wall) * 1_000_000
+    return _epoch_seconds(wall) * 1_000_000 + fraction
+
+
 def epoch_seconds(value: Column) -> Column:
     """Whole seconds since 1970, fraction dropped."""
     return _epoch_seconds(value)

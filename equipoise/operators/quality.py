@@ -57,7 +57,7 @@ class Expression:
 
 @dataclass(frozen=True)
 class Unique:
-    """Failing rows are the values that occur more than once; NULL is not a value."""
+    """Failing rows are the values, or combinations of values, that occur more than once."""
 
     columns: tuple
 
@@ -82,9 +82,9 @@ def _result(df: DataFrame, table: str, test: str) -> DataFrame:
 
 
 def failing_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Keys that occur more than once."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return df.where(present).groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
+    """Keys that occur more than once. NULL is not a value of one column, but it is one in a combination."""
+    counted = df.where(F.col(columns[0]).isNotNull()) if len(columns) == 1 else df
+    return counted.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
 
 
 def check(df: DataFrame, table: str, tests: list) -> DataFrame:

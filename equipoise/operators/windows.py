@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from equipoise.functions.dates import wall_micros
 from equipoise.functions.numbers import round_div
 from equipoise.operators.keyed import attach
 
@@ -111,7 +113,8 @@ def rate_breaches(
         raise ValueError("a slice must be at least as long as the window")
     span, width = seconds * 1_000_000, slice_seconds * 1_000_000
     counted = df.groupBy(*by, ts).agg(F.count(F.lit(1)).alias("_n"))
-    micros = F.unix_micros(F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+    instant = isinstance(df.schema[ts].dataType, T.TimestampType)
+    micros = F.unix_micros(ts) if instant else wall_micros(F.col(ts))
     own = counted.withColumn("_us", micros).withColumn("_slice", F.floor(F.col("_us") / width))
     reaches_next = F.floor((F.col("_us") + span) / width) > F.col("_slice")
     copies = F.when(reaches_next, F.array(F.col("_slice"), F.col("_slice") + 1)).otherwise(F.array("_slice"))

@@ -61,6 +61,10 @@ def test_rate_breaches_match_brute_force(spark, slice_seconds):
         if n > 12:
             want.add((u, t, n))
     assert want and {(r.u, r.t, r.events_in_window) for r in got.collect()} == want
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    instants = spark.createDataFrame(events, "u string, t timestamp")
+    assert wn.rate_breaches(instants, ["u"], "t", 12, slice_seconds=slice_seconds).count() == len(want) == got.count()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     with pytest.raises(ValueError):
         wn.rate_breaches(got, ["u"], "t", 1, seconds=60, slice_seconds=10)
 
@@ -105,4 +109,6 @@ def test_quality(spark):
     assert got == {
         "unique_id": 1, "unique_id_s": 0, "not_null_id": 2, "accepted_values_s": 1, "expression_small": 1, "relationships_fk": 1,
     }
+    twice = spark.createDataFrame([(None, 1), (None, 1), (None, None)], "a int, b int")
+    assert rows(dq.check(twice, "t", [dq.Unique(("a", "b")), dq.Unique(("a",))]).select("failing_rows")) == [(0,), (1,)]
     assert rows(dq.count_failures(df.where("fk = 9"), "t", "mine")) == [("t", "mine", 1)]
