@@ -7,9 +7,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_points
+from catalog import load
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = dict(load().QUERIES), dict(load().SQL)
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="the given tables are not here")
 
 
