@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import binary, packing, quality, topk, url_filter, warc
+from equipoise.llm import binary, counting, mixing, neardup, packing, quality, substrings, topk, url_filter, warc
 from equipoise.llm.common import table
+from equipoise.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS c FROM s) WHERE c > 1),
+g AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d),
+x AS (SELECT r, list(i ORDER BY i) AS gone FROM (SELECT r, unnest(range(greatest(i, coalesce(before, -99) + 35), i + 35)) AS i FROM g) GROUP BY r),
+k AS (SELECT w.r, string_agg(w.word, ' ' ORDER BY w.i) AS kept FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) w
+  LEFT JOIN (SELECT r, unnest(gone) AS i FROM x) y ON w.r = y.r AND w.i = y.i WHERE y.i IS NULL GROUP BY w.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN x USING (r) LEFT JOIN k USING (r)
+"""
+
+
+@query("op1_lempel_ziv_substrings", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 35 words that stand more than once, taken out of all documents."""
+    return substrings.remove_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op2_seekable_tokens")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to seekable files and read back."""
@@ -34,6 +54,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_starts(spark, folder, written)
 
 
+@query("op3_raked_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn so that tokens by source, language and topic follow tempered shares."""
+    docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.topic())
+    counted = cut_lineage(mixing.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "source", "lang", "topic", "n_tokens"))
+    targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", power=0.9)
+    return mixing.mix(counted, targets).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
@@ -61,6 +90,37 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t(r, o) AS (SELECT r, r FROM w UNION SELECT t.r, l.b FROM t JOIN l ON l.a = t.o),
+c AS (SELECT t.r, min(w.doc_id) AS component_id FROM t JOIN w ON w.r = t.o GROUP BY t.r)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(w.doc_id = component_id, false) AS kept FROM w JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
+@query("op6_circulant_minhash", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_edit_aware_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents after four edits each: at the beginning, a third, the middle and the end."""
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    trees = counting.token_trees(docs, path)
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda at, deleted, inserted: F.struct(at.cast("int").alias("at"), F.lit(deleted).alias("deleted"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(F.lit(0), 3, "Re: "), edit(n / 3, 0, " edited  here"), edit(n / 2, 40, "\n"), edit(n + 100, 0, " The end."))
+    return counting.edited_counts(docs.withColumn("edits", edits), trees, path)
+
+
 OP8_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
