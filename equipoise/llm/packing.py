@@ -114,6 +114,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     ship(spark)
+    pieces = cut_lineage(pieces)  # sorting by range reads its rows twice; they are encoded once
     columns = pieces.columns
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[c for c in columns if c != "length"]) if len(columns) > 1 else F.lit(0)
