@@ -122,9 +122,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
     shape = [len(values[d]) for d in dimensions]
     if float(np.prod(shape, dtype=float)) > MAX_CELLS:
         raise ValueError(f"{shape} cells; at most {MAX_CELLS} are held at once")
-    cell = [_category(d, values[d]).alias(f"_{i}") for i, d in enumerate(dimensions)]
+    cell = [_category(d, values[d]).alias(f"_equipoise_{i}") for i, d in enumerate(dimensions)]
     marked = docs.select("*", *cell)
-    keys = [f"_{i}" for i in range(len(dimensions))]
+    keys = [f"_equipoise_{i}" for i in range(len(dimensions))]
     sums = marked.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("w")).collect()  # a row a cell
     table = np.zeros(shape)
     at = {(i, v): k for i, d in enumerate(dimensions) for k, v in enumerate(values[d])}

@@ -115,8 +115,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         known, words, done = WordHashes(), sent.value, set()
         for batch in batches:
             ids = batch["doc_id"].fill_null(0).to_numpy().astype(np.int64)
-            hit = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-            hit &= passing(ids.view(U64), words)
+            hit = passing(ids.view(U64), words) | batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             for part in steps(iter([batch.filter(pa.array(hit))])):
                 shingles, bounds = _sets(part["text"].to_pylist(), known)
                 raw = [shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -302,12 +301,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
             for part in steps(iter([batch.filter(pa.array(may_lose(batch["doc_id"])))])):
                 shingles, bounds = _sets(part["text"].to_pylist(), known)
                 keys = [xxhash.xxh3_128_digest(shingles[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], [*part.schema.names, "_key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], [*part.schema.names, "_equipoise_key"])
 
-    stays = judged.filter("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_key")).distinct()
-    rest = map_arrow(docs, other, f"{kinds}, _key binary")
-    nameless = rest.filter("doc_id is null").dropDuplicates(["_key"])
+    stays = judged.filter("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_equipoise_id"), F.col("set_key").alias("_equipoise_key")).distinct()
+    rest = map_arrow(docs, other, f"{kinds}, _equipoise_key binary")
+    nameless = rest.filter("doc_id is null").dropDuplicates(["_equipoise_key"])
     named = rest.filter("doc_id is not null").dropDuplicates(docs.columns)
     both = named.unionByName(nameless).alias("d")
-    decided = both.join(stays.alias("s"), F.expr("d._key = s._key and d.doc_id <=> s._id"), "left_semi")
-    return map_arrow(docs, sure, kinds).unionByName(decided.drop("_key"))
+    decided = both.join(stays.alias("s"), F.expr("d._equipoise_key = s._equipoise_key and d.doc_id <=> s._equipoise_id"), "left_semi")
+    return map_arrow(docs, sure, kinds).unionByName(decided.drop("_equipoise_key"))

@@ -110,15 +110,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     place in its range plus the sizes of the ranges before it, so no length, however common, has to
     meet in one task. The sweeps give intervals of ranks (their number is bounded by ``capacity``, not
     by the pieces), which are sent to the tasks and looked up by binary search. Lengths must be 1 to
-    ``capacity``. The result has the rows of ``pieces``; which of equal lengths goes where is not defined.
+    ``capacity``; columns sequence_id and offset are replaced. The result has the rows of ``pieces``; which of equal lengths goes where is not defined.
     """
     spark = pieces.sparkSession
     ship(spark)
-    pieces = cut_lineage(pieces)  # sorting by range reads its rows twice; they are encoded once
+    pieces = cut_lineage(pieces.drop("sequence_id", "offset"))  # sorting by range reads its rows twice; they are encoded once
     columns = pieces.columns
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64(*[c for c in columns if c != "length"]) if len(columns) > 1 else F.lit(0)
-    ordered = pieces.repartitionByRange(parts, "length", tie).sortWithinPartitions("length", tie)
+    others = [F.col(f"`{c}`") for c in columns if c != "length"]
+    order = ["length", F.xxhash64(*others)] if others else ["length"]
+    ordered = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +127,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             added = [pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(np.arange(place, place + batch.num_rows), pa.int64())]
             place += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_range", "_place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_equipoise_range", "_equipoise_place"])
 
-    stored = cut_lineage(map_arrow(ordered, number, f"{kinds}, _range int, _place long"))
+    stored = cut_lineage(map_arrow(ordered, number, f"{kinds}, _equipoise_range int, _equipoise_place long"))
     # a row a range, and a row a length: both are bounded by settings, not by the pieces
-    sizes = stored.groupBy("_range").agg(F.count("*").alias("n")).collect()
+    sizes = stored.groupBy("_equipoise_range").agg(F.count("*").alias("n")).collect()
     by_length = stored.groupBy("length").agg(F.count("*").alias("n")).collect()
     if any(not r["length"] or not 0 < r["length"] <= capacity for r in by_length):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    before = np.zeros(max((r["_range"] for r in sizes), default=-1) + 2, dtype=np.int64)
+    before = np.zeros(max((r["_equipoise_range"] for r in sizes), default=-1) + 2, dtype=np.int64)
     for r in sizes:
-        before[r["_range"] + 1] = r["n"]
+        before[r["_equipoise_range"] + 1] = r["n"]
     before = np.cumsum(before)
     count = np.zeros(capacity + 1, dtype=np.int64)
     for r in by_length:
@@ -150,7 +151,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, begin, first, offset = sent.value
         for batch in batches:
-            place = before[batch["_range"].to_numpy()] + batch["_place"].to_numpy()
+            place = before[batch["_equipoise_range"].to_numpy()] + batch["_equipoise_place"].to_numpy()
             at = np.searchsorted(begin, place, side="right") - 1
             added = [pa.array(first[at] + place - begin[at], pa.int64()), pa.array(offset[at], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + added, [*columns, "sequence_id", "offset"])

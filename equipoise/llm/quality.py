@@ -197,8 +197,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
     Every whole text is scored in Arrow batches, without a shuffle. A null text has no words, so it
     fails the base rules. Repeated and null ids keep one row each; an empty table gives no rows.
-    Columns of ``docs`` with names of the result are only in the way with ``keep_columns``, where the
-    values are under ``quality_rules``.
+    Other columns are ignored; with ``keep_columns`` the values are under ``quality_rules``, which
+    replaces a column of that name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     inner = f"{BASE}, probability double, kept boolean"
@@ -219,6 +219,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *names])
 
     if keep_columns:
+        docs = docs.drop("quality_rules")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
         return map_arrow(docs, score, f"{fields}, quality_rules struct<{inner.replace(' ', ':').replace(',:', ',')}>")
     kind = docs.schema["doc_id"].dataType.simpleString()

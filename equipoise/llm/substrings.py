@@ -203,18 +203,18 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, seed: int = SEED, t
         for batch in batches:
             texts = [(t or "").encode() for t in batch["text"].to_pylist()]
             packed = [pa.array([text_key(t) for t in texts], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary()), pa.array(batch["text"].is_null())]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *packed], [*names, "_key", "_packed", "_null"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *packed], [*names, "_equipoise_key", "_equipoise_packed", "_equipoise_null"])
 
     comma = ", " if kinds else ""
-    packed = map_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("text")), pack, f"{kinds}{comma}_key binary, _packed binary, _null boolean")
-    both = packed.join(found.select(F.col("key").alias("_key"), "runs"), "_key", "left").drop("_key")
+    packed = map_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("text")), pack, f"{kinds}{comma}_equipoise_key binary, _equipoise_packed binary, _equipoise_null boolean")
+    both = packed.join(found.select(F.col("key").alias("_equipoise_key"), F.col("runs").alias("_equipoise_runs")), "_equipoise_key", "left").drop("_equipoise_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
             out = {name: [] for name in added}
-            for packed, null, runs in zip(batch["_packed"], batch["_null"].to_pylist(), batch["runs"].to_pylist(), strict=True):
+            for packed, null, runs in zip(batch["_equipoise_packed"], batch["_equipoise_null"].to_pylist(), batch["_equipoise_runs"].to_pylist(), strict=True):
                 text = expand(packed.as_py())
                 words = text.split()
                 gone = removed_words(len(words), [(r["kind"], r["first"], r["n"]) for r in runs or ()], window)
