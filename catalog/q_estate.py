@@ -90,7 +90,7 @@ def schema_filter(spark, sf_dir):
     return estate.in_schemas(meta_tables(spark, sf_dir), ["brand#3", " BRAND#11 "]).select("p_partkey", "table_schema")
 
 
-@query("move_plan", f"""
+_PLAN_SQL = f"""
 WITH {_TABLES_SQL}, {_COLUMNS_SQL},
 base AS (SELECT * FROM meta_tables WHERE table_type IN ('BASE TABLE', 'TRANSIENT TABLE')),
 clash AS (SELECT upper(table_name) AS k, count(*) > 1 AS clash FROM base GROUP BY 1),
@@ -100,15 +100,19 @@ src AS (SELECT 'T' || c_custkey AS n, max('raw.t' || c_custkey) AS source, bool_
 p AS (SELECT b.*, c.clash, l.n AS ncols, coalesce(l.j, 0) AS j, bt.m IS NOT NULL AS is_built, s.source, coalesce(s.pii, false) AS pii,
     floor(b.bytes * 1.52::DOUBLE)::BIGINT AS est, CASE WHEN c.clash THEN lower(b.table_schema) || '_' || lower(b.table_name) ELSE lower(b.table_name) END AS suffix
   FROM base b JOIN clash c ON c.k = upper(b.table_name) LEFT JOIN listed l ON l.table_schema = b.table_schema AND l.table_name = b.table_name
-    LEFT JOIN built bt ON bt.m = upper(b.table_name) LEFT JOIN src s ON s.n = upper(b.table_name))
-SELECT table_schema, table_name, row_count, bytes, est AS est_parquet_bytes, CASE WHEN is_built THEN 'sf_' ELSE 'raw_' END || suffix AS target_table,
+    LEFT JOIN built bt ON bt.m = upper(b.table_name) LEFT JOIN src s ON s.n = upper(b.table_name)),
+planned AS (SELECT table_schema, table_name, row_count, bytes, est AS est_parquet_bytes, CASE WHEN is_built THEN 'sf_' ELSE 'raw_' END || suffix AS target_table,
   CASE WHEN is_built THEN 'expected' ELSE 'raw' END || '/' || suffix || CASE WHEN coalesce(est < 5368709120, true) THEN '.parquet' ELSE '/' END AS file_target,
   CASE WHEN is_built THEN 3 WHEN source IS NOT NULL THEN 1 ELSE 2 END AS move_group,
   CASE WHEN is_built THEN 'built by a model' WHEN source IS NOT NULL THEN 'read as ' || source ELSE 'not referenced' END AS why,
   concat_ws('; ', CASE WHEN j > 0 THEN j || ' semi-structured column(s) unload as JSON text' END, CASE WHEN ncols IS NULL THEN 'no column list: check the column order' END,
     CASE WHEN clash AND NOT is_built THEN 'name used in several schemas' END, CASE WHEN NOT coalesce(est < 5368709120, true) THEN 'several files: each one is ingested separately' END,
     CASE WHEN pii THEN 'holds personal data: mask after ingest, no model may read it' END, CASE WHEN is_built THEN 'a model rebuilds it: use it as the answer key only' END) AS notes
-FROM p""")
+FROM p)
+"""
+
+
+@query("move_plan", _PLAN_SQL + "SELECT * FROM planned")
 def move_plan(spark, sf_dir):
     built = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").selectExpr("concat('t', s_suppkey) as model")
     sources = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr(
@@ -117,15 +121,17 @@ def move_plan(spark, sf_dir):
     return estate.in_move_order(estate.move_plan(meta_tables(spark, sf_dir), meta_columns(spark, sf_dir), built=built, sources=sources))
 
 
-@query("copy_text", f"""
-WITH {_COLUMNS_SQL}
-SELECT table_schema, table_name, md5(string_agg(CASE WHEN data_type IN ('VARIANT', 'ARRAY') THEN 'TO_JSON("' || column_name || '") AS "' || column_name || '"' ELSE '"' || column_name || '"' END, ', '
-  ORDER BY ordinal_position, CASE WHEN data_type IN ('VARIANT', 'ARRAY') THEN 'TO_JSON("' || column_name || '") AS "' || column_name || '"' ELSE '"' || column_name || '"' END)) AS select_hash
-FROM meta_columns GROUP BY 1, 2""")
+_ENTRY_SQL = """CASE WHEN data_type IN ('VARIANT', 'ARRAY') THEN 'TO_JSON("' || column_name || '") AS "' || column_name || '"' ELSE '"' || column_name || '"' END"""
+
+
+@query("copy_text", _PLAN_SQL + f""",
+lists AS (SELECT table_schema, table_name, string_agg({_ENTRY_SQL}, ', ' ORDER BY ordinal_position, {_ENTRY_SQL}) AS select_list FROM meta_columns GROUP BY 1, 2)
+SELECT table_schema, table_name, md5('COPY INTO @EXPORT/' || file_target || ' FROM (SELECT ' || coalesce(select_list, '*') || ' FROM "WAREHOUSE"."' || table_schema || '"."' || table_name
+  || '") FILE_FORMAT = (TYPE = PARQUET) HEADER = TRUE OVERWRITE = TRUE' || CASE WHEN file_target LIKE '%/' THEN ' MAX_FILE_SIZE = 268435456' ELSE ' SINGLE = TRUE MAX_FILE_SIZE = 5368709120' END) AS statement_hash
+FROM planned LEFT JOIN lists USING (table_schema, table_name)""")
 def copy_text(spark, sf_dir):
-    text = estate.copy_text(meta_columns(spark, sf_dir), "WAREHOUSE", "EXPORT")
-    inner = F.regexp_extract("copy_sql", r"\(SELECT (.*) FROM ", 1)
-    return text.select("table_schema", "table_name", F.md5(inner).alias("select_hash"))
+    text = estate.copy_text(meta_columns(spark, sf_dir), move_plan(spark, sf_dir), "WAREHOUSE", "EXPORT")
+    return text.select("table_schema", "table_name", F.md5("copy_sql").alias("statement_hash"))
 
 
 _VIEWS_SQL = "views AS (SELECT table_schema, table_name, CASE WHEN p_partkey % 27 = 0 THEN NULL WHEN p_partkey % 18 = 0 THEN 'select initcap(x), iff(a, b, c) from t' ELSE 'select nvl(a, b) -- hash(x)' END AS body, p_partkey % 45 = 0 AS secure FROM meta_tables WHERE table_type = 'VIEW')"

@@ -41,10 +41,12 @@ def timestamp_text(value: Column) -> Column:
 
 
 def add_to_date(part: str, n, value: Column) -> Column:
-    """A DATE stays a DATE; month ends clamp."""
+    """A DATE stays a DATE and month ends clamp; hours, minutes and seconds make it a timestamp."""
     n = n if isinstance(n, Column) else F.lit(n)
     if part in _MONTHS:
         return F.add_months(value, n * _MONTHS[part])
+    if part in _SECONDS:
+        return add_to_timestamp(part, n, value.cast("timestamp_ntz"))
     return F.date_add(value, n * _DAYS[part])
 
 
@@ -96,8 +98,11 @@ def epoch_seconds(value: Column) -> Column:
 
 
 def trunc_date(part: str, value: Column) -> Column:
-    """DATE in, DATE out; weeks start on Monday."""
-    return F.trunc(value.cast("date"), part)
+    """DATE in, DATE out; weeks start on Monday, and parts of a day leave the date as it is."""
+    if part not in {**_MONTHS, **_DAYS, **_SECONDS}:
+        raise ValueError(f"unknown part {part!r}")
+    day = value.cast("date")
+    return day if part == "day" or part in _SECONDS else F.trunc(day, part)
 
 
 def trunc_timestamp(part: str, value: Column) -> Column:
@@ -126,6 +131,18 @@ def week_of_year(value: Column) -> Column:
     return F.weekofyear(value)
 
 
+def date_from_parts(year: Column, month: Column, day: Column) -> Column:
+    """Months and days outside the calendar carry over, as in the source warehouse."""
+    first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
+    return F.date_add(first, day - 1)
+
+
+def to_timestamp(text: Column, fmt: str | None = None) -> Column:
+    if fmt is None:
+        return text.cast("timestamp_ntz")
+    return F.to_timestamp_ntz(text, F.lit(_TOKEN.sub(lambda m: FORMAT_TOKENS[m.group()], fmt)))
+
+
 def to_date(text: Column, fmt: str | None = None) -> Column:
     if fmt is None:
         return text.cast("date")

@@ -15,7 +15,7 @@ from equipoise.functions.ordering import descending
 from equipoise.operators.windows import qualify_top
 from equipoise.plans.rules import AUTOMATIC, CLASSES, NAMED_CLASSES, REDESIGN, REVIEW, UNSUPPORTED
 from equipoise.plans.textscan import class_of, severity
-from equipoise.sources.tables import SINGLE_FILE_LIMIT, TARGET_PREFIX
+from equipoise.sources.tables import FILE_BYTES, SINGLE_FILE_LIMIT, TARGET_PREFIX
 
 VERIFIED, INFERENCE = "verified", "inference"
 # Measured unload size of seven tables, in bytes: warehouse storage and Parquet.
@@ -426,22 +426,33 @@ def in_move_order(plan: DataFrame) -> DataFrame:
     return plan.orderBy("move_group", F.coalesce("bytes", F.lit(0)), "table_schema", "table_name")
 
 
-def copy_text(columns: DataFrame, database: str, stage: str) -> DataFrame:
-    """COPY statement body per table: the select list in column order, JSON-encoding where needed.
+def _identifier(name) -> Column:
+    """A quoted name; quotes inside it are doubled."""
+    return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
 
-    A table's column list is bounded by the metadata of one table.
+
+def copy_text(columns: DataFrame, plan: DataFrame, database: str, stage: str) -> DataFrame:
+    """COPY statement of every table of a ``move_plan``: its select list in column order, JSON-encoding where needed.
+
+    The target is the plan's, so tables of one name in several schemas do not overwrite each other.
+    A folder target is unloaded as several files of bounded size, any other as one. A table without a
+    column list is copied as a whole. A column list is bounded by the metadata of one table.
     """
-    quoted = F.concat(F.lit('"'), F.col("column_name"), F.lit('"'))
+    quoted = _identifier(F.col("column_name"))
     entry = F.when(F.upper("data_type").isin(*SEMI_STRUCTURED), F.concat(F.lit("TO_JSON("), quoted, F.lit(") AS "), quoted)).otherwise(quoted)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal_position", entry.alias("sql"))))
     listed = columns.groupBy("table_schema", "table_name").agg(F.array_join(F.transform(ordered, lambda e: e["sql"]), ", ").alias("select_list"))
-    return listed.select(
-        "table_schema", "table_name",
-        F.format_string(
-            f'COPY INTO @{stage}/raw/%s.parquet FROM (SELECT %s FROM "{database}"."%s"."%s") FILE_FORMAT = (TYPE = PARQUET) HEADER = TRUE OVERWRITE = TRUE',
-            F.lower("table_name"), F.col("select_list"), F.col("table_schema"), F.col("table_name"),
+    keys = ["table_schema", "table_name"]
+    several = F.endswith("file_target", F.lit("/"))
+    return plan.select(*keys, "file_target").join(listed, keys, "left").select(
+        *keys,
+        F.concat(
+            F.lit(f"COPY INTO @{stage}/"), F.col("file_target"), F.lit(" FROM (SELECT "), F.coalesce("select_list", F.lit("*")), F.lit(" FROM "),
+            F.concat_ws(".", _identifier(F.lit(database)), _identifier(F.col("table_schema")), _identifier(F.col("table_name"))),
+            F.lit(") FILE_FORMAT = (TYPE = PARQUET) HEADER = TRUE OVERWRITE = TRUE"),
+            F.when(several, f" MAX_FILE_SIZE = {FILE_BYTES}").otherwise(f" SINGLE = TRUE MAX_FILE_SIZE = {SINGLE_FILE_LIMIT}"),
         ).alias("copy_sql"),
-    )
+    )
 
 
 def parity_plan(models: DataFrame) -> DataFrame:
@@ -465,7 +476,9 @@ def _recent(history: DataFrame, as_of, days: int, database: str | None) -> DataF
 
 
 def _top(n: int) -> int:
-    return max(1, min(int(n), 200))
+    if not 1 <= n <= 200:
+        raise ValueError(f"a report has 1 to 200 rows, not {n}")
+    return n
 
 
 def queries_by_type(history: DataFrame, as_of, *, days: int = 7, top: int = 20, database: str | None = None) -> DataFrame:

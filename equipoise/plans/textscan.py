@@ -150,7 +150,7 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     shown = F.trim(F.regexp_replace(F.substring(F.col("text"), F.col("start") + 1, F.col("size")), r"(?U)\s+", " "))
     return hits.where(~F.coalesce(in_template, F.lit(False))).select(
         "path", F.col("r.rule").alias("rule"), F.col("r.construct").alias("construct"), F.col("r.class").alias("class"),
-        F.col("r.counts").alias("counts"), F.col("line").alias("line_no"), F.substring(shown, F.lit(1), F.lit(80)).alias("matched"),
+        F.col("r.counts").alias("counts"), F.col("line").alias("line_no"), shown.alias("matched"),
     )
 
 
@@ -190,7 +190,7 @@ def regex_backslashes(corpus: DataFrame) -> DataFrame:
     literals = F.regexp_extract_all("_hay", F.lit(pattern), F.lit(1))
     found = located(corpus.where(F.col("text").contains("\\")), plain, F.lit(pattern), "path", literal=literals)
     return found.where(F.col("literal").contains("\\")).select(
-        "path", F.col("line").alias("line_no"), F.substring("literal", 1, 60).alias("literal")
+        "path", F.col("line").alias("line_no"), "literal"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,11 +37,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "equ
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    A checkpoint folder set on the context counts as named. Only a session without either (a test on one machine) gets a temporary folder.
+    A checkpoint folder set on the context counts as named. Without either, a session on one machine
+    gets a temporary folder; on a cluster its executors would not share it, so that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="equipoise-")
     return f"{named.rstrip('/')}/equipoise-{uuid.uuid4().hex}"
 

@@ -18,7 +18,7 @@ def export_name(file_name: Column, kind: Column) -> Column:
     stem = F.regexp_extract(F.lower(file_name), rf"^(.+?){_SUFFIXES}*\z", 1)
     for name, prefix in KIND_PREFIX.items():
         redundant = (kind == name) & stem.startswith(prefix) & (F.length(stem) > len(prefix))
-        stem = F.when(redundant, F.substring(stem, len(prefix) + 1, 10_000)).otherwise(stem)
+        stem = F.when(redundant, F.regexp_replace(stem, f"^{prefix}", "")).otherwise(stem)
     return F.when(stem.rlike(_VALID), F.concat(stem, F.lit(".parquet")))
 
 

@@ -170,7 +170,7 @@ def relation_status_checked(spark: SparkSession, relations: dict[tuple[str, str]
 
 
 def _short(problem: Exception) -> str:
-    return str(problem).splitlines()[0][:200]
+    return str(problem).splitlines()[0]
 
 
 def source_types(spark: SparkSession, frames: dict[str, DataFrame], *, protected: tuple[str, ...] = ()) -> DataFrame:

@@ -88,8 +88,12 @@ def test_moves(spark):
     assert "JSON text" in by["RAW", "ORDERS"].notes and "no column list" in by["RAW", "LOGS"].notes and "personal data" in by["RAW", "LOGS"].notes
     assert by["RAW", "BIG"].file_target == "raw/big/" and "several files" in by["RAW", "BIG"].notes
     assert by["RAW", "DONE"].target_table == "sf_done" and by["RAW", "DONE"].move_group == 3
-    copied = estate.copy_text(columns, "DB", "STAGE").first().copy_sql
-    assert 'SELECT "ID", TO_JSON("META") AS "META" FROM "DB"."RAW"."ORDERS"' in copied
+    made = estate.move_plan(tables, columns, built=frame(spark, "model string", ("done",)), sources=sources, ratio=1.0)
+    copied = {(r.table_schema, r.table_name): r.copy_sql for r in estate.copy_text(columns, made, "DB", "STAGE").collect()}
+    assert 'INTO @STAGE/raw/raw_orders.parquet FROM (SELECT "ID", TO_JSON("META") AS "META" FROM "DB"."RAW"."ORDERS")' in copied["RAW", "ORDERS"]
+    assert "INTO @STAGE/raw/stage_orders.parquet FROM (SELECT * FROM" in copied["STAGE", "ORDERS"] and "SINGLE = TRUE" in copied["STAGE", "ORDERS"]
+    assert "@STAGE/raw/big/ " in copied["RAW", "BIG"] and "SINGLE" not in copied["RAW", "BIG"] and "@STAGE/expected/done.parquet" in copied["RAW", "DONE"]
+    assert len(set(copied.values())) == len(copied) == 5
     volume = {r.table_schema: tuple(r)[1:] for r in estate.volume(tables, 1.5).collect()}
     assert volume["STAGE"] == (1, 0, 5, 500, 750) and volume["RAW"][:2] == (4, 1)
     assert estate.PARQUET_RATIO == 1.52
@@ -106,7 +110,9 @@ def test_usage(spark):
                     ("SELECT", 1500, "a", "2025-01-07 00:00:00", "DB", 1), ("SELECT", 600, "b", "2025-01-06 00:00:00", "DB", 2), ("COPY", 100, "a", "2025-01-02 12:00:00", "DB", 3),
                     ("SELECT", 1, "a", "2024-12-01 00:00:00", "DB", 1), ("SELECT", 1, "a", "2025-01-07 00:00:00", "X", 1)).withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
     assert [tuple(r) for r in estate.queries_by_type(history, "2025-01-08 00:00:00", database="DB").collect()] == [("SELECT", 2, 2.1, 2), ("COPY", 1, 0.1, 1)]
-    assert estate.queries_by_type(history, "2025-01-08 00:00:00", top=0).count() == 1
+    for top in (0, 500):
+        with pytest.raises(ValueError):
+            estate.queries_by_type(history, "2025-01-08 00:00:00", top=top)
     sessions = frame(spark, "session_id int, client_application_id string", (1, "Tableau Desktop 2024.1"), (2, None), (3, "PythonConnector"))
     clients = estate.queries_by_client(history, sessions, "2025-01-08 00:00:00", database="DB")
     assert rows(clients) == [("PythonConnector", 1), ("Tableau Desktop 2024.1", 1), ("unknown", 1)]
