@@ -1,128 +1,74 @@
-"""The retail sources and models as SQL for the checking engine."""
+"""The retail sources and models as SQL for the checking engine.
+
+Sources are rendered from the generator's table of columns. Models are written from the output
+contract alone: one fact per query, put together by keys.
+"""
 
 from __future__ import annotations
 
 from equipoise.sources import synthetic as g
 
 
-def draw(purpose: str, *key: str, n) -> str:
-    text = " || ':' || ".join([f"'{purpose}'", *[f"({k})" for k in key]])
-    return f"(('0x' || substr(md5({text}), 1, 15))::BIGINT % {n})"
+class Checking(g.Dialect):
+    """The checking engine's spelling."""
+
+    def draw(self, name: str, key: str, n) -> str:
+        return f"(('0x' || substr(md5('{name}|' || {key}), 1, 12))::BIGINT % {n})"
 
+    def moment(self, text: str) -> str:
+        return f"TIMESTAMP '{text}'"
 
-def pick(values, index: str) -> str:
-    listed = ", ".join(f"'{v}'" for v in values)
-    return f"([{listed}])[({index}) + 1]"
+    def later(self, moment: str, seconds: str) -> str:
+        return f"({moment} + to_seconds(({seconds})::BIGINT))"
 
+    def day(self, text: str, days: str) -> str:
+        return f"(DATE '{text}' + ({days})::INTEGER)"
 
-def bands(value: str, limits, otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN {value} < {n} THEN {v}" for n, v in limits) + f" ELSE {otherwise} END"
+    def rows(self, n: str) -> str:
+        return f"unnest(range(1, ({n})::BIGINT + 1))"
 
+    def id(self, value: str) -> str:
+        return f"({value})::BIGINT"
 
-def upper_first(x: str) -> str:
-    return f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+    def money_of_json(self, text: str, path: str) -> str:
+        return f"try_cast({text} ->> '$.{path}' AS DECIMAL(10,2))"
 
 
-def _category(i: str) -> str:
-    return pick(g.CATEGORIES, draw("category", i, n=len(g.CATEGORIES)))
+D = Checking()
+_PARTS = "(SELECT count(*) FROM part)"
 
 
-def _sku(i: str) -> str:
-    code = _category(i)
-    number = f"lpad(({i})::VARCHAR, greatest(5, length(({i})::VARCHAR))::INTEGER, '0')"
-    return f"(CASE WHEN ({i}) % 11 = 0 THEN lower({code}) ELSE {code} END || '-' || {number})"
+def _listed(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {g.NAMES.get(n, n)}" for n, e in columns.items())
 
 
-_EMAIL = f"lower(first) || '.' || replace(lower(last), ' ', '') || person || '@' || {pick(g.DOMAINS, draw('domain', 'person', n=len(g.DOMAINS)))}"
+def _steps(source: str, columns: list[dict[str, str]]) -> str:
+    *steps, last = columns
+    for step in steps:
+        source = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {source})"
+    return f"SELECT {_listed(last)} FROM {source}"
+
+
+_LINES, _LINE = g.line_columns(D, _PARTS)
+_ATTEMPTS = " UNION ALL ".join(f"SELECT {_listed(g.attempt_columns(D, k))} FROM due WHERE {when}" for k, (_, _, when) in enumerate(g.ATTEMPTS))
 
 SOURCES = f"""
-people AS (
-  SELECT c_custkey + 1 AS i, CASE WHEN (c_custkey + 1) % 50 = 0 AND c_custkey + 1 > 25 THEN c_custkey - 24 ELSE c_custkey + 1 END AS person FROM customer),
-named AS (
-  SELECT *, {pick(g.FIRST_NAMES, draw('first_name', 'person', n=len(g.FIRST_NAMES)))} AS first,
-    {pick(g.LAST_NAMES, draw('last_name', 'person', n=len(g.LAST_NAMES)))} AS last,
-    {pick(g.COUNTRIES, draw('country', 'person', n=len(g.COUNTRIES)))} AS country,
-    TIMESTAMP '2023-01-01 00:00:00' + to_seconds({draw('signup', 'person', n=912 * g.DAY)}) AS signup FROM people),
-cleaned AS (SELECT *, {_EMAIL} AS clean FROM named),
-customers AS (
-  SELECT i AS customer_id,
-    CASE WHEN i % 23 = 0 THEN ' ' || first || ' ' ELSE first END AS first_name,
-    CASE WHEN i % 31 = 0 THEN last || '  ' ELSE last END AS last_name,
-    CASE WHEN person <> i AND i % 100 = 0 THEN upper(clean) WHEN person <> i THEN '  ' || clean || ' '
-         WHEN i % 37 = 0 THEN {upper_first('clean')} ELSE clean END AS email,
-    CASE WHEN i % 17 = 0 THEN lower(country) ELSE country END AS country_code,
-    CASE WHEN person <> i THEN signup + to_seconds((30 + i % 200) * 86400) ELSE signup END AS signup_ts,
-    CASE WHEN i % 13 = 0 THEN NULL ELSE {draw('opt_in', 'i', n=3)} = 0 END AS marketing_opt_in
-  FROM cleaned),
-customer_contacts AS (
-  SELECT i AS customer_id,
-    CASE WHEN i % 19 <> 0 THEN '+31 6 ' || lpad({draw('phone', 'i', n=10**8)}::VARCHAR, 8, '0') END AS phone,
-    'NL' || lpad(({draw('iban_check', 'i', n=90)} + 10)::VARCHAR, 2, '0') || 'DEMO' || lpad({draw('iban', 'i', n=10**10)}::VARCHAR, 10, '0') AS iban,
-    DATE '1950-01-01' + {draw('dob', 'i', n=18250)}::INTEGER AS date_of_birth
-  FROM people),
-priced AS (SELECT p_partkey + 1 AS i, p_name, (p_retailprice::DECIMAL(12,2) * 100)::BIGINT AS raw FROM part),
-products AS (
-  SELECT i AS product_id, {_sku('i')} AS sku, p_name AS product_name, {_category('i')} AS category_code,
-    CASE WHEN i % 37 <> 0 THEN ((CASE WHEN i % 3 = 0 THEN raw - raw % 8 + 4 ELSE raw END)::DECIMAL(12,0) * 0.01)::DECIMAL(10,2) END AS unit_price,
-    i % 10 <> 0 AS is_active
-  FROM priced),
-heads AS (
-  SELECT o_orderkey + 1 AS i, o_custkey + 1 AS customer_id, o_orderdate + to_seconds(o_orderkey % 86400) AS order_ts,
-    {bands(draw('status', '(o_orderkey + 1)', n=20), [(2, "'placed'"), (5, "'shipped'"), (17, "'delivered'"), (19, "'cancelled'")], "'returned'")} AS clean,
-    {draw('shipping', '(o_orderkey + 1)', n=10)} AS ship, {draw('coupon', '(o_orderkey + 1)', n=10)} AS cpn FROM orders),
-shop_orders AS (
-  SELECT i AS order_id, customer_id, order_ts,
-    CASE WHEN i % 7 = 0 THEN upper(clean) WHEN i % 11 = 0 THEN {upper_first('clean')} WHEN i % 29 = 0 THEN clean || ' ' ELSE clean END AS status,
-    {bands(draw('channel', 'i', n=20), [(11, "'web'"), (17, "'app'")], "'marketplace'")} AS channel,
-    '{{' || concat_ws(',',
-      CASE WHEN cpn < 6 THEN NULL WHEN cpn < 8 THEN '"coupon":null' ELSE '"coupon":"' || {pick(g.COUPONS, 'i % 4')} || '"' END,
-      CASE WHEN i % 25 <> 0 THEN '"device":"' || {pick(g.DEVICES, draw('device', 'i', n=3))} || '"' END,
-      CASE WHEN i % 40 <> 0 THEN '"shipping":{{"method":' || CASE WHEN ship < 8 THEN '"standard"' ELSE '"express"' END || ',"cost":"' ||
-        CASE WHEN i % 97 = 0 THEN 'n/a' WHEN ship < 7 THEN '4.95' WHEN ship < 8 THEN '0.00' ELSE '9.95' END || '"}}' END,
-      CASE WHEN i % 9 <> 0 THEN '"gift":' || ({draw('gift', 'i', n=10)} = 0)::VARCHAR END) || '}}' AS order_meta
-  FROM heads),
-line_counts AS (
-  SELECT order_id, CASE WHEN order_id % 499 = 0 THEN 0 ELSE {bands(draw('lines', 'order_id', n=20), [(4, 1), (9, 2), (14, 3), (18, 4)], '5')} END AS n FROM shop_orders),
-drawn_lines AS (
-  SELECT order_id, line_no, {draw('product', 'order_id', 'line_no', n='(SELECT count(*) FROM part)')} + 1 AS product_id,
-    {bands(draw('quantity', 'order_id', 'line_no', n=20), [(12, 1), (16, 2), (19, 3)], '5')} AS quantity,
-    ({bands(draw('discount', 'order_id', 'line_no', n=20), [(10, "'0'"), (13, "'5'"), (15, "'10'"), (17, "'12.5'"), (19, "'15'")], "'33.33'")})::DECIMAL(5,2) AS discount_pct
-  FROM (SELECT order_id, unnest(range(1, n + 1)) AS line_no FROM line_counts)),
-order_items AS (
-  SELECT order_id * 10 + line_no AS order_item_id, order_id, d.product_id, quantity,
-    coalesce(p.unit_price, (({draw('legacy_price', 'd.product_id', n=5000)} + 500)::DECIMAL(12,0) * 0.01)::DECIMAL(10,2)) AS unit_price, discount_pct
-  FROM drawn_lines d JOIN products p ON p.product_id = d.product_id),
-paid AS (
-  SELECT o.order_id, o.order_ts, lower(trim(o.status)) AS st,
-    t.items_amount + coalesce(try_cast(o.order_meta ->> '$.shipping.cost' AS DECIMAL(10,2)), 0) AS total, {draw('retry', 'o.order_id', n=10)} = 0 AS failed_first
-  FROM shop_orders o JOIN (SELECT order_id, sum(round(quantity * unit_price * (1 - discount_pct * 0.01), 2)) AS items_amount FROM order_items GROUP BY 1) t
-    ON t.order_id = o.order_id WHERE o.order_id % 20 <> 0),
-attempts AS (
-  SELECT order_id, 1 AS attempt, 'failed' AS status, total, order_ts + INTERVAL 2 MINUTE AS paid_ts FROM paid WHERE failed_first
-  UNION ALL SELECT order_id, 2, 'success', total, order_ts + to_minutes(CASE WHEN failed_first THEN 9 ELSE 3 END) FROM paid
-  UNION ALL SELECT order_id, 3, 'refunded', total, order_ts + INTERVAL 14 DAY FROM paid WHERE st = 'returned'),
-payments AS (
-  SELECT order_id * 10 + attempt AS payment_id, order_id, {pick(g.METHODS, draw('method', 'order_id', 'attempt', n=5))} AS payment_method,
-    (total * 100)::BIGINT AS amount_cents, status, paid_ts FROM attempts),
-clicks AS (
-  SELECT event_id + 1 AS i, user_id + 1 AS customer_id, ts,
-    {bands(draw('event_type', '(event_id + 1)', n=20), [(8, "'page_view'"), (14, "'product_view'"), (18, "'add_to_cart'")], "'checkout'")} AS event_type,
-    {draw('item_count', '(event_id + 1)', n=4)} AS extra, {draw('utm', '(event_id + 1)', n=10)} AS origin FROM events),
-click_items AS (
-  SELECT i, '[' || string_agg('{{"sku":"' ||
-      CASE WHEN {draw('ghost', 'i', 'k', n=60)} = 0 THEN 'XX-' || lpad({draw('ghost_sku', 'i', 'k', n=100000)}::VARCHAR, 5, '0')
-           WHEN {draw('case', 'i', 'k', n=7)} = 0 THEN lower({_sku('prod')}) ELSE {_sku('prod')} END
-      || '","qty":' || ({draw('qty', 'i', 'k', n=3)} + 1)::VARCHAR || '}}', ',' ORDER BY k) || ']' AS items
-  FROM (SELECT i, k, {draw('product', 'i', 'k', n='(SELECT count(*) FROM part)')} + 1 AS prod FROM (
-    SELECT i, unnest(range(1, 1 + CASE event_type WHEN 'page_view' THEN 0 WHEN 'product_view' THEN 1 WHEN 'add_to_cart' THEN 1 + extra % 2 ELSE 1 + extra END)) AS k FROM clicks))
-  GROUP BY i),
-web_events AS (
-  SELECT c.i AS event_id, CASE WHEN {draw('anonymous', 'c.i', n=10)} >= 3 THEN customer_id END AS customer_id, ts AS event_ts, event_type,
-    '{{' || concat_ws(',', '"session_id":"s_' || ({draw('session', 'c.i', n=900000)} + 100000)::VARCHAR || '"',
-      CASE WHEN NOT (event_type = 'page_view' AND c.i % 2 = 0) THEN '"items":' || coalesce(k.items, '[]') END,
-      CASE WHEN origin >= 2 THEN '"utm":{{"source":"' || {pick(g.SOURCES, 'greatest(origin - 2, 0)')} || '","campaign":' ||
-        CASE WHEN {draw('campaign', 'c.i', n=4)} = 0 THEN 'null' ELSE '"' || {pick(g.CAMPAIGNS, draw('campaign_name', 'c.i', n=4))} || '"' END || '}}' END) || '}}' AS payload
-  FROM clicks c LEFT JOIN click_items k ON k.i = c.i)
+people AS (SELECT c_custkey + 1 AS id FROM customer),
+goods AS (SELECT p_partkey + 1 AS id, (p_retailprice::DECIMAL(12,2) * 100)::BIGINT AS price_cents, p_name AS product_name FROM part),
+heads AS (SELECT o_orderkey + 1 AS id, o_custkey + 1 AS customer_id, o_orderdate + to_seconds(o_orderkey % 86400) AS order_ts FROM orders),
+clicks AS (SELECT event_id + 1 AS id, user_id + 1 AS customer_id, ts AS event_ts FROM events),
+customers AS ({_steps('people', g.customer_columns(D))}),
+customer_contacts AS ({_steps('people', g.contact_columns(D))}),
+products AS ({_steps('goods', g.product_columns(D))}),
+shop_orders AS ({_steps('heads', g.order_columns(D))}),
+web_events AS ({_steps('clicks', g.event_columns(D, _PARTS))}),
+drawn_lines AS (SELECT order_id, {_listed(_LINE)} FROM (SELECT order_id, {_listed(_LINES)} FROM shop_orders WHERE order_id % 350 <> 0)),
+order_items AS (SELECT order_item_id, order_id, product_id, quantity, coalesce(p.unit_price, {g.old_price(D, 'product_id')}) AS unit_price, discount_pct
+  FROM drawn_lines JOIN products p ON product_id = wanted),
+due AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in g.payment_columns(D)[0].items())} FROM shop_orders
+  JOIN (SELECT order_id, sum(round(quantity * unit_price * (1 - discount_pct * 0.01), 2)) AS items_amount FROM order_items GROUP BY order_id) USING (order_id)
+  WHERE NOT {g.is_unpaid(D)}),
+payments AS ({_ATTEMPTS})
 """
 
 
@@ -138,114 +84,86 @@ def exact_div(num: str, den: str, scale: int, *, num_scale: int = 2, den_scale:
     )
 
 
+# The cut-off date, category names and segment limits of the output contract.
 AS_OF = "DATE '2026-06-30'"
+CATEGORIES = {"EL": "Electronics", "HO": "Home & Living", "SP": "Sports", "BO": "Books", "TO": "Toys"}
+LOYAL_ORDERS, LAPSED_DAYS = 15, 180
+
+_NAMES = ", ".join(f"'{code}': '{name}'" for code, name in CATEGORIES.items())
+_LOST = "status IN ('cancelled', 'returned')"
+_zero = lambda column, size: f"coalesce({column}, 0)::DECIMAL({size},2)"
 
 MODELS = f"""
 stg_customers AS (
-  SELECT customer_id, trim(first_name) AS first_name, trim(last_name) AS last_name, lower(trim(email)) AS email,
-    upper(trim(country_code)) AS country_code,
-    CASE WHEN upper(trim(country_code)) IN ('NL', 'BE', 'LU') THEN 'Benelux' ELSE 'Rest of EU' END AS region,
-    signup_ts, signup_ts::DATE AS signup_date, strftime(signup_ts, '%Y-%m') AS signup_cohort,
-    datediff('day', signup_ts::DATE, {AS_OF}) AS account_age_days, coalesce(marketing_opt_in, false) AS marketing_opt_in
-  FROM customers),
+  SELECT c.* REPLACE (trim(first_name) AS first_name, trim(last_name) AS last_name, lower(trim(email)) AS email, upper(trim(country_code)) AS country_code,
+      marketing_opt_in IS NOT DISTINCT FROM true AS marketing_opt_in),
+    if(list_contains(['NL', 'BE', 'LU'], upper(trim(country_code))), 'Benelux', 'Rest of EU') AS region, CAST(signup_ts AS DATE) AS signup_date,
+    format('{{:04d}}-{{:02d}}', year(signup_ts), month(signup_ts)) AS signup_cohort, {AS_OF} - CAST(signup_ts AS DATE) AS account_age_days
+  FROM customers c),
 stg_products AS (
-  SELECT product_id, upper(trim(sku)) AS sku, trim(product_name) AS product_name, upper(category_code) AS category_code,
-    CASE upper(category_code) WHEN 'EL' THEN 'Electronics' WHEN 'HO' THEN 'Home & Living' WHEN 'SP' THEN 'Sports'
-      WHEN 'BO' THEN 'Books' WHEN 'TO' THEN 'Toys' ELSE 'Other' END AS category_name,
-    coalesce(unit_price, 0)::DECIMAL(10,2) AS list_price, unit_price IS NULL AS is_price_missing, is_active
+  SELECT product_id, is_active, upper(trim(sku)) AS sku, trim(product_name) AS product_name, upper(category_code) AS category_code,
+    coalesce(MAP {{{_NAMES}}}[upper(category_code)], 'Other') AS category_name, {_zero('unit_price', 10)} AS list_price, unit_price IS NULL AS is_price_missing
   FROM products),
 stg_orders AS (
-  SELECT order_id, customer_id, order_ts, order_ts::DATE AS order_date, date_trunc('month', order_ts)::DATE AS order_month,
-    lower(trim(status)) AS status, lower(channel) AS channel, order_meta ->> '$.coupon' AS coupon_code,
-    order_meta ->> '$.device' AS device, order_meta ->> '$.shipping.method' AS shipping_method,
-    try_cast(order_meta ->> '$.shipping.cost' AS DECIMAL(10,2)) AS shipping_cost,
-    coalesce(CAST(order_meta ->> '$.gift' AS BOOLEAN), false) AS is_gift, order_ts::DATE + 30 AS return_deadline
-  FROM shop_orders),
+  SELECT order_id, customer_id, order_ts, CAST(order_ts AS DATE) AS order_date, make_date(year(order_ts), month(order_ts), 1) AS order_month,
+    lower(trim(status)) AS status, lower(channel) AS channel, m.coupon AS coupon_code, m.device AS device, m.shipping.method AS shipping_method,
+    try_cast(m.shipping.cost AS DECIMAL(10,2)) AS shipping_cost, coalesce(m.gift, false) AS is_gift, CAST(order_ts AS DATE) + 30 AS return_deadline
+  FROM (SELECT *, from_json(order_meta, '{{"coupon":"VARCHAR","device":"VARCHAR","shipping":{{"method":"VARCHAR","cost":"VARCHAR"}},"gift":"BOOLEAN"}}') AS m FROM shop_orders)),
 stg_order_items AS (
-  SELECT order_item_id, order_id, product_id, quantity, unit_price, discount_pct,
-    (quantity * unit_price)::DECIMAL(18,2) AS gross_amount,
-    round(quantity * unit_price * (1 - discount_pct * 0.01), 2)::DECIMAL(18,2) AS line_amount,
-    (quantity * unit_price - round(quantity * unit_price * (1 - discount_pct * 0.01), 2))::DECIMAL(18,2) AS discount_amount
-  FROM order_items),
+  SELECT *, (gross_amount - line_amount)::DECIMAL(18,2) AS discount_amount FROM (
+    SELECT order_item_id, order_id, product_id, quantity, unit_price, discount_pct, (quantity * unit_price)::DECIMAL(18,2) AS gross_amount,
+      round(quantity * unit_price * (1 - discount_pct * 0.01), 2)::DECIMAL(18,2) AS line_amount FROM order_items)),
 stg_payments AS (
-  SELECT payment_id, order_id, lower(payment_method) AS payment_method, lower(status) AS payment_status, amount_cents,
-    (amount_cents * 0.01)::DECIMAL(12,2) AS amount,
-    (CASE lower(status) WHEN 'success' THEN 1 WHEN 'refunded' THEN -1 ELSE 0 END * (amount_cents * 0.01)::DECIMAL(12,2))::DECIMAL(14,2) AS net_amount,
-    paid_ts, paid_ts::DATE AS paid_date
-  FROM payments),
+  SELECT *, (amount * coalesce(MAP {{'success': 1, 'refunded': -1}}[payment_status], 0))::DECIMAL(14,2) AS net_amount FROM (
+    SELECT payment_id, order_id, lower(payment_method) AS payment_method, lower(status) AS payment_status, amount_cents,
+      (amount_cents * 0.01)::DECIMAL(12,2) AS amount, paid_ts, CAST(paid_ts AS DATE) AS paid_date FROM payments)),
+sums AS (SELECT order_id, sum(CAST(line_amount * 100 AS DOUBLE)) AS cents FROM stg_order_items GROUP BY order_id),
 int_order_lines AS (
-  SELECT i.order_item_id, i.order_id, o.customer_id, o.order_date, o.order_month, o.status AS order_status, o.channel,
-    i.product_id, p.sku, p.category_name, i.quantity, i.unit_price, i.discount_pct, i.gross_amount, i.discount_amount, i.line_amount,
-    (i.line_amount * 100)::DOUBLE / nullif(sum((i.line_amount * 100)::DOUBLE) OVER (PARTITION BY i.order_id), 0) AS share_of_order
-  FROM stg_order_items i JOIN stg_orders o ON o.order_id = i.order_id LEFT JOIN stg_products p ON p.product_id = i.product_id),
-flattened AS (
-  SELECT e.event_id, f.idx - 1 AS item_position, e.customer_id, e.event_ts, lower(e.event_type) AS event_type,
-    e.payload ->> '$.session_id' AS session_id, upper(f.item ->> '$.sku') AS sku, CAST(f.item ->> '$.qty' AS BIGINT) AS quantity,
-    e.payload ->> '$.utm.source' AS utm_source, e.payload ->> '$.utm.campaign' AS utm_campaign
-  FROM web_events e, unnest(json_extract(e.payload, '$.items[*]')) WITH ORDINALITY AS f(item, idx)),
+  SELECT order_item_id, order_id, o.customer_id, o.order_date, o.order_month, o.status AS order_status, o.channel, product_id, p.sku, p.category_name,
+    quantity, unit_price, discount_pct, gross_amount, discount_amount, line_amount, if(cents = 0, NULL, CAST(line_amount * 100 AS DOUBLE) / cents) AS share_of_order
+  FROM stg_order_items JOIN sums USING (order_id) JOIN stg_orders o USING (order_id) LEFT JOIN stg_products p USING (product_id)),
 int_web_item_views AS (
-  SELECT event_id || '-' || item_position AS web_item_view_id, event_id, item_position, customer_id, event_ts, event_type,
-    session_id, f.sku, p.product_id, quantity, utm_source, utm_campaign
-  FROM flattened f LEFT JOIN stg_products p ON p.sku = f.sku),
-line_totals AS (
-  SELECT order_id, count(*) AS item_count, sum(quantity)::BIGINT AS units, sum(gross_amount) AS gross_amount,
-    sum(discount_amount) AS discount_amount, sum(line_amount) AS items_amount FROM int_order_lines GROUP BY 1),
-payment_totals AS (
-  SELECT order_id, count(*) AS payment_attempts, count(*) FILTER (WHERE payment_status = 'failed') AS failed_payments,
-    sum(net_amount) AS paid_amount, max(CASE WHEN payment_status = 'success' THEN paid_ts END) AS paid_ts FROM stg_payments GROUP BY 1),
-fact_base AS (
-  SELECT o.order_id, o.customer_id, c.country_code, o.order_ts, o.order_date, o.order_month, o.status, o.channel, o.device,
-    o.shipping_method, o.coupon_code, o.is_gift, coalesce(l.item_count, 0) AS item_count, coalesce(l.units, 0) AS units,
-    coalesce(l.gross_amount, 0)::DECIMAL(12,2) AS gross_amount, coalesce(l.discount_amount, 0)::DECIMAL(12,2) AS discount_amount,
-    coalesce(l.items_amount, 0)::DECIMAL(12,2) AS items_amount, coalesce(o.shipping_cost, 0)::DECIMAL(12,2) AS shipping_amount,
-    (coalesce(l.items_amount, 0) + coalesce(o.shipping_cost, 0))::DECIMAL(12,2) AS order_total,
-    coalesce(p.paid_amount, 0)::DECIMAL(12,2) AS paid_amount, coalesce(p.payment_attempts, 0) AS payment_attempts,
-    coalesce(p.failed_payments, 0) AS failed_payments, p.paid_ts
-  FROM stg_orders o LEFT JOIN stg_customers c ON c.customer_id = o.customer_id
-    LEFT JOIN line_totals l ON l.order_id = o.order_id LEFT JOIN payment_totals p ON p.order_id = o.order_id),
+  SELECT concat_ws('-', event_id, pos - 1) AS web_item_view_id, event_id, pos - 1 AS item_position, customer_id, event_ts, event_type, session_id,
+    upper(item.sku) AS sku, p.product_id, item.qty AS quantity, utm_source, utm_campaign
+  FROM (SELECT event_id, customer_id, event_ts, lower(event_type) AS event_type, w.session_id, w.utm.source AS utm_source, w.utm.campaign AS utm_campaign,
+      unnest(w.items) AS item, generate_subscripts(w.items, 1) AS pos
+    FROM (SELECT *, from_json(payload, '{{"session_id":"VARCHAR","utm":{{"source":"VARCHAR","campaign":"VARCHAR"}},"items":[{{"sku":"VARCHAR","qty":"BIGINT"}}]}}') AS w FROM web_events))
+  LEFT JOIN stg_products p ON p.sku = upper(item.sku)),
+booked AS (
+  SELECT order_id, 1 AS lines, quantity, gross_amount, discount_amount, line_amount, NULL AS payment_status, NULL AS net_amount, NULL AS paid_ts FROM stg_order_items
+  UNION ALL SELECT order_id, 0, NULL, NULL, NULL, NULL, payment_status, net_amount, paid_ts FROM stg_payments),
 fct_orders AS (
-  SELECT order_id, customer_id, country_code, order_ts, order_date, order_month, status, channel, device, shipping_method,
-    coupon_code, coupon_code IS NOT NULL AS has_coupon, is_gift, item_count, units, gross_amount, discount_amount, items_amount,
-    shipping_amount, order_total, paid_amount, payment_attempts, failed_payments, paid_ts,
-    CASE WHEN {exact_div('paid_amount', 'order_total', 8, den_scale=2, div0=True)} >= 1 THEN true ELSE false END AS is_fully_paid,
-    (CASE WHEN status IN ('cancelled', 'returned') THEN 0 ELSE order_total END)::DECIMAL(12,2) AS net_revenue
-  FROM fact_base),
-account_map AS (
-  SELECT customer_id, first_value(customer_id) OVER (PARTITION BY email ORDER BY signup_ts, customer_id) AS owner_id,
-    count(*) OVER (PARTITION BY email) AS accounts FROM stg_customers),
-order_stats AS (
-  SELECT a.owner_id, count(*) AS lifetime_orders, count(*) FILTER (WHERE o.status = 'delivered') AS delivered_orders,
-    count(*) FILTER (WHERE o.status IN ('cancelled', 'returned')) AS cancelled_or_returned_orders,
-    count(*) FILTER (WHERE o.has_coupon) AS orders_with_coupon, sum(o.net_revenue) AS lifetime_revenue,
-    min(o.order_date) AS first_order_date, max(o.order_date) AS last_order_date
-  FROM fct_orders o JOIN account_map a ON a.customer_id = o.customer_id GROUP BY 1),
-web_stats AS (
-  SELECT a.owner_id, count(*) FILTER (WHERE v.event_type = 'product_view') AS product_views,
-    count(*) FILTER (WHERE v.event_type = 'add_to_cart') AS cart_adds
-  FROM int_web_item_views v JOIN account_map a ON a.customer_id = v.customer_id GROUP BY 1),
+  SELECT *, if(order_total = 0, false, {exact_div('paid_amount', 'order_total', 8, den_scale=2)} >= 1) AS is_fully_paid, if({_LOST}, 0, order_total)::DECIMAL(12,2) AS net_revenue
+  FROM (SELECT o.order_id, o.customer_id, any_value(c.country_code) AS country_code, o.order_ts, o.order_date, o.order_month, o.status, o.channel, o.device, o.shipping_method,
+      o.coupon_code, o.coupon_code IS NOT NULL AS has_coupon, o.is_gift, coalesce(sum(b.lines), 0)::BIGINT AS item_count, coalesce(sum(b.quantity), 0)::BIGINT AS units,
+      {_zero('sum(b.gross_amount)', 12)} AS gross_amount, {_zero('sum(b.discount_amount)', 12)} AS discount_amount, {_zero('sum(b.line_amount)', 12)} AS items_amount,
+      {_zero('o.shipping_cost', 12)} AS shipping_amount, ({_zero('sum(b.line_amount)', 12)} + {_zero('o.shipping_cost', 12)})::DECIMAL(12,2) AS order_total,
+      {_zero('sum(b.net_amount)', 12)} AS paid_amount, count(b.payment_status) AS payment_attempts, count(*) FILTER (WHERE b.payment_status = 'failed') AS failed_payments,
+      max(b.paid_ts) FILTER (WHERE b.payment_status = 'success') AS paid_ts
+    FROM stg_orders o LEFT JOIN booked b USING (order_id) LEFT JOIN stg_customers c ON c.customer_id = o.customer_id
+    GROUP BY o.order_id, o.customer_id, o.order_ts, o.order_date, o.order_month, o.status, o.channel, o.device, o.shipping_method, o.coupon_code, o.is_gift, o.shipping_cost)),
+persons AS (SELECT email, arg_min(customer_id, (signup_ts, customer_id)) AS customer_id, count(*) - 1 AS merged_accounts FROM stg_customers GROUP BY email),
+lives AS (
+  SELECT email, count(order_id) AS lifetime_orders, count(*) FILTER (WHERE status = 'delivered') AS delivered_orders, count(*) FILTER (WHERE {_LOST}) AS cancelled_or_returned_orders,
+    count(*) FILTER (WHERE has_coupon) AS orders_with_coupon, {_zero('sum(net_revenue)', 12)} AS lifetime_revenue, min(order_date) AS first_order_date, max(order_date) AS last_order_date
+  FROM stg_customers LEFT JOIN fct_orders USING (customer_id) GROUP BY email),
+looks AS (
+  SELECT email, count(*) FILTER (WHERE event_type = 'product_view') AS product_views, count(*) FILTER (WHERE event_type = 'add_to_cart') AS cart_adds
+  FROM stg_customers LEFT JOIN int_web_item_views USING (customer_id) GROUP BY email),
 dim_customers AS (
-  SELECT d.customer_id, d.first_name, d.last_name, d.email, d.country_code, d.region, d.signup_date, d.signup_cohort, d.marketing_opt_in,
-    a.accounts - 1 AS merged_accounts, coalesce(s.lifetime_orders, 0) AS lifetime_orders, coalesce(s.delivered_orders, 0) AS delivered_orders,
-    coalesce(s.cancelled_or_returned_orders, 0) AS cancelled_or_returned_orders, coalesce(s.orders_with_coupon, 0) AS orders_with_coupon,
-    coalesce(s.lifetime_revenue, 0)::DECIMAL(12,2) AS lifetime_revenue, s.first_order_date, s.last_order_date,
-    datediff('day', s.last_order_date, {AS_OF}) AS days_since_last_order, coalesce(w.product_views, 0) AS product_views,
-    coalesce(w.cart_adds, 0) AS cart_adds,
-    CASE WHEN coalesce(s.lifetime_orders, 0) = 0 THEN 'prospect' WHEN s.lifetime_orders >= 15 THEN 'loyal'
-      WHEN datediff('day', s.last_order_date, {AS_OF}) > 180 THEN 'lapsed' ELSE 'active' END AS customer_segment
-  FROM (SELECT * FROM stg_customers QUALIFY row_number() OVER (PARTITION BY email ORDER BY signup_ts, customer_id) = 1) d
-    JOIN account_map a ON a.customer_id = d.customer_id
-    LEFT JOIN order_stats s ON s.owner_id = d.customer_id LEFT JOIN web_stats w ON w.owner_id = d.customer_id),
-monthly AS (
-  SELECT order_month, country_code, count(*) AS orders, count(*) FILTER (WHERE status NOT IN ('cancelled', 'returned')) AS revenue_orders,
-    count(DISTINCT customer_id) AS customers, sum(net_revenue)::DECIMAL(14,2) AS revenue, sum(discount_amount)::DECIMAL(14,2) AS discounts,
-    coalesce(string_agg(DISTINCT channel, ',' ORDER BY channel), '') AS channels
-  FROM fct_orders GROUP BY 1, 2),
+  SELECT customer_id, first_name, last_name, email, country_code, region, signup_date, signup_cohort, marketing_opt_in, merged_accounts, lives.* EXCLUDE (email),
+    {AS_OF} - last_order_date AS days_since_last_order, product_views, cart_adds,
+    CASE WHEN lifetime_orders >= {LOYAL_ORDERS} THEN 'loyal' WHEN lifetime_orders = 0 THEN 'prospect' WHEN {AS_OF} - last_order_date <= {LAPSED_DAYS} THEN 'active' ELSE 'lapsed' END AS customer_segment
+  FROM persons JOIN stg_customers USING (customer_id, email) JOIN lives USING (email) JOIN looks USING (email)),
 rpt_monthly_revenue AS (
-  SELECT order_month, country_code, orders, revenue_orders, customers, revenue, discounts,
-    round({exact_div('revenue', 'revenue_orders', 8, div0=True)}, 2)::DECIMAL(18,2) AS avg_order_value,
-    round(100 * ((revenue * 100)::DOUBLE / nullif(sum((revenue * 100)::DOUBLE) OVER (PARTITION BY order_month), 0)), 2)::DECIMAL(9,2) AS revenue_share_pct,
-    channels
-  FROM monthly)
+  WITH months AS (
+    SELECT order_month, country_code, count(*) AS orders, count(*) FILTER (WHERE NOT {_LOST}) AS revenue_orders, count(DISTINCT customer_id) AS customers,
+      sum(net_revenue)::DECIMAL(14,2) AS revenue, sum(discount_amount)::DECIMAL(14,2) AS discounts, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels
+    FROM fct_orders GROUP BY ALL),
+  totals AS (SELECT order_month, sum(CAST(revenue * 100 AS DOUBLE)) AS month_cents FROM months GROUP BY ALL)
+  SELECT months.*, round({exact_div('revenue', 'revenue_orders', 8, div0=True)}, 2)::DECIMAL(18,2) AS avg_order_value,
+    round(100 * (CAST(revenue * 100 AS DOUBLE) / nullif(month_cents, 0)), 2)::DECIMAL(9,2) AS revenue_share_pct
+  FROM months JOIN totals USING (order_month))
 """
 
 

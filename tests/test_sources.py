@@ -102,17 +102,23 @@ def test_generated_sources_hold_the_planted_defects(spark, project):
         declared = spark.createDataFrame([], schema).schema
         assert [(f.name, f.dataType) for f in sources[name].schema] == [(f.name, f.dataType) for f in declared], name
     c = sources["customers"]
-    assert c.where("marketing_opt_in is null").count() == 600 // 13
-    assert c.where("email <> lower(trim(email))").count() > 10 and c.where("country_code <> upper(country_code)").count() == 600 // 17
+    assert c.where("marketing_opt_in is null").count() > 10 and c.where("first_name <> trim(first_name)").count() > 0 and c.where("last_name <> trim(last_name)").count() > 0
+    assert c.where("email <> lower(trim(email))").count() > 10 and c.where("country_code <> upper(country_code)").count() > 10
+    assert c.selectExpr("lower(trim(email)) e").distinct().count() == 600 - 600 // 40
+    p = sources["products"]
+    assert p.where("unit_price is null or sku <> upper(sku)").count() > 0 and p.where("not is_active").count() > 0
     o = sources["orders"]
     assert o.where("status <> lower(trim(status))").count() > 300 and o.where("order_meta like '%n/a%'").count() > 10
     assert o.where("order_meta like '%\"coupon\":null%'").count() > 100 and o.where("order_meta not like '%coupon%'").count() > 1000
     i = sources["order_items"]
-    assert i.where("order_id % 499 = 0").count() == 0 and 2 < i.count() / 2500 < 4
+    assert i.where("order_id % 350 = 0").count() == 0 and 2 < i.count() / 2500 < 4
     assert i.where("pmod(quantity * unit_price * discount_pct * 10, 10) = 5").count() > 0
-    assert sources["payments"].where("order_id % 20 = 0").count() == 0
+    pay = sources["payments"]
+    unpaid = o.join(pay, "order_id", "left_anti").count()
+    assert 50 < unpaid < 300 and pay.where("status = 'failed'").count() > 100 and pay.where("status = 'refunded'").count() > 100
     e = sources["web_events"]
     assert 0.2 < e.where("customer_id is null").count() / 1500 < 0.4 and e.where("payload like '%\"items\":[]%'").count() > 50
+    assert e.where("payload like '%??.%'").count() > 10 and e.where("payload not like '%items%'").count() > 50 and e.where("payload not like '%utm%'").count() > 100
     again = synthetic.customers(synthetic.ids(spark, 600))
     assert rows(again) == rows(c)
 
