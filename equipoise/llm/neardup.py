@@ -198,10 +198,25 @@ def _prefixes(open_sets: DataFrame) -> DataFrame:
                 size = len(x) - -(-PERCENT * len(x) // 100) + 1
                 shingles.append(x[np.lexsort((x, known))[:size]])
                 rows += [i] * len(shingles[-1])
-            taken = batch.select(["set_key", "component", "n_shingles"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(shingles or [np.empty(0, U64)]).view(np.int64))], ["set_key", "component", "n_shingles", "shingle"])
+            taken = batch.select(["set_key", "component", "n_shingles", "number"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(shingles or [np.empty(0, U64)]).view(np.int64))], ["set_key", "component", "n_shingles", "number", "shingle"])
 
-    return map_arrow(open_sets.select("set_key", "component", "n_shingles", "shingles"), cut, "set_key binary, component binary, n_shingles long, shingle long")
+    return map_arrow(open_sets.select("set_key", "component", "n_shingles", "number", "shingles"), cut, "set_key binary, component binary, n_shingles long, number long, shingle long")
+
+
+def _alone(open_sets: DataFrame) -> DataFrame:
+    """number and alone: how many shingles of a set no other set holds."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(iter([batch]), "shingles"):
+                sizes = np.array([len(x) // 8 for x in part["shingles"].to_pylist()], dtype=np.int64)
+                values = np.frombuffer(b"".join(part["shingles"].to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(part["number"].to_numpy(), sizes))], ["shingle", "number"])
+
+    spread_out = map_arrow(open_sets.select("number", "shingles"), spread, "shingle long, number long")
+    held = spread_out.groupBy("shingle").agg(F.count("*").alias("c"), F.min("number").alias("number"))
+    return held.filter("c = 1").groupBy("number").agg(F.count("*").alias("alone"))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -240,12 +255,16 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = large.join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select("bucket", "set_key", label.alias("component"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     undecided = placed.join(mixed_buckets, "bucket", "left_semi").groupBy("set_key").agg(F.any_value("component").alias("component"))
-    open_sets = cut_lineage(sets.join(undecided, "set_key"))
-    prefixes = cut_lineage(_prefixes(open_sets))
+    open_sets = cut_lineage(sets.join(undecided, "set_key").withColumn("number", F.monotonically_increasing_id()))
+    # what a set has in common with any other is at most what others hold too
+    common = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
+    prefixes = _prefixes(open_sets).join(_alone(open_sets), "number", "left").select("set_key", "component", "n_shingles", "shingle", common)
+    prefixes = cut_lineage(prefixes.filter(f"100 * common >= {PERCENT} * n_shingles"))
     split = prefixes.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     across = prefixes.join(split, "shingle", "left_semi")
-    side = lambda x: across.select("shingle", F.col("set_key").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    rest = side("a").join(side("b"), "shingle").filter(f"a < b and c_a <> c_b and {_sized('n_a', 'n_b')}").select("a", "b").distinct()
+    side = lambda x: across.select("shingle", F.col("set_key").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("common").alias(f"m_{x}"))
+    enough = f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"  # the common part of a link is no smaller
+    rest = side("a").join(side("b"), "shingle").filter(f"a < b and c_a <> c_b and {_sized('n_a', 'n_b')} and {enough}").select("a", "b").distinct()
     more = cut_lineage(confirmed(likely(rest, classes), sets))
     if not more.isEmpty():
         found = components(links.unionByName(more))
