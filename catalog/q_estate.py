@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.shop import table
 from equipoise.plans import estate, textscan
-from equipoise.plans.rules import RULES
+from equipoise.plans.rules import RULES, full_pattern
 
 # Metadata: a part is a table, its order lines are the columns.
 _TYPES = ("NUMBER(38,0)", "VARCHAR", "VARIANT", "TIMESTAMP_LTZ", "GEOGRAPHY", "float", "DATE", "HYPERCUBE", "ARRAY", "BOOLEAN", "TIMESTAMP_NTZ", "TEXT")
@@ -305,8 +305,8 @@ def corpus(spark, sf_dir):
 
 # Rules made of function names only; the others look around a match, which the checking engine's
 # expressions cannot.
-_CALLS = [r for r in RULES if r.calls and not r.extra]
-_CALLS_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.construct}', '{r.klass}', '(?i){r.pattern}')" for r in _CALLS) + ") r(rule, construct, class, pattern))"
+_CALLS = [r for r in RULES if r.functions and not r.pattern]
+_CALLS_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.name}', '{r.cost}', '(?i){full_pattern(r)}')" for r in _CALLS) + ") r(rule, construct, class, pattern))"
 _SPECIAL = r"--[^\n]*|/\*.*?(?:\*/|\z)|\{#.*?(?:#\}|\z)|\$\$.*?(?:\$\$|\z)|''[^'']*(?:''''[^'']*)*''?"
 _MASKED_SQL = (
     "masked AS (SELECT path, array_to_string(list_transform(regexp_extract_all(text, '(?s)" + _SPECIAL + "|[^-/{$'']+|.'), lambda s: CASE WHEN regexp_matches(s, '(?s)^(?:--|/\\*|\\{#|\\$\\$|'').*') "
@@ -316,7 +316,7 @@ _HITS_SQL = f"{_CORPUS_SQL}, {_MASKED_SQL}, {_CALLS_SQL}, hits AS (SELECT path,
 
 
 def _call_hits(spark, sf_dir):
-    named = [r.construct for r in _CALLS]
+    named = [r.name for r in _CALLS]
     return textscan.scan(corpus(spark, sf_dir)).where(F.col("construct").isin(*named))
 
 

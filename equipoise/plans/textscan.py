@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.plans.rules import CLASSES, RULES, rules_for
+from equipoise.plans.rules import CLASSES, RULES, full_pattern
 
 _MARK, _TEMPLATE = "\u0001", "\u0002"
 # The delimiters of comments, template comments, dollar bodies and literals.
@@ -103,14 +103,14 @@ def _bool(value: bool) -> str:
 
 def _fires(rule, flags: str) -> str:
     tests = []
-    if rule.calls:
-        tests.append(f"arrays_overlap(called, array({', '.join(_sql(n) for n in rule.calls)}))")
-    if rule.extra:
+    if rule.functions:
+        tests.append(f"arrays_overlap(called, array({', '.join(_sql(n) for n in rule.functions.split())}))")
+    if rule.pattern:
         # Inside a literal the construct is looked for again on the hits, with literals kept.
-        where, lowered = ("text", "lowered_text") if rule.keep_strings else ("code", "lowered")
-        checks = [" or ".join(f"contains({lowered}, {_sql(n)})" for n in rule.needs)] if rule.needs else []
+        where, lowered = ("text", "lowered_text") if "strings" in rule.marks else ("code", "lowered")
+        checks = [" or ".join(f"contains({lowered}, {_sql(n)})" for n in rule.words.split())] if rule.words else []
         checks += [f"rlike({where}, {_sql(rule.gate)})"] if rule.gate else []
-        checks += [f"rlike({where}, {_sql(flags + rule.extra)})"]
+        checks += [f"rlike({where}, {_sql(flags + rule.pattern)})"]
         tests.append("(" + " and ".join(f"({c})" for c in checks) + ")")
     return " or ".join(tests)
 
@@ -118,7 +118,9 @@ def _fires(rule, flags: str) -> str:
 def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     # Java's U flag gives \w, \b and \s the Unicode meaning the patterns were written for.
     flags = "(?iuUm)" if context == "yaml" else "(?iuU)"
-    rules = rules_for(context)
+    # a procedure body is searched for what SQL texts are searched for, too
+    kinds = {context, "sql"} if context == "proc" else {context}
+    rules = [(i, r) for i, r in enumerate(RULES) if r.text_kind in kinds]
     sql = context != "yaml"
     prepared = texts.select(
         "path", "text", (mask_sql(F.col("text")) if sql else F.translate("text", _MARK, " ")).alias("code")
@@ -133,8 +135,8 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
     fired = ", ".join(f"if({_fires(r, flags)}, {i}, null)" for i, r in rules)
     pairs = prepared.select("path", "text", "code", F.explode(F.expr(f"array_compact(array({fired}))")).alias("rule_no"))
     entries = ", ".join(
-        f"struct({_sql(flags + r.pattern)} as pattern, '{r.id}' as rule, {_sql(r.construct)} as construct, '{r.klass}' as class, "
-        f"{_bool(r.weight)} as counts, {_bool(r.skip_templates)} as skip, {_bool(r.keep_strings)} as keep)"
+        f"struct({_sql(flags + full_pattern(r))} as pattern, '{r.id}' as rule, {_sql(r.name)} as construct, '{r.cost}' as class, "
+        f"{_bool('hint' not in r.marks)} as counts, {_bool('templates' in r.marks)} as skip, {_bool('strings' in r.marks)} as keep)"
         for r in RULES
     )
     table = F.expr(f"array({entries})")

@@ -103,7 +103,7 @@ def test_masking_keeps_length_and_lines(spark):
 
 def test_rule_table():
     assert len(rules.RULES) == 62
-    assert [sum(r.context == c for r in rules.RULES) for c in ("sql", "proc", "yaml")] == [54, 2, 6]
+    assert [sum(r.text_kind == c for r in rules.RULES) for c in ("sql", "proc", "yaml")] == [54, 2, 6]
 
 
 def test_alias_shadow(spark):
