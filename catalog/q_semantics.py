@@ -78,10 +78,10 @@ def number_semantics(spark, sf_dir):
 
 
 @query("try_number", """
-WITH t AS (SELECT doc_id, split_part(text, ' ', 1) AS word, CASE doc_id % 8 WHEN 0 THEN (doc_id % 900) || '.955' WHEN 1 THEN ' ' || doc_id || ' '
+WITH t AS (SELECT doc_id, string_split(text, ' ') AS words, CASE doc_id % 8 WHEN 0 THEN (doc_id % 900) || '.955' WHEN 1 THEN ' ' || doc_id || ' '
   WHEN 2 THEN '' WHEN 3 THEN 'n/a' WHEN 4 THEN '1,' || doc_id WHEN 5 THEN '-' || (doc_id % 900) || '.4' WHEN 6 THEN doc_id || 'e1' ELSE NULL END AS s FROM documents)
 SELECT doc_id, try_cast(s AS DECIMAL(10,2)) AS two_places, try_cast(s AS DECIMAL(18,0))::BIGINT AS whole, try_cast(s AS DOUBLE) AS as_double,
-  try_cast(word AS DECIMAL(10,2)) AS from_word FROM t""")
+  len(list_filter(words, lambda w: try_cast(w AS DECIMAL(10,2)) IS NOT NULL))::BIGINT AS number_words FROM t""")
 def try_number(spark, sf_dir):
     i = F.col("doc_id")
     spelled = (
@@ -89,10 +89,10 @@ def try_number(spark, sf_dir):
         .when(i % 8 == 2, "").when(i % 8 == 3, "n/a").when(i % 8 == 4, F.concat(F.lit("1,"), i.cast("string")))
         .when(i % 8 == 5, F.concat(F.lit("-"), (i % 900).cast("string"), F.lit(".4"))).when(i % 8 == 6, F.concat(i.cast("string"), F.lit("e1")))
     )
-    t = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("word"), spelled.alias("s"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"), spelled.alias("s"))
     return t.select(
         "doc_id", nu.try_to_number(F.col("s"), 10, 2).alias("two_places"), nu.try_to_number(F.col("s"), 18, 0).cast("bigint").alias("whole"),
-        nu.try_to_double(F.col("s")).alias("as_double"), nu.try_to_number(F.col("word"), 10, 2).alias("from_word"),
+        nu.try_to_double(F.col("s")).alias("as_double"), F.size(F.filter("words", lambda w: nu.try_to_number(w, 10, 2).isNotNull())).cast("bigint").alias("number_words"),
     )
 
 

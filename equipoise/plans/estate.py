@@ -21,7 +21,6 @@ VERIFIED, INFERENCE = "verified", "inference"
 # Measured unload size of seven tables, in bytes: warehouse storage and Parquet.
 WAREHOUSE_BYTES, PARQUET_BYTES = 1_631_232, 2_486_443
 PARQUET_RATIO = round(PARQUET_BYTES / WAREHOUSE_BYTES, 2)
-PARQUET_RATIO_RANGE = (0.99, 2.17)
 SEMI_STRUCTURED = ("VARIANT", "OBJECT", "ARRAY")
 BASE_TABLE_TYPES = ("BASE TABLE", "TABLE", "TEMPORARY TABLE", "TRANSIENT TABLE")
 SCHEMA_COLUMNS = (

@@ -89,13 +89,11 @@ def encode_semi_structured(df: DataFrame) -> DataFrame:
     )
 
 
-def fits_single_file(estimated_bytes: int | None) -> bool:
-    """Whether the source warehouse would still unload the table as one file."""
-    return estimated_bytes is None or estimated_bytes < SINGLE_FILE_LIMIT
+def unload(df: DataFrame, path: str, *, row_bytes: int, estimated_bytes: int | None = None) -> None:
+    """Write Parquet, replacing ``path``, in files of about FILE_BYTES by the caller's bytes a row.
 
-
-def unload(df: DataFrame, path: str, *, estimated_bytes: int | None = None, row_bytes: int = 200) -> None:
-    """Write Parquet, replacing ``path``. Only a table known to fit one file goes through one task."""
+    Only a table known to fit one such file goes through one task.
+    """
     out = encode_semi_structured(df)
     if estimated_bytes is not None and estimated_bytes <= FILE_BYTES:
         out = out.coalesce(1)
