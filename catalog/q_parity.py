@@ -79,6 +79,18 @@ def parity_match(spark, sf_dir):
     return compare(a, b, ["c_custkey"], name="customer").models.select("model", "status", *_COUNTS, "differing_columns")
 
 
+@query("parity_nested", """
+SELECT 'mismatch' AS status, count(*) AS rows_expected, count(*) AS rows_actual, 0::BIGINT AS only_in_expected, 0::BIGINT AS only_in_actual, 0::BIGINT AS dup_keys_expected,
+  0::BIGINT AS dup_keys_actual, count(*) FILTER (WHERE o_orderkey % 100 = 3) AS diff_v, count(*) FILTER (WHERE o_orderkey % 20 = 2) AS diff_d FROM orders""")
+def parity_nested(spark, sf_dir):
+    """Maps inside arrays and structs in another order are equal; NaN is NaN, but no infinity is the other."""
+    orders = table(spark, sf_dir, "orders")
+    odd = "case o_orderkey % 10 when 1 then double('NaN') when 2 then double({}) else o_totalprice end as d"
+    side = lambda entries, infinity: orders.selectExpr("o_orderkey as k", f"named_struct('m', array(map({entries}))) as v", odd.format(infinity))
+    changed = "'b', o_orderstatus, 'a', if(o_orderkey % 100 = 3, 'changed', o_orderpriority)"
+    return _wide(compare(side("'a', o_orderpriority, 'b', o_orderstatus", "'Infinity'"), side(changed, "if(o_orderkey % 20 = 2, '-Infinity', 'Infinity')"), ["k"]), ["v", "d"])
+
+
 _NULL_KEYS_SQL = f"""
 WITH a AS (SELECT nullif(o_custkey % 40, 11) AS g, nullif(o_orderstatus, 'F') AS s, count(*) AS n, sum(o_totalprice::DECIMAL(12,2))::DECIMAL(28,2) AS total FROM orders GROUP BY 1, 2),
 b AS (SELECT g, s, n, CASE WHEN g IS NULL THEN total + 1 ELSE total END AS total FROM a)

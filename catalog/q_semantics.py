@@ -106,6 +106,7 @@ SELECT event_id, strftime(a, '%Y-%m') AS ym, strftime(a, '%d/%m/%y %H:%M:%S') AS
   datediff('quarter', a, b) AS quarters,
   CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(date_trunc('week', d) AS DATE) AS week_start, date_trunc('hour', a) AS hour_start,
   strftime(d, '%a') AS day_name, strftime(d, '%b') AS month_name, dayofweek(d) AS dow, isodow(d) AS dow_iso, week(d) AS iso_week,
+  d AS day_start, d AS hour_of_date, d::TIMESTAMP + INTERVAL 5 HOUR AS plus_hours, CAST(make_date(year(d), 1, 1) + INTERVAL 14 MONTH - INTERVAL 3 DAY AS DATE) AS carried_parts,
   last_day(d) AS month_end, trunc(epoch(a))::BIGINT AS epoch_s, CAST(strptime(strftime(a, '%d/%m/%Y'), '%d/%m/%Y') AS DATE) AS parsed,
   timezone('Europe/Amsterdam', timezone('UTC', a)) AS amsterdam
 FROM t""")
@@ -125,6 +126,8 @@ def date_semantics(spark, sf_dir):
         between("year").alias("years"), between("hour").alias("hours"), between("minute").alias("minutes"),
         between("week").alias("weeks"), between("quarter").alias("quarters"),
         dt.trunc_date("month", d).alias("month_start"), dt.trunc_date("week", d).alias("week_start"),
+        dt.trunc_date("day", d).alias("day_start"), dt.trunc_date("hour", d).alias("hour_of_date"), dt.add_to_date("hour", 5, d).alias("plus_hours"),
+        dt.date_from_parts(F.year(d), F.lit(15), F.lit(-2)).alias("carried_parts"),
         dt.trunc_timestamp("hour", a).alias("hour_start"), dt.day_name(d).alias("day_name"), dt.month_name(d).alias("month_name"),
         dt.day_of_week(d).cast("bigint").alias("dow"), dt.day_of_week_iso(d).cast("bigint").alias("dow_iso"),
         dt.week_of_year(d).cast("bigint").alias("iso_week"), F.last_day(d).alias("month_end"), dt.epoch_seconds(a).cast("bigint").alias("epoch_s"),
