@@ -16,6 +16,8 @@ from equipoise.session import cut_lineage
 
 #: How far the mixture goes from the corpus' own shares (1) to equal shares (0).
 POWER = 0.9
+#: Share of the tokens that the mixture keeps.
+KEEP = 0.85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = docs.withColumn("topic", mixing.topic())
     counted = cut_lineage(mixing.with_tokens(own, public_tokenizers.path("byte_bpe_50k.json")))
     targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER)
-    return mixing.mix(counted, targets).filter("sampled").select(*docs.columns)
+    return mixing.mix(counted, targets, keep=KEEP).filter("sampled").select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.llm.bpe import encoder, read_tokenizer
+from equipoise.llm.bpe import ENCODE_BYTES, encoder, read_tokenizer
 from equipoise.llm.common import map_arrow, ship, steps
 
 #: All values of a dimension that have no target of their own share one.
@@ -40,7 +40,7 @@ def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value).encode
-        for batch in steps(batches):
+        for batch in steps(batches, size=ENCODE_BYTES):
             _, bounds = encode(batch["text"])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.diff(bounds))], [*names, column])
 
@@ -102,15 +102,16 @@ def draw(seed: int) -> Column:
     return digits.cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str = "n_tokens", budget: float | None = None, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str = "n_tokens", keep: float | None = None, seed: int = 0) -> DataFrame:
     """``docs`` with ``probability`` and ``sampled``: weights raked to the targets, and a draw for each document.
 
     ``targets`` names dimensions (columns) and the share of each value; values without one, and null,
     count as ``(rest)``, whose share is what the others leave. Weights are summed by cell, the table of
     cells is raked, and a cell's documents get the probability (raked weight / own weight) times a
-    scale. The scale makes the expected weight ``budget``, or, without one, as large as the targets
-    allow with no probability over 1. With a budget beyond that, probabilities stop at 1 and the cells
-    that have room take over what is missing. Rows with one id are drawn together, as are all without
+    scale. Without ``keep`` the scale is as large as the targets allow with no probability over 1, which
+    a rare value with a high target can make small. With ``keep`` (0 to 1) the expected weight is that
+    share of the corpus: probabilities stop at 1, so cells that are too small for their target are taken
+    whole, and the others share what is missing in proportion. Rows with one id are drawn together, as are all without
     an id; documents of weight 0 count like those of their cell. An empty table gives no rows.
     Sampling is what this operator does: rows are marked, none are dropped.
     """
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
         table[tuple(at[i, r[k]] for i, k in enumerate(keys))] = float(r["w"] or 0)
     fitted = rake(table, [np.array([shares[d][v] for v in values[d]]) for d in dimensions])
     ratio = np.divide(fitted, table, out=np.zeros_like(fitted), where=table > 0)
-    probability = np.minimum(1.0, ratio * _scale(ratio, table, budget))
+    probability = np.minimum(1.0, ratio * _scale(ratio, table, keep))
     rows = [(*(values[d][k] for d, k in zip(dimensions, where, strict=True)), float(probability[where])) for where in np.ndindex(*shape) if table[where] > 0]
     schema = ", ".join([*(f"{k} string" for k in keys), "probability double"])
     cells = docs.sparkSession.createDataFrame(rows, schema)
@@ -141,11 +142,12 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
     return joined.withColumn("probability", chance).withColumn("sampled", draw(seed) < F.col("probability"))
 
 
-def _scale(ratio: np.ndarray, table: np.ndarray, budget: float | None) -> float:
+def _scale(ratio: np.ndarray, table: np.ndarray, keep: float | None) -> float:
     if not ratio.max(initial=0) > 0:
         return 0.0
-    if budget is None:
+    if keep is None:
         return 1.0 / ratio.max()
+    budget = keep * table.sum()
     low, high = 0.0, 1.0 / ratio[ratio > 0].min()
     for _ in range(100):
         middle = (low + high) / 2

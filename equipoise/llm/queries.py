@@ -60,7 +60,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.topic())
     counted = cut_lineage(mixing.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "source", "lang", "topic", "n_tokens"))
     targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", power=0.9)
-    return mixing.mix(counted, targets).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+    return mixing.mix(counted, targets, keep=0.85).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
 @query("op4_best_fit_packing")
