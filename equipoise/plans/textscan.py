@@ -3,13 +3,14 @@
 The corpus is a table (path, context, text). All work is per text, inside the JVM and without a
 shuffle: comments and literals are blanked at equal length so offsets still point into the
 original, one pass lists the functions a text calls, and only texts with a match pay for positions.
+The alias hints are the exception: lines and names of a text meet in a join.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equipoise.plans.rules import CLASSES, RULES, full_pattern
@@ -49,10 +50,35 @@ def mask_templates(text: Column) -> Column:
     return F.array_join(F.transform(_segments(plain, _TEMPLATES, "{"), inside), "")
 
 
-def _running(values: Column) -> Column:
-    """[0, v1, v1 + v2, ...]"""
-    start = F.array(F.lit(0))
-    return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+#: Numbers that are summed one by one; whole blocks before them come as one sum.
+_BLOCK = 256
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda total, v: total + v)
+
+
+def _with_running(df: DataFrame, **sums: str) -> DataFrame:
+    """For each new column the sums [0, v1, v1 + v2, ...] of an array column.
+
+    Sums of blocks, then of the blocks before each block, then within a block: a step only reads
+    columns of the step before, so the work grows with the length of the array and not with its square.
+    """
+    part = lambda name, block, n: F.slice(name, block * _BLOCK + 1, n)
+    blocks = lambda name: F.sequence(F.lit(0), F.floor(F.size(name) / _BLOCK).cast("int"))
+    ahead = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    block_sums = lambda name: F.transform(blocks(name), lambda k: _sum(part(name, k, F.lit(_BLOCK))))
+    df = df.withColumns({f"{new}_blocks": block_sums(name) for new, name in sums.items()})
+    df = df.withColumns({f"{new}_before": F.aggregate(f"{new}_blocks", F.array(F.lit(0)), ahead) for new in sums})
+
+    def running(new: str, name: str) -> Column:
+        block = lambda i: F.floor(i / _BLOCK).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.size(name)),
+            lambda i: F.get(F.col(f"{new}_before"), block(i)) + _sum(part(name, block(i), i % _BLOCK)),
+        )
+
+    return df.withColumns({new: running(new, name) for new, name in sums.items()})
 
 
 def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, **arrays: Column) -> DataFrame:
@@ -71,13 +97,14 @@ def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, **arra
             **{f"_{n}": a for n, a in arrays.items()},
         }
     )
-    measured = cut.select(
+    lengths = cut.select(
         *kept,
         F.transform("_found", F.length).alias("_sizes"),
-        _running(F.transform("_pieces", F.length)).alias("_starts"),
-        _running(F.transform("_pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))).alias("_breaks"),
+        F.transform("_pieces", F.length).alias("_lengths"),
+        F.transform("_pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("_lines"),
         *[F.col(f"_{n}") for n in arrays],
     )
+    measured = _with_running(lengths, _starts="_lengths", _breaks="_lines")
     nth = lambda c: F.slice(c, F.lit(2), F.size("_sizes"))
     zipped = F.arrays_zip(nth("_starts"), nth("_breaks"), F.col("_sizes"), *[F.col(f"_{n}") for n in arrays])
     fields = ["start", "breaks", "size", *arrays]
@@ -164,25 +191,20 @@ def alias_shadow(corpus: DataFrame) -> DataFrame:
 
     Candidates to read, not defects.
     """
-    lines = F.split(F.lower(mask_sql(F.col("text"))), r"\r?\n", -1)
     alias = r"[^a-z0-9_]as[ \t]+([a-z_][a-z0-9_]*)"
-
-    def step(acc, line):
-        block = F.when(line.rlike(r"(^|[^a-z0-9_])select([^a-z0-9_]|$)"), F.expr("cast(array() as array<string>)")).otherwise(acc["known"])
-        named = F.filter(F.regexp_extract_all(line, F.lit(alias), F.lit(1)), lambda n: ~n.isin(*TYPE_NAMES))
-        seen = F.struct(block.alias("known"), F.regexp_replace(line, alias, " ").alias("line"))
-        return F.struct(F.array_union(block, named).alias("known"), F.concat(acc["out"], F.array(seen)).alias("out"))
-
-    empty = F.struct(
-        F.expr("cast(array() as array<string>)").alias("known"),
-        F.expr("cast(array() as array<struct<known:array<string>,line:string>>)").alias("out"),
-    )
-    walked = F.aggregate(lines, empty, step, lambda acc: acc["out"])
-    rows = corpus.select("path", F.posexplode(walked).alias("at", "row")).select(
-        "path", (F.col("at") + 1).alias("line_no"), F.col("row.line").alias("line"), F.explode("row.known").alias("alias")
-    )
-    used = F.concat(F.lit(r"(^|[^a-z0-9_.])"), F.col("alias"), F.lit(r"([^a-z0-9_.(]|$)"))
-    return rows.where(F.rlike(F.col("line"), used)).select("path", "line_no", "alias")
+    lines = F.split(F.lower(mask_sql(F.col("text"))), r"\r?\n", -1)
+    # texts are told apart by a number, since paths may repeat
+    numbered = corpus.select("path", lines.alias("lines")).withColumn("text_no", F.monotonically_increasing_id())
+    rows = numbered.select("path", "text_no", F.posexplode("lines").alias("at", "line"))
+    begins = F.col("line").rlike(r"(^|[^a-z0-9_])select([^a-z0-9_]|$)").cast("int")
+    order = Window.partitionBy("text_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = rows.select("path", "text_no", "at", "line", F.sum(begins).over(order).alias("block"))
+    named = blocks.select("text_no", "block", "at", F.explode(F.regexp_extract_all("line", F.lit(alias), F.lit(1))).alias("alias"))
+    known = named.where(~F.col("alias").isin(*TYPE_NAMES)).groupBy("text_no", "block", "alias").agg(F.min("at").alias("since"))
+    word = r"(?<![a-z0-9_.])([a-z_][a-z0-9_]*+)(?![a-z0-9_.(])"
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("line", alias, " "), F.lit(word), F.lit(1)))
+    used = blocks.select("path", "text_no", "block", "at", F.explode(words).alias("alias"))
+    return used.join(known, ["text_no", "block", "alias"]).where("at > since").select("path", (F.col("at") + 1).alias("line_no"), "alias")
 
 
 def regex_backslashes(corpus: DataFrame) -> DataFrame:
