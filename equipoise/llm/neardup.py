@@ -187,7 +187,7 @@ def _prefixes(open_sets: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, n = sent.value
         for batch in batches:
-            rows, shingles = [], []
+            rows, shingles, ranks = [], [], []
             for i, raw in enumerate(batch["shingles"]):
                 x = np.frombuffer(raw.as_buffer(), U64)
                 at = np.searchsorted(values, x)
@@ -198,10 +198,11 @@ def _prefixes(open_sets: DataFrame) -> DataFrame:
                 size = len(x) - -(-PERCENT * len(x) // 100) + 1
                 shingles.append(x[np.lexsort((x, known))[:size]])
                 rows += [i] * len(shingles[-1])
+                ranks += range(len(shingles[-1]))
             taken = batch.select(["set_key", "component", "n_shingles", "number"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(shingles or [np.empty(0, U64)]).view(np.int64))], ["set_key", "component", "n_shingles", "number", "shingle"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(shingles or [np.empty(0, U64)]).view(np.int64)), pa.array(ranks, pa.int64())], ["set_key", "component", "n_shingles", "number", "shingle", "place"])
 
-    return map_arrow(open_sets.select("set_key", "component", "n_shingles", "number", "shingles"), cut, "set_key binary, component binary, n_shingles long, number long, shingle long")
+    return map_arrow(open_sets.select("set_key", "component", "n_shingles", "number", "shingles"), cut, "set_key binary, component binary, n_shingles long, number long, shingle long, place long")
 
 
 def _alone(open_sets: DataFrame) -> DataFrame:
@@ -258,12 +259,13 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_sets = cut_lineage(sets.join(undecided, "set_key").withColumn("number", F.monotonically_increasing_id()))
     # what a set has in common with any other is at most what others hold too
     common = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
-    prefixes = _prefixes(open_sets).join(_alone(open_sets), "number", "left").select("set_key", "component", "n_shingles", "shingle", common)
+    prefixes = _prefixes(open_sets).join(_alone(open_sets), "number", "left").select("set_key", "component", "n_shingles", "shingle", "place", common)
     prefixes = cut_lineage(prefixes.filter(f"100 * common >= {PERCENT} * n_shingles"))
     split = prefixes.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     across = prefixes.join(split, "shingle", "left_semi")
-    side = lambda x: across.select("shingle", F.col("set_key").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("common").alias(f"m_{x}"))
-    enough = f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"  # the common part of a link is no smaller
+    side = lambda x: across.select("shingle", F.col("set_key").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.least("common", F.col("n_shingles") - F.col("place")).alias(f"m_{x}"))
+    # all that two sets share comes no earlier than the first shingle they share, so at that one this holds for a link
+    enough = f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"
     rest = side("a").join(side("b"), "shingle").filter(f"a < b and c_a <> c_b and {_sized('n_a', 'n_b')} and {enough}").select("a", "b").distinct()
     more = cut_lineage(confirmed(likely(rest, classes), sets))
     if not more.isEmpty():
