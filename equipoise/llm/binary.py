@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equipoise.llm.bpe import encoder, read_tokenizer
+from equipoise.llm.bpe import ENCODE_BYTES, encoder, read_tokenizer
 from equipoise.llm.common import commit_file, files, map_arrow, open_folder, ship, steps
 from equipoise.session import shared_folder
 
@@ -110,7 +110,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
                 open_ids.clear()
                 return packed
 
-            for batch in steps(_chain(first, batches)):
+            for batch in steps(_chain(first, batches), size=ENCODE_BYTES):
                 ids, bounds = encode(batch["text"])
                 heads = np.zeros(batch.num_rows, HEAD)
                 heads["doc_id"] = batch["doc_id"].fill_null(0).to_numpy()

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
 
+#: Texts that are encoded together, in bytes: words they share are looked up once.
+ENCODE_BYTES = 1 << 22
 #: Words that a task remembers; further ones are encoded each time.
 REMEMBERED = 1_200_000
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

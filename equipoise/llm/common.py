@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Texts of one step in a task, in bytes; a longer text is a step of its own.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 #: Rows of one Arrow batch; with it a batch of long texts stays small.
 BATCH_ROWS = 1024
 #: Words whose hash a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,13 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about STEP_BYTES of ``column``, or one row."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``size`` bytes of ``column``, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
+        group = np.cumsum(sizes, dtype=np.int64) // size
         cuts = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(start, end - start)

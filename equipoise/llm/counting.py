@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.llm.bpe import Encoder, encoder, read_tokenizer
+from equipoise.llm.bpe import ENCODE_BYTES, Encoder, encoder, read_tokenizer
 from equipoise.llm.common import map_arrow, ship, steps
 from equipoise.session import cut_lineage
 
@@ -110,7 +111,7 @@ def token_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value)
-        for batch in steps(batches):
+        for batch in steps(batches, size=ENCODE_BYTES):
             leaves = [segments(t or "") for t in batch["text"].to_pylist()]
             flat = [x for own in leaves for x in own]
             tokens = _counts(encode, flat)
@@ -138,13 +139,20 @@ def edited_counts(docs: DataFrame, trees: DataFrame, tokenizer_path: str) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits", text_key().alias("key"))
     names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_leaves", "n_encoded", "chars_encoded"]
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = pa.array([squeeze((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], packed, batch["edits"], batch["key"]], ["doc_id", "packed", "edits", "key"])
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(sent.value)
-        for batch in steps(batches):
+        encode, expand = encoder(sent.value), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
             loaded, edits = [], []
-            for text, own, chars, tokens in zip(*(batch[c].to_pylist() for c in ("text", "edits", "leaf_chars", "leaf_tokens")), strict=True):
+            for packed, own, chars, tokens in zip(*(batch[c].to_pylist() for c in ("packed", "edits", "leaf_chars", "leaf_tokens")), strict=True):
+                text = expand(packed).decode()
                 ends = np.cumsum(chars).tolist()
-                loaded.append(Tree([(text or "")[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.array(tokens)))
+                loaded.append(Tree([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.array(tokens)))
                 edits.append([e for e in own or () if e is not None])
             before = [t.tokens for t in loaded]
             encoded, chars = np.zeros(len(loaded), np.int64), np.zeros(len(loaded), np.int64)
@@ -158,4 +166,7 @@ def edited_counts(docs: DataFrame, trees: DataFrame, tokenizer_path: str) -> Dat
             values = [before, [len(e) for e in edits], [t.tokens for t in loaded], [len(t.leaves) for t in loaded], encoded, chars]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.asarray(v, dtype=np.int64)) for v in values)], names)
 
-    return map_arrow(rows.join(trees.drop("n_tokens"), "key"), apply, ", ".join(f"{n} long" for n in names))
+    edit_type = docs.schema["edits"].dataType.simpleString()
+    # texts go through the shuffle compressed
+    packed = map_arrow(rows, pack, f"doc_id long, packed binary, edits {edit_type}, key binary")
+    return map_arrow(packed.join(trees.drop("n_tokens"), "key"), apply, ", ".join(f"{n} long" for n in names))
