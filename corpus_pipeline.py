@@ -14,6 +14,8 @@ from equipoise.llm import mixing, neardup, packing, quality, substrings
 from equipoise.llm.common import table
 from equipoise.session import cut_lineage
 
+#: Near copies have at least this many hundredths of their shingles in common; op6's contract says 85, this stage's rule 80.
+NEAR_PERCENT = 80
 #: How far the mixture goes from the corpus' own shares (1) to equal shares (0).
 POWER = 0.9
 #: Share of the tokens that the mixture keeps.
@@ -28,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,13 @@ from equipoise.llm.graphs import components
 from equipoise.session import cut_lineage
 
 SHINGLE = 5
-#: A link needs at least this many hundredths of the union in common.
+#: A link needs at least this many hundredths of the union in common, where the caller names no other number.
 PERCENT = 85
-#: A pair at the threshold shares no band with probability (1 - 0.85 ** 4) ** 32, about 6e-11.
+#: A pair at the threshold shares no band with probability (1 - 0.85 ** 4) ** 32, about 6e-11; at 80 % it is 5e-8.
 BANDS, ROWS = 32, 4
 K = BANDS * ROWS
-#: Pairs that agree in fewer coordinates are no links: at 85 % one misses this by chance once in 1e9.
-LEAST_AGREEING = int(K * 0.64)
+#: How often a pair at the threshold may agree in too few coordinates by chance.
+MISSED = 1e-9
 #: Frequent shingles whose order is sent to the executors.
 FREQUENT = 200_000
 CHUNK = 1 << 15
@@ -127,26 +128,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "set_key binary, n_shingles long, shingles binary")
 
 
-def _sized(a: str, b: str) -> str:
+def least_agreeing(percent: int) -> int:
+    """Pairs that agree in fewer coordinates are no links: at ``percent`` one misses this by chance once in 1 / MISSED (81 at 85, 73 at 80)."""
+    p, missed, least = percent / 100, 0.0, 0
+    while least < K and (missed := missed + comb(K, least) * p**least * (1 - p) ** (K - least)) <= MISSED:
+        least += 1
+    return least
+
+
+def _sized(a: str, b: str, percent: int) -> str:
     """Could sets of these sizes be linked at all?"""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures do not rule out a link."""
+    least = least_agreeing(percent)
     side = lambda x: classes.select(F.col("set_key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, K) for c in ("s_a", "s_b")]
-            kept = pa.array((s[0] == s[1]).sum(axis=1) >= LEAST_AGREEING)
+            kept = pa.array((s[0] == s[1]).sum(axis=1) >= least)
             yield batch.select(["a", "b"]).filter(kept)
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sized("n_a", "n_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sized("n_a", "n_b", percent))
     return map_arrow(both.select("a", "b", "s_a", "s_b"), agree, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that are links by their full sets, as u and v."""
     side = lambda x: sets.select(F.col("set_key").alias(x), F.col("shingles").alias(f"s_{x}"))
 
@@ -158,14 +168,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                kept.append(100 * common >= PERCENT * (len(both) - common))
+                kept.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return map_arrow(both.select("a", "b", "s_a", "s_b"), compare, "u binary, v binary")
 
 
-def _prefixes(open_sets: DataFrame) -> DataFrame:
+def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
     """Each set's rarest shingles, enough of them that two linked sets have one in common.
 
     Any order that is the same for all sets is right; here it is the number of sets that hold a
@@ -195,7 +205,7 @@ def _prefixes(open_sets: DataFrame) -> DataFrame:
                 if len(values):
                     at = np.minimum(at, len(values) - 1)
                     known = np.where(values[at] == x, n[at], 0)
-                size = len(x) - -(-PERCENT * len(x) // 100) + 1
+                size = len(x) - -(-percent * len(x) // 100) + 1
                 shingles.append(x[np.lexsort((x, known))[:size]])
                 rows += [i] * len(shingles[-1])
                 ranks += range(len(shingles[-1]))
@@ -220,8 +230,8 @@ def _alone(open_sets: DataFrame) -> DataFrame:
     return held.filter("c = 1").groupBy("number").agg(F.count("*").alias("alone"))
 
 
-def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of all documents, component of each linked set_key).
+def link_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all documents, component of each linked set_key); links have ``percent`` hundredths in common.
 
     1. Equal sets are one class, found by an aggregate; all that follows works on classes.
     2. In each bucket (classes that share a band) every member is compared with one of them, that
@@ -245,11 +255,11 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = members.select("bucket", F.col("set_key").alias("a")).join(centre.select("bucket", F.col("c.set_key").alias("b")), "bucket").filter("a <> b")
     # a pair is written one way round, so that two buckets with the two as centres give it once
     pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut_lineage(likely(pairs, classes))
+    pairs = cut_lineage(likely(pairs, classes, percent))
     large = members.filter("members > 2")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(large.select("set_key")).distinct()
     sets = cut_lineage(full_sets(docs, classes.join(keys, "set_key", "left_semi").select("doc_id")))
-    links = cut_lineage(confirmed(pairs, sets))
+    links = cut_lineage(confirmed(pairs, sets, percent))
     found = components(links)
 
     label = F.coalesce("component", "set_key")
@@ -259,22 +269,22 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_sets = cut_lineage(sets.join(undecided, "set_key").withColumn("number", F.monotonically_increasing_id()))
     # what a set has in common with any other is at most what others hold too
     common = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common")
-    prefixes = _prefixes(open_sets).join(_alone(open_sets), "number", "left").select("set_key", "component", "n_shingles", "shingle", "place", common)
-    prefixes = cut_lineage(prefixes.filter(f"100 * common >= {PERCENT} * n_shingles"))
+    prefixes = _prefixes(open_sets, percent).join(_alone(open_sets), "number", "left").select("set_key", "component", "n_shingles", "shingle", "place", common)
+    prefixes = cut_lineage(prefixes.filter(f"100 * common >= {percent} * n_shingles"))
     split = prefixes.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     across = prefixes.join(split, "shingle", "left_semi")
     side = lambda x: across.select("shingle", F.col("set_key").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.least("common", F.col("n_shingles") - F.col("place")).alias(f"m_{x}"))
     # all that two sets share comes no earlier than the first shingle they share, so at that one this holds for a link
-    enough = f"{100 + PERCENT} * least(m_a, m_b) >= {PERCENT} * (n_a + n_b)"
-    rest = side("a").join(side("b"), "shingle").filter(f"a < b and c_a <> c_b and {_sized('n_a', 'n_b')} and {enough}").select("a", "b").distinct()
-    more = cut_lineage(confirmed(likely(rest, classes), sets))
+    enough = f"{100 + percent} * least(m_a, m_b) >= {percent} * (n_a + n_b)"
+    rest = side("a").join(side("b"), "shingle").filter(f"a < b and c_a <> c_b and {_sized('n_a', 'n_b', percent)} and {enough}").select("a", "b").distinct()
+    more = cut_lineage(confirmed(likely(rest, classes, percent), sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return prints, found
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    prints, found = link_components(docs)
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    prints, found = link_components(docs, percent)
     rows = prints.select("doc_id", "n_shingles", "set_key")
     filled = rows.filter("n_shingles > 0")
     ids = filled.groupBy("set_key").agg(F.min("doc_id").alias("least"))
@@ -287,7 +297,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to), kept; one row a document.
 
     A-Z count as lower case; words are runs of bytes other than 20 and 09-0D. A document with fewer
@@ -296,17 +306,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     after the others (null if there are none) and they are not kept. Rows that repeat an id are rows of
     their own. Other columns are ignored; an empty table gives no rows.
     """
-    return _judged(docs).drop("set_key")
+    return _judged(docs, percent).drop("set_key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group of near copies: that with the smallest id, all columns as they are.
 
     Equal rows are one. Rows without an id go where their group has a document with one; otherwise one
     of each set stays. Texts of documents that surely stay are not shuffled: a filter of all ids that
     lose a row or occur twice parts them from the few that are joined with the decisions.
     """
-    judged = cut_lineage(_judged(docs))
+    judged = cut_lineage(_judged(docs, percent))
     doubtful = judged.groupBy("doc_id").agg(F.count("*").alias("c"), F.every("kept").alias("all")).filter("c > 1 or not all")
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(doubtful, "doc_id"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -107,7 +107,7 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(
 @query("op6_circulant_minhash", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 @query("op7_edit_aware_counts")

@@ -133,6 +133,23 @@ def test_near_duplicate_chain(spark):
     assert plain(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(df.collect()), key=str)
 
 
+def test_near_copies_stage_links_at_80(spark):
+    """Pairs of the stage's rule: about 0.82 goes, 0.80 sharp goes, under it both stay; op6's 85 links none of them."""
+    import corpus_pipeline
+
+    base = words(21, 204).split()
+    edited = lambda k: " ".join("z" + w if i in range(10, 10 + 10 * k, 10) else w for i, w in enumerate(base))
+    sharp, below = words(22, 13).split(), words(23, 12).split()
+    texts = [" ".join(base), edited(4), " ".join(sharp[:12]), " ".join(sharp[:11] + ["q"]), " ".join(sharp[:12] + ["x", "y"]), " ".join(below), " ".join(below + ["x", "y", "z"])]
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.81 < alike(0, 1) < 0.83 and alike(2, 4) == 0.8 and alike(5, 6) < 0.8 and alike(2, 3) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").orderBy("doc_id").collect()] == [0, 2, 3, 5, 6]
+    assert neardup.near_duplicates(df, percent=85).filter("kept").count() == len(texts)
+    assert neardup.least_agreeing(85) == 81 and neardup.least_agreeing(80) == 73
+
+
 def encoded(path, text, end):
     return tokenizers.Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end]
 
