@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens by source, language and topic follow tempered shares."""
     own = docs.withColumn("topic", mixing.topic())
     counted = cut_lineage(mixing.with_tokens(own, public_tokenizers.path("byte_bpe_50k.json")))
-    targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER)
+    targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER, KEEP)
     return mixing.mix(counted, targets, keep=KEEP).filter("sampled").select(*docs.columns)
 
 

@@ -53,10 +53,12 @@ def _category(dimension: str, values: Sequence[str]) -> Column:
     return F.when(c.isin(list(values)), c).otherwise(F.lit(REST))
 
 
-def tempered_targets(docs: DataFrame, dimensions: Sequence[str], weight: str, power: float) -> dict[str, dict[str, float]]:
+def tempered_targets(docs: DataFrame, dimensions: Sequence[str], weight: str, power: float, keep: float | None = None) -> dict[str, dict[str, float]]:
     """Targets that lie between the corpus (power 1) and equal shares (power 0).
 
     The OWN_TARGETS heaviest values of each dimension have their own share; all others are weighed as one.
+    With ``keep`` no target is more than the corpus holds when that share of it is kept: such a value's
+    target is all it has, and the dimension's other values share the rest by the same rule.
     """
     targets = {}
     for d in dimensions:
@@ -66,33 +68,105 @@ def tempered_targets(docs: DataFrame, dimensions: Sequence[str], weight: str, po
         total = float(sums.agg(F.sum("w")).first()[0] or 0)
         if (rest := total - sum(own.values())) > 1e-9 * total:
             own[REST] = own.get(REST, 0.0) + rest
-        powers = {v: w**power for v, w in own.items()}
-        targets[d] = {v: w / sum(powers.values()) for v, w in powers.items()}
+        held = np.array(list(own.values()))
+        shares = held**power / max((held**power).sum(), 1e-300)
+        if keep is not None and total > 0:
+            shares = reachable(shares, held / total, keep)
+            shares = shares / shares.sum()
+        targets[d] = dict(zip(own, shares.tolist(), strict=True))
     return targets
 
 
-def rake(weights: np.ndarray, margins: Sequence[np.ndarray], rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
-    """Iterative proportional fitting: ``weights`` scaled along one axis after the other until all margins hold.
+def _raised(weights: np.ndarray, others: np.ndarray, own: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """The factor of each value with which its cells, each taken whole at most, weigh as much as its margin.
 
-    A margin's share of values that have no weight at all goes to the others in proportion. Margins
-    that contradict the empty cells are met as closely as the last round comes.
+    What a value's cells weigh is concave in its factor, so steps along the tangent come to the root
+    from below. A value whose margin is all it has gets a factor that takes its last cell whole.
+    """
+    sums = lambda x: np.bincount(own, x, len(margin))
+    least = np.full(len(margin), np.inf)
+    np.minimum.at(least, own, others)
+    whole = margin >= sums(weights) * (1 - 1e-12)
+    slope = sums(weights * others)
+    factor = np.divide(margin, slope, out=np.zeros_like(slope), where=slope > 0)
+    for _ in range(1000):
+        full = factor[own] * others >= 1
+        slope = sums(np.where(full, 0.0, weights * others))
+        more = np.divide(margin - sums(np.where(full, weights, 0.0)), slope, out=np.zeros_like(slope), where=slope > 0)
+        if not (more[~whole] > factor[~whole] * (1 + 1e-13)).any():
+            break
+        factor = np.maximum(factor, more)
+    return np.where(whole & (margin > 0) & (least > 0), 1 / np.maximum(least, 1e-300), factor)
+
+
+def reachable(margin: np.ndarray, held: np.ndarray, budget: float) -> np.ndarray:
+    """``budget`` dealt out in proportion to ``margin``, to no value more than it ``held``; less if those with a margin hold less."""
+    there = (margin > 0) & (held > 0)
+    out = np.zeros(len(margin))
+    if there.any():
+        ratio = margin[there] / held[there]
+        factor = _raised(held[there], ratio, np.zeros(int(there.sum()), np.int64), np.array([budget]))
+        out[there] = held[there] * np.minimum(1.0, factor[0] * ratio)
+    return out
+
+
+def fit(weights: np.ndarray, codes: Sequence[np.ndarray], wanted: Sequence[np.ndarray], whole: bool, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
+    """The factor of each cell (``codes`` say which value of each dimension it has) with which the sums by value are ``wanted``.
+
+    Iterative proportional fitting: a cell's factor is the product of its values' factors, and one
+    dimension's factors after the other are set so that its margin holds. With ``whole`` no cell's
+    factor is over 1: the cells that would be are held there while the open ones are fitted to the
+    rest of each margin. Margins that contradict the cells are met as closely as the last round comes.
     """
-    fitted = weights / max(weights.sum(), 1e-300)
-    wanted = []
-    for axis, margin in enumerate(margins):
-        there = fitted.sum(axis=tuple(i for i in range(fitted.ndim) if i != axis)) > 0
-        m = np.where(there, margin, 0.0)
-        wanted.append(m / m.sum() if m.sum() > 0 else m)
+    if not len(weights):
+        return np.ones(0)
+    factors = [np.ones(len(m)) for m in wanted]
+    product = lambda but: np.prod([f[c] for i, (f, c) in enumerate(zip(factors, codes, strict=True)) if i != but], axis=0) * np.ones(len(weights))
+    limited = lambda x: np.minimum(1.0, x) if whole else x
     for _ in range(rounds):
         worst = 0.0
-        for axis, margin in enumerate(wanted):
-            have = fitted.sum(axis=tuple(i for i in range(fitted.ndim) if i != axis))
+        for axis, (own, margin) in enumerate(zip(codes, wanted, strict=True)):
+            others = product(axis)
+            have = np.bincount(own, weights * limited(factors[axis][own] * others), len(margin))
             worst = max(worst, float(np.abs(have - margin).max(initial=0)))
-            factor = np.divide(margin, have, out=np.zeros_like(margin), where=have > 0)
-            fitted = fitted * factor.reshape([-1 if i == axis else 1 for i in range(fitted.ndim)])
+            if whole:
+                raised = _raised(weights, others, own, margin)
+            else:
+                slope = np.bincount(own, weights * others, len(margin))
+                raised = np.divide(margin, slope, out=np.zeros_like(slope), where=slope > 0)
+            factors[axis] = np.where(raised > 0, np.clip(raised, 1e-90, 1e90), 0.0)
         if worst < tolerance:
             break
-    return fitted
+    return limited(product(None))
+
+
+def rake(weights: np.ndarray, margins: Sequence[np.ndarray], rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
+    """Iterative proportional fitting: ``weights`` scaled along one axis after the other until all margins hold.
+
+    A margin's share of values that have no weight at all goes to the others in proportion. Margins
+    that contradict the empty cells are met as closely as the last round comes.
+    """
+    codes, out = np.nonzero(weights > 0), np.zeros(weights.shape)
+    cells = weights[codes] / max(weights.sum(), 1e-300)
+    out[codes] = cells * fit(cells, codes, _present(cells, codes, margins), False, rounds, tolerance)
+    return out
+
+
+def _present(cells: np.ndarray, codes: Sequence[np.ndarray], margins: Sequence[np.ndarray]) -> list[np.ndarray]:
+    wanted = [np.where(np.bincount(own, cells, len(m)) > 0, m, 0.0) for own, m in zip(codes, margins, strict=True)]
+    return [m / m.sum() if m.sum() > 0 else m for m in wanted]
+
+
+def chances(weights: np.ndarray, codes: Sequence[np.ndarray], margins: Sequence[np.ndarray], keep: float | None) -> np.ndarray:
+    """The probability of each cell."""
+    cells = weights / max(weights.sum(), 1e-300)
+    wanted = _present(cells, codes, margins)
+    if keep is None:
+        ratio = fit(cells, codes, wanted, False)
+        return ratio / max(ratio.max(initial=0), 1e-300)
+    held = [np.bincount(own, cells, len(m)) for own, m in zip(codes, wanted, strict=True)]
+    budget = min([keep, *(h[m > 0].sum() for h, m in zip(held, wanted, strict=True))])
+    return fit(cells, codes, [reachable(m, h, budget) for m, h in zip(wanted, held, strict=True)], True)
 
 
 def draw(seed: int) -> Column:
@@ -107,12 +181,14 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
 
     ``targets`` names dimensions (columns) and the share of each value; values without one, and null,
     count as ``(rest)``, whose share is what the others leave. Weights are summed by cell, the table of
-    cells is raked, and a cell's documents get the probability (raked weight / own weight) times a
-    scale. Without ``keep`` the scale is as large as the targets allow with no probability over 1, which
-    a rare value with a high target can make small. With ``keep`` (0 to 1) the expected weight is that
-    share of the corpus: probabilities stop at 1, so cells that are too small for their target are taken
-    whole, and the others share what is missing in proportion. Rows with one id are drawn together, as are all without
-    an id; documents of weight 0 count like those of their cell. An empty table gives no rows.
+    cells is raked, and a cell's documents get the probability (raked weight / own weight). Without
+    ``keep`` all are scaled as far as the targets allow with no probability over 1, which a rare value
+    with a high target can make small. With ``keep`` (0 to 1) the expected weight is that share of the
+    corpus: cells that would have a probability over 1 are taken whole and the others are raked again to
+    what is left of each margin, so the margins hold. A value of which the corpus holds less than its
+    target at this ``keep`` is taken whole, and the other values of its dimension share what is missing
+    in proportion. Rows with one id are drawn together, as are all without an id; documents of weight 0
+    count like those of their cell. An empty table gives no rows.
     Sampling is what this operator does: rows are marked, none are dropped.
     """
     dimensions = list(targets)
@@ -127,29 +203,13 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
     marked = docs.select("*", *cell)
     keys = [f"_equipoise_{i}" for i in range(len(dimensions))]
     sums = marked.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("w")).collect()  # a row a cell
-    table = np.zeros(shape)
-    at = {(i, v): k for i, d in enumerate(dimensions) for k, v in enumerate(values[d])}
-    for r in sums:
-        table[tuple(at[i, r[k]] for i, k in enumerate(keys))] = float(r["w"] or 0)
-    fitted = rake(table, [np.array([shares[d][v] for v in values[d]]) for d in dimensions])
-    ratio = np.divide(fitted, table, out=np.zeros_like(fitted), where=table > 0)
-    probability = np.minimum(1.0, ratio * _scale(ratio, table, keep))
-    rows = [(*(values[d][k] for d, k in zip(dimensions, where, strict=True)), float(probability[where])) for where in np.ndindex(*shape) if table[where] > 0]
+    sums = [r for r in sums if r["w"]]
+    at = [{v: k for k, v in enumerate(values[d])} for d in dimensions]
+    codes = [np.array([at[i][r[k]] for r in sums], dtype=np.int64) for i, k in enumerate(keys)]
+    probability = chances(np.array([float(r["w"]) for r in sums]), codes, [np.array([shares[d][v] for v in values[d]]) for d in dimensions], keep)
+    rows = [(*(r[k] for k in keys), float(p)) for r, p in zip(sums, probability, strict=True)]
     schema = ", ".join([*(f"{k} string" for k in keys), "probability double"])
     cells = docs.sparkSession.createDataFrame(rows, schema)
     joined = marked.drop("probability", "sampled").join(F.broadcast(cells), keys, "left").drop(*keys)  # as many rows as cells
     chance = F.coalesce(F.col("probability"), F.lit(0.0))
     return joined.withColumn("probability", chance).withColumn("sampled", draw(seed) < F.col("probability"))
-
-
-def _scale(ratio: np.ndarray, table: np.ndarray, keep: float | None) -> float:
-    if not ratio.max(initial=0) > 0:
-        return 0.0
-    if keep is None:
-        return 1.0 / ratio.max()
-    budget = keep * table.sum()
-    low, high = 0.0, 1.0 / ratio[ratio > 0].min()
-    for _ in range(100):
-        middle = (low + high) / 2
-        low, high = (middle, high) if (np.minimum(1.0, ratio * middle) * table).sum() < budget else (low, middle)
-    return high

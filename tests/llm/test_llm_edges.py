@@ -228,6 +228,18 @@ def test_mixing(spark, docs, empty):
     assert abs(sum(r["n_tokens"] * r["probability"] for r in half) / sum(r["n_tokens"] for r in half) - 0.5) < 1e-3
 
 
+def test_raking_holds_whole_cells():
+    """Cells whose probability would be over 1 are taken whole, and the open ones still meet each margin."""
+    weights, codes = np.array([300.0, 10, 5, 100, 90, 5, 200, 40, 250]), [np.repeat(np.arange(3), 3), np.tile(np.arange(3), 3)]
+    margins = [np.array([0.3, 0.22, 0.48]), np.array([0.58, 0.15, 0.27])]
+    p = mixing.chances(weights, codes, margins, 0.85)
+    assert 0 < p.min() and p.max() == 1 and p.min() < 1 and abs(p @ weights - 850) < 1e-6
+    for own, margin in zip(codes, margins, strict=True):
+        assert np.allclose(np.bincount(own, p * weights) / 850, margin, atol=1e-8)
+    # more is wanted of the last value than there is: it is taken whole, the others share the rest as targeted
+    assert np.allclose(mixing.reachable(np.array([0.4, 0.2, 0.4]), np.array([0.6, 0.3, 0.1]), 0.7), [0.4, 0.2, 0.1])
+
+
 def test_warc(spark, empty):
     pages = [(i, f"https://a.example/{i}", html) for i, html in enumerate(["<p>x</p>", "", None, "<p>x</p>", "é" * 3000, "HTTP/1.1 fake\r\n\r\nWARC/1.1\r\n\r\n", "<p>x</p>"])]
     pages += [(9, None, "same"), (9, "no url\r\nX: y", "same"), (None, "u", "<p>x</p>")]

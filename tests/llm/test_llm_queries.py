@@ -41,6 +41,33 @@ def test_query(spark, name):
     assert got == table([c[0] for c in result.description], result.fetchall())
 
 
+def tempered(held, power, keep):
+    """Shares of held ** power, none over held / keep: what is over goes to the values that have room."""
+    whole = set()
+    while True:
+        rest = {v: h**power for v, h in held.items() if v not in whole}
+        left = keep - sum(held[v] for v in whole)
+        out = {v: held[v] if v in whole else left * rest[v] / sum(rest.values()) for v in held}
+        over = {v for v in rest if out[v] > held[v] * (1 + 1e-12)}
+        if not over:
+            return {v: x / keep for v, x in out.items()}
+        whole |= over
+
+
+def test_mixture_meets_its_margins(spark):
+    """The query's own keep and power: every value of every dimension has its target's share of the expected tokens."""
+    rows = queries.QUERIES["op3_raked_mixture"](spark, str(DATA)).collect()
+    total, kept = sum(r["n_tokens"] for r in rows), sum(r["n_tokens"] * r["probability"] for r in rows)
+    assert abs(kept / total - 0.85) < 1e-4
+    for d in ("source", "lang", "topic"):
+        held, got = collections.Counter(), collections.Counter()
+        for r in rows:
+            held[str(r[d])] += r["n_tokens"] / total
+            got[str(r[d])] += r["n_tokens"] * r["probability"] / kept
+        want = tempered({v: h for v, h in held.items() if h}, 0.9, 0.85)
+        assert {v: abs(got[v] / x - 1) < 1e-4 for v, x in want.items()} == dict.fromkeys(want, True)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 
