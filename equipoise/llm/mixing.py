@@ -14,10 +14,8 @@ from equipoise.llm.common import map_arrow, ship, steps
 
 #: All values of a dimension that have no target of their own share one.
 REST = "(rest)"
-#: Cells are held on the driver and sent to the executors; they are as many as the targets' product.
+#: Values and the cells that occur are held on the driver and sent to the executors; more of either raise.
 MAX_CELLS = 1_000_000
-#: Values of a dimension that get a target of their own when targets are taken from the corpus.
-OWN_TARGETS = 500
 
 
 def topic(text: str = "text") -> Column:
@@ -48,27 +46,31 @@ def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens")
     return map_arrow(docs, count, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` long")
 
 
-def _category(dimension: str, values: Sequence[str]) -> Column:
-    c = F.coalesce(F.col(f"`{dimension}`").cast("string"), F.lit(REST))
-    return F.when(c.isin(list(values)), c).otherwise(F.lit(REST))
+def _held(rows: DataFrame, what: str) -> pa.Table:
+    """The rows on the driver; too many raise, none are left out."""
+    out = rows.limit(MAX_CELLS + 1).toArrow()
+    if out.num_rows > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} {what}; at most so many are held at once")
+    return out
+
+
+def _value(dimension: str) -> Column:
+    return F.coalesce(F.col(f"`{dimension}`").cast("string"), F.lit(REST))
 
 
 def tempered_targets(docs: DataFrame, dimensions: Sequence[str], weight: str, power: float, keep: float | None = None) -> dict[str, dict[str, float]]:
     """Targets that lie between the corpus (power 1) and equal shares (power 0).
 
-    The OWN_TARGETS heaviest values of each dimension have their own share; all others are weighed as one.
+    Every value has its own share, however many there are; over MAX_CELLS raise.
     With ``keep`` no target is more than the corpus holds when that share of it is kept: such a value's
     target is all it has, and the dimension's other values share the rest by the same rule.
     """
     targets = {}
     for d in dimensions:
-        value = F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(REST))
-        sums = docs.groupBy(value.alias("v")).agg(F.sum(weight).alias("w")).filter("w > 0")
-        own = {r["v"]: float(r["w"]) for r in sums.orderBy(F.col("w").desc(), "v").limit(OWN_TARGETS).collect()}
-        total = float(sums.agg(F.sum("w")).first()[0] or 0)
-        if (rest := total - sum(own.values())) > 1e-9 * total:
-            own[REST] = own.get(REST, 0.0) + rest
-        held = np.array(list(own.values()))
+        sums = docs.groupBy(_value(d).alias("v")).agg(F.sum(weight).cast("double").alias("w")).filter("w > 0")
+        found = _held(sums, f"values of {d}").sort_by("v")
+        own, held = found["v"].to_pylist(), found["w"].to_numpy()
+        total = float(held.sum())
         shares = held**power / max((held**power).sum(), 1e-300)
         if keep is not None and total > 0:
             shares = reachable(shares, held / total, keep)
@@ -196,20 +198,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
     for own in shares.values():
         own.setdefault(REST, max(0.0, 1.0 - sum(own.values())))
     values = {d: sorted(own) for d, own in shares.items()}
-    shape = [len(values[d]) for d in dimensions]
-    if float(np.prod(shape, dtype=float)) > MAX_CELLS:
-        raise ValueError(f"{shape} cells; at most {MAX_CELLS} are held at once")
-    cell = [_category(d, values[d]).alias(f"_equipoise_{i}") for i, d in enumerate(dimensions)]
-    marked = docs.select("*", *cell)
+    spark, marked = docs.sparkSession, docs
     keys = [f"_equipoise_{i}" for i in range(len(dimensions))]
-    sums = marked.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("w")).collect()  # a row a cell
-    sums = [r for r in sums if r["w"]]
-    at = [{v: k for k, v in enumerate(values[d])} for d in dimensions]
-    codes = [np.array([at[i][r[k]] for r in sums], dtype=np.int64) for i, k in enumerate(keys)]
-    probability = chances(np.array([float(r["w"]) for r in sums]), codes, [np.array([shares[d][v] for v in values[d]]) for d in dimensions], keep)
-    rows = [(*(r[k] for k in keys), float(p)) for r, p in zip(sums, probability, strict=True)]
-    schema = ", ".join([*(f"{k} string" for k in keys), "probability double"])
-    cells = docs.sparkSession.createDataFrame(rows, schema)
+    for k, d in zip(keys, dimensions, strict=True):
+        numbers = spark.createDataFrame(pa.table({f"{k}v": pa.array(values[d], pa.string()), k: pa.array(range(len(values[d])), pa.int32())}))
+        marked = marked.withColumn(f"{k}v", _value(d)).join(F.broadcast(numbers), f"{k}v", "left").drop(f"{k}v")  # as many rows as targets
+        marked = marked.withColumn(k, F.coalesce(F.col(k), F.lit(values[d].index(REST))))
+    sums = marked.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).cast("double").alias("w")).filter("w > 0")
+    found = _held(sums, "cells")  # a row a cell
+    codes = [found[k].to_numpy().astype(np.int64) for k in keys]
+    probability = chances(found["w"].to_numpy(), codes, [np.array([shares[d][v] for v in values[d]]) for d in dimensions], keep)
+    cells = spark.createDataFrame(found.select(keys).append_column("probability", pa.array(probability, pa.float64())))
     joined = marked.drop("probability", "sampled").join(F.broadcast(cells), keys, "left").drop(*keys)  # as many rows as cells
     chance = F.coalesce(F.col("probability"), F.lit(0.0))
     return joined.withColumn("probability", chance).withColumn("sampled", draw(seed) < F.col("probability"))

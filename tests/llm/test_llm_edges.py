@@ -240,6 +240,21 @@ def test_raking_holds_whole_cells():
     assert np.allclose(mixing.reachable(np.array([0.4, 0.2, 0.4]), np.array([0.6, 0.3, 0.1]), 0.7), [0.4, 0.2, 0.1])
 
 
+def test_every_value_has_its_own_target(spark):
+    """700 sources and 650 authors (455,000 possible pairs, 1,400 that occur): each has w ** power, the smallest too."""
+    rows = [(i, f"s{i % 700}", f"a{i % 650}", 1 + i % 700) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, author string, n_tokens long")
+    targets = mixing.tempered_targets(df, ("source", "author"), "n_tokens", 0.5)
+    powers = {f"s{i}": (2 * (1 + i)) ** 0.5 for i in range(700)}
+    assert targets["source"].keys() == powers.keys() and len(targets["author"]) == 650
+    assert np.allclose([targets["source"][v] for v in powers], np.array(list(powers.values())) / sum(powers.values()))
+    out = mixing.mix(df, {"source": targets["source"]}).collect()
+    kept, total = collections.Counter(), sum(r["n_tokens"] * r["probability"] for r in out)
+    for r in out:
+        kept[r["source"]] += r["n_tokens"] * r["probability"] / total
+    assert len(out) == 1400 and all(abs(kept[v] / targets["source"][v] - 1) < 1e-6 for v in powers)
+
+
 def test_warc(spark, empty):
     pages = [(i, f"https://a.example/{i}", html) for i, html in enumerate(["<p>x</p>", "", None, "<p>x</p>", "é" * 3000, "HTTP/1.1 fake\r\n\r\nWARC/1.1\r\n\r\n", "<p>x</p>"])]
     pages += [(9, None, "same"), (9, "no url\r\nX: y", "same"), (None, "u", "<p>x</p>")]
