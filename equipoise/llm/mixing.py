@@ -19,7 +19,7 @@ MAX_CELLS = 1_000_000
 
 
 def topic(text: str = "text") -> Column:
-    """A coarse topic from the whole text: what it holds more of than prose does."""
+    """A class of format, not a subject, from the whole text: what it holds more of than prose does."""
     t = F.coalesce(F.col(text), F.lit(""))
     share = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / F.greatest(F.length(t), F.lit(1))
     return (
