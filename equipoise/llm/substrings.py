@@ -1,4 +1,4 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Duplicate passages by matching of content-defined blocks, in place of a relative Lempel-Ziv parse.
 
 A reference block is the text around an anchor. The anchor of a window of ``window`` words is the
 least of the hashes of its ``seed``-word sequences, the first of equals; neighbouring windows with
@@ -6,11 +6,11 @@ one anchor form a run, and the run's words are its block. Anchor and block depen
 words, so equal windows have equal anchors wherever they stand, and one record a run (one in about 13
 words) indexes all of them.
 
-Parsing goes from left to right. A phrase is a run whose whole block occurs elsewhere too; phrases in
-a row form a factor, which is as long as the text goes on like indexed blocks. A factor ends at a run
-whose anchor occurs elsewhere but whose whole block does not. There, and only there, single windows
-are checked against the windows of all blocks with that anchor. Runs whose anchor occurs once are
-literals.
+No greedy factors are formed, since each text would need the whole index for that; equal blocks are
+counted by one aggregate instead. A phrase is a run whose whole block occurs elsewhere too; all its
+windows are duplicates. Of a run whose anchor occurs elsewhere but whose whole block does not, and only
+of those, single windows are counted among the windows of all blocks with that anchor. Runs whose anchor
+occurs once are literals. Which words go depends on the repeated windows alone, so the result is the same.
 """
 
 from __future__ import annotations
