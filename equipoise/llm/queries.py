@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm import binary, counting, mixing, neardup, packing, quality, substrings, topk, url_filter, warc
+from equipoise.llm import binary, counting, lattice, merkle, mixing, neardup, packing, quality, resampling, substrings, topk, url_filter, warc
 from equipoise.llm.common import table
 from equipoise.session import cut_lineage
 
@@ -159,3 +159,70 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
+
+
+@query("op11_lattice_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability, summed over all segmentations of its words into subword pieces."""
+    return lattice.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: CRC-32 of the UTF-8 bytes of x, a byte and seven zeros at a time.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, (length(hex(encode(x))) // 2 + 1)::BIGINT),
+  lambda i: [((instr('0123456789ABCDEF', substr(hex(encode(x)), 2*i-1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode(x)), 2*i, 1)) - 1)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS x FROM d), bw AS (SELECT unnest(ws) AS x FROM b),
+k AS (SELECT x, {_CRC_SQL} % 10000 AS bucket FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (x) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN k USING (x) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS ss, (SELECT count(*) FROM bw)::DOUBLE AS tt),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN k USING (x) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT r, list_reduce(list_concat([0::BIGINT], list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), i, 1)) - 1)::BIGINT)), lambda a, v: a * 16 + v) AS h FROM d),
+o AS (SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d JOIN h USING (r) LEFT JOIN w USING (r)),
+p AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM o WHERE n_features >= 20)
+SELECT o.doc_id, o.n_features, o.weight, o.score, CASE WHEN place <= 10 * (SELECT count(*) FROM p) // 100 THEN place END AS rank FROM o LEFT JOIN p USING (r)
+"""
+
+
+@query("op12_crc_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_PART_SQL = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF_SQL = "sha256(" + " || ".join(_PART_SQL.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}")) + ")"
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, {_LEAF_SQL.format("text")} AS leaf,
+    {_LEAF_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other, coalesce('=' || lang, '') AS tree FROM documents),
+c AS (SELECT r, {_CRC_SQL} AS crc FROM (SELECT r, doc_id::VARCHAR AS x FROM d WHERE doc_id IS NOT NULL)),
+p AS (SELECT d.r, doc_id, tree, leaf, CASE WHEN coalesce(crc % 3 = 0, false) THEN other ELSE leaf END AS start,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, d.r) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d LEFT JOIN c ON c.r = d.r),
+nodes(tree, l, i, digest, n) AS (SELECT tree, 0, i, leaf, n FROM p
+  UNION ALL SELECT tree, l + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, l, n, i // 8),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top(l, i, digest, n) AS (SELECT 0, i, digest, n FROM subroots
+  UNION ALL SELECT l + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY l, n, i // 8),
+steps AS (
+  SELECT p.r, a.l, coalesce(string_agg(a.digest, '' ORDER BY a.i) FILTER (WHERE a.i < p.i // pow(8, a.l)::BIGINT), '') AS before, coalesce(string_agg(a.digest, '' ORDER BY a.i) FILTER (WHERE a.i > p.i // pow(8, a.l)::BIGINT), '') AS after
+    FROM p JOIN nodes a ON a.tree = p.tree AND a.n > 1 AND a.i // 8 = p.i // pow(8, a.l + 1)::BIGINT GROUP BY p.r, a.l
+  UNION ALL SELECT p.r, 100 + a.l, coalesce(string_agg(a.digest, '' ORDER BY a.i) FILTER (WHERE a.i < s.i // pow(8, a.l)::BIGINT), ''), coalesce(string_agg(a.digest, '' ORDER BY a.i) FILTER (WHERE a.i > s.i // pow(8, a.l)::BIGINT), '')
+    FROM p JOIN subroots s ON s.tree = p.tree JOIN top a ON a.n > 1 AND a.i // 8 = s.i // pow(8, a.l + 1)::BIGINT GROUP BY p.r, a.l),
+f AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY l)) AS proof_sha256, list(before || '|' || after ORDER BY l) AS way FROM steps GROUP BY r)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM p JOIN subroots s ON s.tree = p.tree JOIN top t ON t.n = 1
+JOIN (SELECT p.r, proof_sha256, list_reduce(list_concat([start], coalesce(way, [])), lambda a, v: sha256(split_part(v, '|', 1) || a || split_part(v, '|', 2))) AS folded_root FROM p LEFT JOIN f ON f.r = p.r) z ON z.r = p.r
+"""
+
+
+@query("op13_merkle_versions", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, and whether its version with a tampered text still gives the root."""
+    rows = merkle.verify_tampering(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
