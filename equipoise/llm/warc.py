@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SUFFIX = ".warc.gz"
 #: Compressed bytes after which a task begins another file.
 FILE_BYTES = 64 << 20
+#: Where an archive folder lists its files, and how many names are sent to the executors at most; more are joined.
+LIST, MOST_SENT = "_files", 100_000
 #: The time of every capture: the pages carry none, and a file must be the same when it is written again.
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -74,9 +77,14 @@ def write_archives(pages: DataFrame, smallest_revisit: int = 0, folder: str | No
     Payload is the html in UTF-8; null is empty. Of rows with equal payloads of at least
     ``smallest_revisit`` bytes the one with the largest page_id is a response and the others revisit
     it; rows that share that largest id (or that have no id where none has one) are all responses.
-    The largest id of each digest is an aggregate that is combined before its shuffle, and is joined
-    back by digest, where adaptive execution may split a common one. Each task writes files of bounded
-    size under draft names. Extra columns are ignored; an empty table gives an empty folder.
+    The largest id of each digest is an aggregate that is combined before its shuffle. Responses keep
+    their payload and meet it by digest and id, which few rows share; the others meet it by digest
+    without their payload, so a common payload is never carried to one place. Extra columns are
+    ignored; an empty table gives an empty folder.
+
+    Each attempt of a task writes files of bounded size under names of its own. The names of those that
+    ended are committed with the job as a list in the folder, and only listed files are read, so what a
+    lost attempt left behind does not count.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -86,9 +94,18 @@ def write_archives(pages: DataFrame, smallest_revisit: int = 0, folder: str | No
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.cast("binary").alias("payload"),
         F.octet_length(html).cast("long").alias("size"), F.unhex(F.sha1(html.cast("binary"))).alias("sha"),
     )
-    last = rows.filter(F.col("size") >= smallest_revisit).groupBy("sha").agg(F.max("page_id").alias("last"))
-    judged = rows.join(last, "sha", "left").withColumn("revisits", F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
-    lean = judged.select("page_id", "url", F.when(~F.col("revisits"), F.col("payload")).alias("payload"), "size", "sha", F.when(F.col("revisits"), F.col("last")).alias("refers_to"))
+    large = rows.filter(F.col("size") >= smallest_revisit)
+    last = cut_lineage(large.groupBy("sha").agg(F.max("page_id").alias("last")))
+    first = last.select(F.col("sha").alias("own_sha"), "last")
+    same = (F.col("sha") == F.col("own_sha")) & F.col("page_id").eqNullSafe(F.col("last"))
+    responses = large.join(first, same, "left_semi")
+    if smallest_revisit > 0:
+        responses = responses.unionByName(rows.filter(F.col("size") < smallest_revisit))
+    revisits = large.drop("payload").join(last, "sha").filter(~F.col("page_id").eqNullSafe(F.col("last")))
+    columns = ["page_id", "url", "payload", "size", "sha"]
+    lean = responses.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.withColumn("payload", F.lit(None).cast("binary")).select(*columns, F.col("last").alias("refers_to"))
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -105,17 +122,30 @@ def write_archives(pages: DataFrame, smallest_revisit: int = 0, folder: str | No
                     yield held
                     held = next(records, None)
 
-            name = f"part-{context.partitionId():06d}-{n:04d}{SUFFIX}"
+            name = f"part-{context.partitionId():06d}-{n:04d}-{context.taskAttemptId()}{SUFFIX}"
             size = commit_file(folder, name, context.taskAttemptId(), some())
             yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [size]})
             n += 1
 
     system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
-    map_arrow(lean, write, "file string, n_bytes long").agg(F.count("file")).collect()
+    map_arrow(lean, write, "file string, n_bytes long").write.parquet(f"{folder}/{LIST}")
     return folder
 
 
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of the archives of a folder: the listed ones where there is a list, else all. Spark deals them out by length."""
+    paths = files(spark, folder, SUFFIX).select("path")
+    system, inner = open_folder(folder)
+    if system.get_file_info(f"{inner.rstrip('/')}/{LIST}").type == fs.FileType.NotFound:
+        return paths
+    listed = spark.read.schema("file string").parquet(f"{folder}/{LIST}")
+    n, named = listed.count(), paths.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    if n <= MOST_SENT:
+        return named.join(F.broadcast(listed), "file", "left_semi").select("path")
+    return named.join(listed, "file", "left_semi").select("path").repartition(-(-n // 8))
+
+
 def _lines(source) -> Iterator[bytes]:
     """Decompressed pieces of a file of gzip members."""
     packed, unpacker = b"", zlib.decompressobj(31)
@@ -220,7 +250,7 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return map_arrow(files(spark, folder, SUFFIX).select("path"), read, RECORDS)
+    return map_arrow(archives(spark, folder), read, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -246,10 +276,14 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def page_captures(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id), from the archives alone."""
-    nested = cut_lineage(assemble(read_records(spark, folder)))
-    pages = nested.select(
+    # the archives are parsed once, however often assembling reads their records
+    nested = assemble(cut_lineage(read_records(spark, folder)))
+    pages = cut_lineage(nested.select(
         F.get("metadata", 0)["fields"]["page-id"].try_cast("long").alias("page_id"), "capture", F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers"),
-    )
+    ))
     origin = pages.filter("record_type = 'response'").groupBy(F.col("capture").alias("refers")).agg(F.max("page_id").alias("refers_to"))
-    return pages.join(origin, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # captures that refer to nothing would be one key of the join
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    revisits = pages.filter("refers is not null").join(origin, "refers", "left").select(*own, "refers_to")
+    return revisits.unionByName(pages.filter("refers is null").select(*own, F.lit(None).cast("long").alias("refers_to")))
