@@ -16,8 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 
 #: Texts that are encoded together, in bytes: words they share are looked up once.
 ENCODE_BYTES = 1 << 22
-#: Words that a task remembers; further ones are encoded each time.
-REMEMBERED = 1_200_000
+#: Bytes of the words and ids that a worker remembers, and what a word takes besides its own; further ones are encoded each time.
+REMEMBERED_BYTES, WORD_BYTES = 48 << 20, 220
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space between other white space: there the tokenizer's pieces may cross the space.
 INNER_SPACE = rf"{WHITE} ({WHITE}|\z)|\A \z"
@@ -51,6 +51,7 @@ class Encoder:
         self.cuts = self.drops_space or (self.newline and self._ids("a b") == self._ids("a") + self._ids(" b"))
         self.spaced: dict[str, bytes] = {}  # ids of " " + word
         self.bare: dict[str, bytes] = self.spaced if self.drops_space else {}
+        self.room = REMEMBERED_BYTES
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -76,10 +77,14 @@ class Encoder:
             value = self._word(parts[1], spaced) + self._word(parts[2], False)
         else:
             value = self._ids(" " + word if spaced else word)
-        if len(self.spaced) + len(self.bare) < REMEMBERED:
-            known[word] = value
+        self._remember(known, word, value)
         return value
 
+    def _remember(self, known: dict[str, bytes], word: str, value: bytes) -> None:
+        if self.room > 0:
+            self.room -= len(word) + len(value) + WORD_BYTES
+            known[word] = value
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it."""
         values = [*map(self.spaced.get, words)]
@@ -87,8 +92,10 @@ class Encoder:
         letters = list(dict.fromkeys(m[1] if (m := TAIL.match(w)) else w for w in map(words.__getitem__, missing)))
         letters = [w for w in letters if w not in self.spaced and w.lower().isalpha()]
         fresh = self._bulk(letters) if letters else {}
-        if room := max(0, REMEMBERED - len(self.spaced) - len(self.bare)):
-            self.spaced.update(fresh if room >= len(fresh) else list(fresh.items())[:room])
+        for word, value in fresh.items():
+            if self.room <= 0:
+                break
+            self._remember(self.spaced, word, value)
         for i in missing:
             values[i] = fresh[words[i]] if words[i] in fresh else self._word(words[i], True)
         return values
@@ -119,7 +126,7 @@ class Encoder:
         return ids, np.concatenate([[0], ends[np.cumsum(counts) - 1]]).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(definition: str) -> Encoder:
     """One encoder for each tokenizer and worker."""
     return Encoder(definition)

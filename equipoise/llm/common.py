@@ -20,8 +20,8 @@ U64 = np.uint64
 STEP_BYTES = 1 << 21
 #: Rows of one Arrow batch; with it a batch of long texts stays small.
 BATCH_ROWS = 1024
-#: Words whose hash a task remembers.
-REMEMBERED = 1 << 19
+#: Bytes of the words whose hash a task remembers, and what a remembered word takes besides its own.
+REMEMBERED_BYTES, WORD_BYTES = 32 << 20, 160
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,14 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
 
 
 class WordHashes(dict):
-    """64-bit hash of a word's bytes."""
+    """64-bit hash of a word's bytes; remembers as many words as fit in REMEMBERED_BYTES."""
+
+    room = REMEMBERED_BYTES
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
+        if self.room > 0:
+            self.room -= len(word) + WORD_BYTES
             self[word] = value
         return value
 

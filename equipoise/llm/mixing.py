@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,34 +17,47 @@ from equipoise.llm.common import map_arrow, ship, steps
 REST = "(rest)"
 #: Values and the cells that occur are held on the driver and sent to the executors; more of either raise.
 MAX_CELLS = 1_000_000
+#: Topics in the order they are tried: the signs that a text has this share of or more; else it is prose.
+TOPICS = (("numbers", "0123456789", 0.02), ("markup", "#*$%&|<>{}[]=_", 0.01), ("lines", "\n", 0.01))
+SIGN_CLASS = np.zeros(256, dtype=np.uint8)
+for _k, (_, _signs, _) in enumerate(TOPICS):
+    SIGN_CLASS[np.frombuffer(_signs.encode(), dtype=np.uint8)] = _k + 1
 
 
 def topic(text: str = "text") -> Column:
     """A class of format, not a subject, from the whole text: what it holds more of than prose does."""
     t = F.coalesce(F.col(text), F.lit(""))
     share = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / F.greatest(F.length(t), F.lit(1))
-    return (
-        F.when(share("0123456789") >= 0.02, F.lit("numbers"))
-        .when(share("#*$%&|<>{}[]=_") >= 0.01, F.lit("markup"))
-        .when(share("\n") >= 0.01, F.lit("lines"))
-        .otherwise(F.lit("prose"))
-    )
+    return F.coalesce(*[F.when(share(chars) >= least, F.lit(name)) for name, chars, least in TOPICS], F.lit("prose"))
 
 
-def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of tokens of the whole text (null: 0) in ``column``, which is replaced if it is there."""
+def topics(texts: pa.Array) -> pa.Array:
+    """``topic`` of whole texts in a task: the signs that decide are ASCII, so their bytes are counted."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1, offset=4 * texts.offset).astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+    inside = lambda found: np.diff(np.searchsorted(np.flatnonzero(found), bounds - bounds[0]))
+    n = np.maximum(np.diff(bounds) - inside((raw & 0xC0) == 0x80), 1)  # characters: bytes without those that continue one
+    kinds = np.select([inside(SIGN_CLASS[raw] == k + 1) / n >= least for k, (_, _, least) in enumerate(TOPICS)], range(len(TOPICS)), len(TOPICS))
+    return pa.array([*(name for name, _, _ in TOPICS), "prose"]).take(pa.array(kinds))
+
+
+def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens", topic_column: str | None = None) -> DataFrame:
+    """``docs`` with the number of tokens of the whole text (null: 0) in ``column``, and its topic; columns of these names are replaced."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
-    names = [c for c in docs.columns if c != column]
+    names = [c for c in docs.columns if c not in (column, topic_column)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value).encode
         for batch in steps(batches, size=ENCODE_BYTES):
             _, bounds = encode(batch["text"])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.diff(bounds))], [*names, column])
+            added = {column: pa.array(np.diff(bounds))} | ({topic_column: topics(batch["text"])} if topic_column else {})
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *added.values()], [*names, *added])
 
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    return map_arrow(docs, count, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` long")
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{column}` long", *([f"`{topic_column}` string"] if topic_column else [])]
+    return map_arrow(docs, count, ", ".join(kinds))
 
 
 def _held(rows: DataFrame, what: str) -> pa.Table:
@@ -178,8 +192,8 @@ def draw(seed: int) -> Column:
     return digits.cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str = "n_tokens", keep: float | None = None, seed: int = 0) -> DataFrame:
-    """``docs`` with ``probability`` and ``sampled``: weights raked to the targets, and a draw for each document.
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str = "n_tokens", keep: float | None = None, seed: int = 0, chance: str = "probability", mark: str = "sampled") -> DataFrame:
+    """``docs`` with ``probability`` and ``sampled`` (or the names given; columns called so are replaced): weights raked to the targets, and a draw for each document.
 
     ``targets`` names dimensions (columns) and the share of each value; values without one, and null,
     count as ``(rest)``, whose share is what the others leave. Weights are summed by cell, the table of
@@ -209,6 +223,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
     codes = [found[k].to_numpy().astype(np.int64) for k in keys]
     probability = chances(found["w"].to_numpy(), codes, [np.array([shares[d][v] for v in values[d]]) for d in dimensions], keep)
     cells = spark.createDataFrame(found.select(keys).append_column("probability", pa.array(probability, pa.float64())))
-    joined = marked.drop("probability", "sampled").join(F.broadcast(cells), keys, "left").drop(*keys)  # as many rows as cells
-    chance = F.coalesce(F.col("probability"), F.lit(0.0))
-    return joined.withColumn("probability", chance).withColumn("sampled", draw(seed) < F.col("probability"))
+    cells = cells.withColumnRenamed("probability", "_equipoise_chance")
+    joined = marked.join(F.broadcast(cells), keys, "left").drop(*keys, chance, mark)  # as many rows as cells
+    rows = joined.withColumn(chance, F.coalesce(F.col("_equipoise_chance"), F.lit(0.0))).drop("_equipoise_chance")
+    return rows.withColumn(mark, draw(seed) < F.col(f"`{chance}`"))

@@ -57,8 +57,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_raked_mixture")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn so that tokens by source, language and topic follow tempered shares."""
-    docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.topic())
-    counted = cut_lineage(mixing.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "source", "lang", "topic", "n_tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = cut_lineage(mixing.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), topic_column="topic").drop("text"))
     targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", power=0.9, keep=0.85)
     return mixing.mix(counted, targets, keep=0.85).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
