@@ -143,6 +143,8 @@ class Lattice:
         the counted words is added to ``expected``. Every byte is a piece, so every word has a way.
         """
         out = np.zeros(len(words))
+        if not len(words):
+            return out
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1))

@@ -81,6 +81,8 @@ def feature_slices(begins: np.ndarray, sizes: np.ndarray, counts: np.ndarray, mo
 def feature_crcs(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The CRC-32 of every feature: those of one length form a matrix, whose distinct rows are hashed and scattered back."""
     out = np.zeros(len(begins), dtype=np.uint32)
+    if not len(begins):
+        return out
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1))
     for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
