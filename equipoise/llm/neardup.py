@@ -309,6 +309,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _judged(docs, percent).drop("set_key")
 
 
+def _distinct(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with one of those that are equal in the columns of ``docs``; types that have no equality are compared as JSON."""
+    whole = [f.name for f in docs.schema if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    texts = {f"_equipoise_json_{i}": F.to_json(F.struct(F.col(f"`{c}`"))) for i, c in enumerate(whole)}
+    return rows.withColumns(texts).dropDuplicates([*(c for c in docs.columns if c not in whole), *texts]).drop(*texts) if texts else rows.dropDuplicates(docs.columns)
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group of near copies: that with the smallest id, all columns as they are.
 
@@ -337,7 +344,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stays = judged.filter("kept or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_equipoise_id"), F.col("set_key").alias("_equipoise_key")).distinct()
     rest = map_arrow(docs, other, f"{kinds}, _equipoise_key binary")
     nameless = rest.filter("doc_id is null").dropDuplicates(["_equipoise_key"])
-    named = rest.filter("doc_id is not null").dropDuplicates(docs.columns)
+    named = _distinct(rest.filter("doc_id is not null"), docs)
     both = named.unionByName(nameless).alias("d")
     decided = both.join(stays.alias("s"), F.expr("d._equipoise_key = s._equipoise_key and d.doc_id <=> s._equipoise_id"), "left_semi")
     return map_arrow(docs, sure, kinds).unionByName(decided.drop("_equipoise_key"))

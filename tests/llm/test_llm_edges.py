@@ -90,7 +90,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
 
 
-def components(rows):
+def components(rows, percent=85):
     sets = [shingles(r["text"]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -101,7 +101,7 @@ def components(rows):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
@@ -224,6 +224,8 @@ def test_mixing(spark, docs, empty):
     share = sum(r["n_tokens"] * r["probability"] for r in rows if r["source"] == "src0") / expected
     assert abs(share - 0.5) < 1e-6
     assert mixing.mix(mixing.with_tokens(empty, BYTE), {"source": {"a": 1.0}}).count() == 0
+    at_once = mixing.with_tokens(docs, BYTE, topic_column="topic")
+    assert plain(at_once, "doc_id", "topic", "n_tokens") == plain(counted, "doc_id", "topic", "n_tokens") and {r["topic"] for r in rows} >= {"prose", "markup"}
     half = mixing.mix(counted, {"lang": {"en": 0.4, "de": 0.4}}, keep=0.5).collect()
     assert abs(sum(r["n_tokens"] * r["probability"] for r in half) / sum(r["n_tokens"] for r in half) - 0.5) < 1e-3
 
@@ -277,6 +279,18 @@ def test_warc(spark, empty):
     assert warc.page_captures(spark, warc.write_archives(spark.createDataFrame([], df.schema))).count() == 0
 
 
+def test_warc_reads_committed_files_only(spark, tmp_path):
+    """What an attempt that was lost left in the folder does not count; a folder without a list is read whole."""
+    df = spark.createDataFrame([(i, "http://a/", f"<p>{i % 5}</p>") for i in range(40)], "page_id long, url string, html string")
+    folder = warc.write_archives(df, folder=f"file://{tmp_path}/own")
+    written = sorted((tmp_path / "own").glob("*.warc.gz"))
+    (tmp_path / "own" / "part-000000-0001-77.warc.gz").write_bytes(written[0].read_bytes())
+    assert warc.read_records(spark, folder).count() == 120 and warc.page_captures(spark, folder).count() == 40
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "a.warc.gz").write_bytes(written[0].read_bytes())
+    assert 0 < warc.read_records(spark, f"file://{tmp_path}/foreign").count() <= 120
+
+
 def test_warc_links_both_ways(spark):
     rows = [("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["r1"]), ("q2", "request", ["r1"]), ("v", "revisit", []), ("m2", "metadata", ["gone"]), ("m1x", "metadata", ["r1", "r1"])]
     schema = warc.RECORDS

@@ -94,7 +94,7 @@ def test_pipeline_stages(spark):
         seen.append(docs.collect())
     start, good, single, cut, drawn = seen
     assert {r["doc_id"] for r in good} <= {r["doc_id"] for r in start}
-    kept = {(x[0], x[1]) for x in components(good) if x[3]}
+    kept = {(x[0], x[1]) for x in components(good, corpus_pipeline.NEAR_PERCENT) if x[3]}
     assert sorted((r["doc_id"], len(shingles(r["text"]))) for r in single) == sorted(kept)
     want = {r["doc_id"]: x for r, x in zip(single, removed([r["text"] for r in single]), strict=True)}
     assert {r["doc_id"] for r in cut} == {i for i, (n, gone, _) in want.items() if gone == 0 or gone < n}
@@ -109,3 +109,19 @@ def test_pipeline_stages(spark):
     for r in packed:
         filled[r["sequence_id"]] += r["length"]
     assert max(filled.values()) <= 4096
+
+
+def test_stages_keep_further_columns(spark):
+    """Columns that operators add under the same names, and one without equality, come out as they went in; edge rows too."""
+    from pyspark.sql import functions as F
+
+    names = ["kept_text", "n_words", "n_removed", "spans", "kept_sha256", "topic", "n_tokens", "probability", "sampled", "quality_rules", "a.b"]
+    base = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60")
+    odd = spark.createDataFrame([(1000, None), (1001, ""), (1002, "x " * 9), (None, "no id " * 40), (1003, "tie " * 50), (1003, "tie " * 50)], "doc_id long, text string")
+    docs = base.unionByName(odd, allowMissingColumns=True).withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce("doc_id", F.lit(-1))) for n in names}).withColumn("labels", F.create_map(F.lit("k"), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(DATA))
+        assert out.columns == docs.columns and out.schema["labels"].dataType == docs.schema["labels"].dataType
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{-1 if r['doc_id'] is None else r['doc_id']}" and r["labels"] == {"k": r["doc_id"]} for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), str(DATA)).count() == 0
