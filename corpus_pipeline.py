@@ -6,6 +6,8 @@ written as Parquet to the shared folder and read again, so a lost executor repea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,34 +24,73 @@ POWER = 0.9
 KEEP = 0.85
 
 
+#: The columns of documents that stages read or change; all others are only carried along.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _with_columns_aside(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator`` applied to ``docs`` while further columns have private names; the result has the columns of ``docs`` again.
+
+    So a column of any name and type, also one that an operator would add, comes out as it went in.
+    """
+    aside = {c: f"_equipoise_kept_{i}" for i, c in enumerate(docs.columns) if c not in USED}
+    out = operator(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the model, which is fitted on the labelled ones among them."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model, keep_columns=True).filter("quality_rules.kept").select(*docs.columns)
+    """Documents that pass the base rules and the model, which is fitted on the labelled ones among them.
+
+    A null or empty text fails; a very long one is judged as a whole. Rows with one id, or none, are judged one by one.
+    """
+
+    def kept(rows: DataFrame) -> DataFrame:
+        model = quality.train(rows, table(spark, sf_dir, "labels"))
+        return quality.score_documents(rows, model, keep_columns=True).filter("quality_rules.kept")
+
+    return _with_columns_aside(docs, kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.keep_one(docs, NEAR_PERCENT)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Texts without words (null, empty) are nobody's copies and stay; rows equal in every column become one;
+    rows without an id go where their group has one with an id.
+    """
+    return _with_columns_aside(docs, lambda rows: neardup.keep_one(rows, NEAR_PERCENT))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand more than once are cut out; a document of which nothing is left goes. n_chars is that of the new text."""
-    cut = substrings.remove_duplicates(docs).filter("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept_text", "text")
-    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", chars).select(*docs.columns)
+    """Passages that stand more than once are cut out; a document of which nothing is left goes. n_chars is that of the new text.
+
+    Null, empty and short texts stay as they are, as do long ones but for what repeats in them or elsewhere.
+    """
+
+    def cut(rows: DataFrame) -> DataFrame:
+        left = substrings.remove_duplicates(rows).filter("n_removed = 0 or n_removed < n_words").withColumnRenamed("kept_text", "text")
+        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(rows.schema["n_chars"].dataType)
+        return left.withColumn("n_chars", chars)
+
+    return _with_columns_aside(docs, cut)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens by source, language and topic follow tempered shares."""
-    own = docs.withColumn("topic", mixing.topic())
-    counted = cut_lineage(mixing.with_tokens(own, public_tokenizers.path("byte_bpe_50k.json")))
-    targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER, KEEP)
-    return mixing.mix(counted, targets, keep=KEEP).filter("sampled").select(*docs.columns)
+    """A sample whose tokens by source, language and topic follow tempered shares.
+
+    A null source or language is a value of its own; a null or empty text has no tokens and is drawn like
+    its cell's others. Rows with one id are drawn together.
+    """
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        counted = cut_lineage(mixing.with_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"), topic_column="topic"))
+        targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER, KEEP)
+        return mixing.mix(counted, targets, keep=KEEP).filter("sampled")
+
+    return _with_columns_aside(docs, drawn)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in sequences of 4096 tokens."""
+    """Every document's place in sequences of 4096 tokens; a null or empty text is its end token. Further columns are left out."""
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
