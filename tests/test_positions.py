@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from equipoise.operators.positions import with_position
+from equipoise.operators.positions import with_position, with_running_sum
 
 from conftest import rows
 
@@ -28,3 +28,15 @@ def test_a_group_of_most_rows_lies_in_many_ranges(spark):
 def test_no_rows_and_a_column_of_that_name(spark):
     assert with_position(spark.createDataFrame([], "v int, position string"), ["v"]).columns == ["v", "position"]
     assert rows(with_position(spark.createDataFrame([(3, "x"), (1, "y")], "v int, position string"), ["v"])) == [(1, 1), (3, 2)]
+
+
+def test_running_sum_by_group(spark):
+    draw = random.Random(3)
+    data = [(draw.choice(["hot"] * 8 + ["a", None]), i, draw.choice([None, 0, 1, 5])) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, id int, n long").repartition(5)
+    want, sums = [], {}
+    for g, i, n in sorted(data, key=lambda x: -x[1]):
+        sums[g] = sums.get(g, 0) + (n or 0)
+        want.append((g, i, n, sums[g]))
+    assert sorted((tuple(r) for r in with_running_sum(df, "n", [F.col("id").desc()], ["g"]).collect()), key=str) == sorted(want, key=str)
+    assert rows(with_running_sum(df.limit(0), "n", ["id"])) == []
