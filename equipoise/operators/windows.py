@@ -7,6 +7,9 @@ or from a window over pieces of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 from equipoise.functions.dates import wall_micros
 from equipoise.functions.numbers import round_div
 from equipoise.operators.keyed import attach
+from equipoise.session import cut_lineage
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -127,42 +131,67 @@ def rate_breaches(
     )
 
 
-def exact_quantile(df: DataFrame, by: list[str], value: str, q: float, *, buckets: int = 1024) -> DataFrame:
-    """Continuous quantile per group (linear interpolation), exact, in bounded memory.
+#: Edges that a round of selection cuts an open segment at, and the accuracy with which they are looked for.
+_EDGES, _ACCURACY = 16, 1000
+
 
-    Values are counted per (group, bucket); only the buckets that hold the two ranks needed are
-    then counted value by value. ``median`` and ``percentile`` keep every distinct value of a
-    group in one buffer instead.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: Mapping[str, float], *, most: int = 100_000) -> DataFrame:
+    """Continuous quantiles per group (linear interpolation), exact, several at once: ``by`` and a column for each name.
+
+    Iterative selection: a round looks for edges in every open segment (an approximate percentile, which
+    is combined before its shuffle), counts the values below, on and between them, and keeps the segments
+    that hold a wanted rank. Edges follow the values' ranks, so an outlier does not widen a segment, and
+    a common value becomes an edge and is done. Segments of at most ``most`` values are then counted
+    value by value. Counts decide alone; bad edges would only cost a round. NULL is left out; NaN is
+    larger than all else. ``median`` and ``percentile`` keep a group's distinct values in one buffer instead.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    limits = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    position = F.try_divide(F.col("_v") - F.col("_lo"), width) * buckets
-    placed = attach(counts, limits, by).withColumn(
-        "_b", F.coalesce(F.least(F.floor(position), F.lit(buckets - 1)), F.lit(0)).cast("int")
+    names, at = list(quantiles), list(quantiles.values())
+    if not names or any(not 0 <= q <= 1 for q in at):
+        raise ValueError("quantiles must be from 0 to 1, one at least")
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    around = sorted({min(1.0, max(0.0, q + d)) for q in at for d in (-2 / _ACCURACY, 2 / _ACCURACY)})
+    edges = lambda probabilities: F.array_distinct(F.percentile_approx("_v", probabilities, _ACCURACY))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), edges(around).alias("_e"))
+    position = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    wanted = [
+        F.struct(F.lit(2 * i + up).alias("i"), (F.ceil if up else F.floor)(position(q)).cast("long").alias("r"), (position(q) - F.floor(position(q))).alias("part"))
+        for i, q in enumerate(at) for up in (0, 1)
+    ]
+    cut = cut_lineage(sizes.select(*by, F.when(F.col("_n") > most, F.col("_e")).otherwise(F.array().cast("array<double>")).alias("_e"), F.array(*wanted).alias("_w")))
+    keys, found = list(by), []
+    while True:
+        segment = F.expr("2 * size(filter(_e, e -> e < _v)) + int(array_contains(_e, _v))")
+        placed = attach(rows, cut.select(*keys, "_e"), keys).withColumn("_s", segment).drop("_e")
+        counts = placed.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = attach(counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))), cut.select(*keys, "_w"), keys)
+        inside = F.expr("transform(filter(_w, w -> w.r >= _b and w.r < _b + _c), w -> struct(w.i, w.r - _b as r, w.part))")
+        held = cut_lineage(ranked.withColumn("_w", inside).where("size(_w) > 0").select(*keys, "_s", "_c", "_lo", "_hi", "_w"))
+        found.append(held.where("_lo <=> _hi").select(*by, F.explode("_w").alias("w"), F.col("_lo").alias("_v")))
+        widest = held.where("not (_lo <=> _hi)").agg(F.max("_c")).first()[0]
+        if widest is None:
+            break
+        fresh = f"_s{len(keys) - len(by)}"
+        open_ = held.where("not (_lo <=> _hi)").withColumnRenamed("_s", fresh)
+        keys = [*keys, fresh]
+        rows = attach(placed.withColumnRenamed("_s", fresh), open_.select(*keys), keys)
+        if widest <= most:
+            counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+            before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+            ranked = attach(counted.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))), open_.select(*keys, "_w"), keys)
+            found.append(ranked.select(*by, F.explode(F.expr("filter(_w, w -> w.r >= _b and w.r < _b + _c)")).alias("w"), "_v"))
+            break
+        rows = cut_lineage(rows)
+        grid = [k / (_EDGES + 1) for k in range(1, _EDGES + 1)]
+        cut = cut_lineage(attach(rows.groupBy(*keys).agg(edges(grid).alias("_e")), open_.select(*keys, "_w"), keys))
+    ends = reduce(DataFrame.unionByName, found).groupBy(*by).agg(
+        *[F.max(F.when(F.col("w.i") == j, F.col("_v"))).alias(f"_{j}") for j in range(2 * len(at))],
+        *[F.max(F.when(F.col("w.i") == 2 * i, F.col("w.part"))).alias(f"_p{i}") for i in range(len(at))],
     )
-    per_bucket = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.lit(q) * (F.col("_n") - 1)
-    located = (
-        per_bucket.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-        .withColumn("_low", F.floor(rank))
-        .withColumn("_high", F.ceil(rank))
-        .where((F.col("_high") >= F.col("_before")) & (F.col("_low") < F.col("_before") + F.col("_bc")))
-        .withColumn("_part", rank - F.col("_low"))
-        .select(*by, "_b", "_before", "_low", "_high", "_part")
-    )
-    near = attach(placed.select(*by, "_b", "_v", "_c"), located, [*by, "_b"])
-    within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
-    ranked = near.withColumn("_first", first)
-    holds = lambda r: (F.col(r) >= F.col("_first")) & (F.col(r) < F.col("_first") + F.col("_c"))
-    ends = ranked.groupBy(*by).agg(
-        F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds("_high"), F.col("_v"))).alias("_z"),
-        F.max("_part").alias("_part"),
-    )
-    value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")
-    return ends.select(*by, value_at.alias(f"{value}_quantile"))
+    low, high, part = (lambda i: F.col(f"_{2 * i}")), (lambda i: F.col(f"_{2 * i + 1}")), (lambda i: F.col(f"_p{i}"))
+    return ends.select(*by, *[(low(i) + F.when(part(i) > 0, (high(i) - low(i)) * part(i)).otherwise(0.0)).alias(n) for i, n in enumerate(names)])
+
+
+def exact_quantile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """One continuous quantile per group, as ``<value>_quantile``."""
+    return exact_quantiles(df, by, value, {f"{value}_quantile": q})

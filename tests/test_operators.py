@@ -1,5 +1,6 @@
 """Windows, set operations and quality checks against brute force."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -78,7 +79,7 @@ def test_quantiles_match_sorting(spark):
         if v is not None:
             groups[g].append(v)
     for q in (0.0, 0.25, 0.5, 0.93, 1.0):
-        got = {r.g: r.v_quantile for r in wn.exact_quantile(df, ["g"], "v", q, buckets=16).collect()}
+        got = {r.g: r.v_quantile for r in wn.exact_quantile(df, ["g"], "v", q).collect()}
         for g, values in groups.items():
             values.sort()
             at = q * (len(values) - 1)
@@ -87,6 +88,27 @@ def test_quantiles_match_sorting(spark):
             assert got[g] == pytest.approx(values[low] + (values[high] - values[low]) * (at - low), rel=1e-12)
 
 
+def test_quantiles_by_selection(spark):
+    """Segments far smaller than the groups, so that many rounds are needed: outliers, common values, NaN and equal groups."""
+    rng = random.Random(5)
+    data = [("far", v) for v in [rng.random() for _ in range(900)] + [1e18, -1e18]] + [("tie", 7.0 if i % 3 else rng.random() * 20) for i in range(900)]
+    data += [("one", 3.0)] * 400 + [(None, float(i % 250)) for i in range(700)] + [("nan", math.nan)] * 3 + [("nan", 1.0)] * 5 + [("few", 2.5), ("few", None)]
+    qs = {"a": 0.0, "b": 0.13, "c": 0.5, "d": 0.75, "e": 1.0}
+    for most in (6, 100, 100_000):
+        got = {r["g"]: r for r in wn.exact_quantiles(spark.createDataFrame(data, "g string, v double").repartition(4), ["g"], "v", qs, most=most).collect()}
+        assert got.keys() == {g for g, _ in data}
+        for g in got:
+            values = sorted((v for k, v in data if k == g and v is not None), key=lambda v: (math.isnan(v), v))
+            for name, q in qs.items():
+                at = q * (len(values) - 1)
+                low, part = values[int(at)], at - int(at)
+                want = low + (values[int(at) + 1] - low) * part if part else low
+                assert got[g][name] == pytest.approx(want, rel=1e-12, nan_ok=True)
+    assert rows(wn.exact_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": 0.5})) == []
+    with pytest.raises(ValueError):
+        wn.exact_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": 1.5})
+
+
 def test_sets(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (2, "again")], "k int, v string")
     b = spark.createDataFrame([(2, "new"), (None, "none"), (5, "five")], "k int, v string")

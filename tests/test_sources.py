@@ -1,5 +1,7 @@
 """Scans, sinks, ingest, export names and the generated retail project."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,35 @@ def test_closure_ends_on_cycles(spark):
         closure.upstream(edges, spark.createDataFrame([("a",)], "node string"), max_depth=1)
 
 
+def shortest(edges, start):
+    depth, frontier, level = dict.fromkeys(start, 0), list(start), 0
+    while frontier:
+        level += 1
+        frontier = list(dict.fromkeys(b for a, b in edges if a in set(frontier) and b is not None and b not in depth))
+        depth |= dict.fromkeys(frontier, level)
+    return sorted(depth.items())
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, further = [], closure._further
+    monkeypatch.setattr(closure, "_further", lambda *a: rounds.append(a[2]) or further(*a))
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(999)]
+    got = closure.upstream(spark.createDataFrame(edges, "node string, parent string"), spark.createDataFrame([("n0",)], "node string"))
+    assert rows(got) == shortest(edges, ["n0"]) and len(rounds) <= 12
+
+
+@pytest.mark.parametrize("wide", [1, 64])
+def test_closure_of_a_graph_with_hubs(spark, monkeypatch, wide):
+    """Shortest depths with hubs, short cuts and cycles, however few paths may be joined."""
+    monkeypatch.setattr(closure, "WIDE", wide)
+    draw = random.Random(4)
+    edges = [(f"a{i}", "hub") for i in range(30)] + [("hub", f"b{i}") for i in range(30)] + [(f"b{i}", f"c{draw.randrange(30)}") for i in range(30)]
+    edges += [(f"c{i}", f"c{i + 1}") for i in range(30)] + [("c30", "c3"), ("c9", "c27"), ("c30", "hub"), ("x", "x"), ("a1", "a1")]
+    got = closure.upstream(spark.createDataFrame(edges, "node string, parent string"), spark.createDataFrame([("a1",), ("a2",), ("lone",)], "node string"))
+    assert rows(got) == shortest(edges, ["a1", "a2", "lone"])
+    assert rows(closure.upstream(spark.createDataFrame(edges, "node string, parent string"), spark.createDataFrame([], "node string"))) == []
+
+
 def test_governance(spark):
     df = spark.createDataFrame([("NL12DEMO345", "+31 6"), ("abc", None)], "iban string, phone string")
     assert rows(governance.masked(df, {"iban": "partial", "phone": "full"})) == [("***", None), ("*******O345", "****")]
