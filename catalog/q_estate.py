@@ -18,7 +18,7 @@ meta_tables AS (SELECT p_brand AS table_schema, 'T' || (p_partkey % 700) AS tabl
 """
 _COLUMNS_SQL = f"""
 meta_columns AS (SELECT p_brand AS table_schema, 'T' || (p_partkey % 700) AS table_name, 'c' || l_orderkey AS column_name, l_orderkey AS ordinal_position, {_PICK_TYPE} AS data_type,
-  CASE WHEN l_linenumber = 7 AND l_suppkey % 20 = 0 THEN 'YES' ELSE 'NO' END AS is_identity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 4 <> 0)
+  CASE WHEN l_linenumber = 7 AND l_suppkey % 20 = 0 THEN 'YES' ELSE 'NO' END AS is_identity FROM lineitem JOIN part ON p_partkey = l_partkey)
 """
 
 
@@ -35,7 +35,7 @@ def meta_tables(spark, sf_dir):
 def meta_columns(spark, sf_dir):
     listed = ", ".join(f"'{t}'" for t in _TYPES)
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.where("p_partkey % 4 <> 0").selectExpr(
+    return joined.selectExpr(
         "p_brand as table_schema", "concat('T', p_partkey % 700) as table_name", "concat('c', l_orderkey) as column_name",
         "l_orderkey as ordinal_position", f"array({listed})[int(l_suppkey % 12)] as data_type",
         "if(l_linenumber = 7 and l_suppkey % 20 = 0, 'YES', 'NO') as is_identity",
@@ -66,18 +66,28 @@ def table_classes(spark, sf_dir):
     return estate.table_classes(meta_columns(spark, sf_dir))
 
 
-@query("volume_rollup", f"""
-WITH {_TABLES_SQL}
-SELECT table_schema, count(*) FILTER (WHERE table_type <> 'VIEW') AS tables, count(*) FILTER (WHERE table_type = 'VIEW') AS views,
+_VOLUME_SQL = """count(*) FILTER (WHERE table_type <> 'VIEW') AS tables, count(*) FILTER (WHERE table_type = 'VIEW') AS views,
   coalesce(sum(row_count) FILTER (WHERE table_type <> 'VIEW'), 0)::BIGINT AS total_rows, coalesce(sum(bytes) FILTER (WHERE table_type <> 'VIEW'), 0)::BIGINT AS total_bytes,
-  coalesce(sum(floor(bytes * 1.52::DOUBLE)) FILTER (WHERE table_type <> 'VIEW'), 0)::BIGINT AS est_parquet_bytes FROM meta_tables GROUP BY 1""")
+  coalesce(sum(floor(bytes * 1.52::DOUBLE)) FILTER (WHERE table_type <> 'VIEW'), 0)::BIGINT AS est_parquet_bytes FROM"""
+
+
+@query("volume_rollup", f"""
+WITH {_TABLES_SQL}, own AS (SELECT CASE WHEN p_partkey % 17 <> 0 THEN table_schema END AS table_schema, table_type, row_count, bytes FROM meta_tables)
+SELECT table_schema, false AS is_total, {_VOLUME_SQL} own GROUP BY 1 UNION ALL SELECT NULL, true, {_VOLUME_SQL} own""")
 def volume_rollup(spark, sf_dir):
-    return estate.volume(meta_tables(spark, sf_dir))
+    """Per schema, those without one, and the total."""
+    return estate.volume(meta_tables(spark, sf_dir).withColumn("table_schema", F.expr("if(p_partkey % 17 <> 0, table_schema, null)")))
 
 
-@query("largest_tables", f"WITH {_TABLES_SQL} SELECT table_schema, table_name, bytes FROM meta_tables WHERE table_type <> 'VIEW' ORDER BY coalesce(bytes, 0) DESC, table_schema, table_name LIMIT 15")
+@query("largest_tables", f"""
+WITH {_TABLES_SQL}, {_MAPPED_SQL},
+classes AS (SELECT table_schema, table_name, (['AUTOMATIC', 'AGENT_PLUS_REVIEW', 'REDESIGN', 'NOT_SUPPORTED_TODAY'])[max({_RANK}) + 1] AS class FROM mapped GROUP BY 1, 2),
+top AS (SELECT row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, table_schema, table_name) AS position, * FROM meta_tables WHERE table_type <> 'VIEW')
+SELECT position, t.table_schema, t.table_name, row_count, bytes, floor(bytes * 1.52::DOUBLE)::BIGINT AS est_parquet_bytes, coalesce(class, '-') AS class
+FROM top t LEFT JOIN classes c ON c.table_schema = t.table_schema AND c.table_name = t.table_name WHERE position <= 15""")
 def largest_tables(spark, sf_dir):
-    return estate.largest_tables(meta_tables(spark, sf_dir)).select("table_schema", "table_name", "bytes")
+    top = estate.largest_tables(meta_tables(spark, sf_dir), classes=estate.table_classes(meta_columns(spark, sf_dir)))
+    return top.select("position", "table_schema", "table_name", "row_count", "bytes", "est_parquet_bytes", "class")
 
 
 @query("largest_per_schema", f"WITH {_TABLES_SQL} SELECT table_schema, table_name, bytes FROM meta_tables QUALIFY rank() OVER (PARTITION BY table_schema ORDER BY bytes DESC NULLS FIRST) <= 3")
@@ -112,7 +122,7 @@ FROM p)
 """
 
 
-@query("move_plan", _PLAN_SQL + "SELECT * FROM planned")
+@query("move_plan", _PLAN_SQL + "SELECT *, row_number() OVER (ORDER BY move_group, coalesce(bytes, 0), table_schema, table_name, row_count, why) AS position FROM planned")
 def move_plan(spark, sf_dir):
     built = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").selectExpr("concat('t', s_suppkey) as model")
     sources = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr(
@@ -340,17 +350,50 @@ def hit_lines(spark, sf_dir):
     return _call_hits(spark, sf_dir).groupBy("path", "rule", "construct", F.col("line_no").cast("bigint").alias("line_no")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("text_classes", f"""
-WITH {_HITS_SQL}, own AS (SELECT path, max({_RANK}) AS r, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM hits GROUP BY 1),
-calls AS (SELECT DISTINCT 'documents/' || doc_id AS caller, 'documents/' || (doc_id // 7) AS macro FROM documents),
-pushed AS (SELECT caller, max(r) AS r, string_agg(DISTINCT x, ',' ORDER BY x) AS rules FROM (SELECT caller, r, unnest(string_split(rules, ',')) AS x FROM calls JOIN own ON own.path = macro) GROUP BY 1)
-SELECT c.path, (['AUTOMATIC', 'AGENT_PLUS_REVIEW', 'REDESIGN', 'NOT_SUPPORTED_TODAY'])[greatest(coalesce(o.r, 0), coalesce(p.r, 0)) + 1] AS class,
-  coalesce(o.rules, '') AS rules, coalesce(p.rules, '') AS macro_rules, coalesce(p.r, 0) > coalesce(o.r, 0) AS raised_by_macro
-FROM corpus c LEFT JOIN own o ON o.path = c.path LEFT JOIN pushed p ON p.caller = c.path""")
+_REACH_SQL = f"""own AS (SELECT path, max({_RANK}) AS r, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM hits GROUP BY 1),
+calls AS (SELECT DISTINCT doc_id AS caller, doc_id // 7 AS macro FROM documents),
+reach(start, node) AS (SELECT caller, macro FROM calls UNION SELECT r.start, c.macro FROM reach r JOIN calls c ON c.caller = r.node),
+pushed AS (SELECT 'documents/' || start AS caller, max(r) AS r, string_agg(DISTINCT x, ',' ORDER BY x) AS rules FROM (SELECT start, r, unnest(string_split(rules, ',')) AS x FROM reach JOIN own ON own.path = 'documents/' || node) GROUP BY 1),
+texts AS (SELECT c.path, greatest(coalesce(o.r, 0), coalesce(p.r, 0)) AS rank, coalesce(o.rules, '') AS rules, coalesce(p.rules, '') AS macro_rules, coalesce(p.r, 0) > coalesce(o.r, 0) AS raised_by_macro
+  FROM corpus c LEFT JOIN own o ON o.path = c.path LEFT JOIN pushed p ON p.caller = c.path)"""
+_CLASS_AT = "(['AUTOMATIC', 'AGENT_PLUS_REVIEW', 'REDESIGN', 'NOT_SUPPORTED_TODAY'])[{0} + 1]"
+
+
+def _calls(spark, sf_dir):
+    """Document n calls document n // 7, so calls are several levels deep and the first document calls itself."""
+    return table(spark, sf_dir, "documents").selectExpr("concat('documents/', doc_id) as caller", "concat('documents/', doc_id div 7) as macro")
+
+
+@query("text_classes", f"WITH RECURSIVE {_HITS_SQL}, {_REACH_SQL} SELECT path, {_CLASS_AT.format('rank')} AS class, rules, macro_rules, raised_by_macro FROM texts")
 def text_classes(spark, sf_dir):
-    nodes = corpus(spark, sf_dir).select("path")
-    calls = table(spark, sf_dir, "documents").selectExpr("concat('documents/', doc_id) as caller", "concat('documents/', doc_id div 7) as macro")
-    return textscan.classify_texts(nodes, _call_hits(spark, sf_dir), calls)
+    return textscan.classify_texts(corpus(spark, sf_dir).select("path"), _call_hits(spark, sf_dir), _calls(spark, sf_dir))
+
+
+@query("node_classes", f"""
+WITH RECURSIVE {_HITS_SQL}, {_REACH_SQL},
+n AS (SELECT t.*, CASE d.doc_id % 11 WHEN 0 THEN 'seed' WHEN 1 THEN 'snapshot' ELSE 'model' END AS kind, CASE WHEN d.doc_id % 13 = 2 THEN 'python' ELSE 'sql' END AS language,
+  CASE d.doc_id % 3 WHEN 0 THEN 'incremental' WHEN 1 THEN 'table' END AS materialized FROM texts t JOIN documents d ON t.path = 'documents/' || d.doc_id)
+SELECT path, kind, CASE WHEN kind <> 'model' THEN 'NOT_SUPPORTED_TODAY' WHEN language = 'python' THEN 'REDESIGN' ELSE {_CLASS_AT.format("greatest(rank, CASE WHEN materialized = 'incremental' THEN 1 ELSE 0 END)")} END AS class,
+  CASE WHEN kind <> 'model' THEN kind WHEN language = 'python' THEN 'python model' WHEN coalesce(materialized = 'incremental', false) AND rank < 1 THEN 'incremental' WHEN raised_by_macro THEN 'macro'
+    WHEN rules <> '' THEN 'rules' ELSE 'nothing found' END AS because, rules, macro_rules FROM n""")
+def node_classes(spark, sf_dir):
+    """Documents as the nodes of a project: seeds, snapshots, Python and incremental models among them."""
+    nodes = table(spark, sf_dir, "documents").selectExpr(
+        "concat('documents/', doc_id) as path", "case doc_id % 11 when 0 then 'seed' when 1 then 'snapshot' else 'model' end as kind",
+        "if(doc_id % 13 = 2, 'python', 'sql') as language", "case doc_id % 3 when 0 then 'incremental' when 1 then 'table' end as materialized",
+    )
+    hits = _call_hits(spark, sf_dir)
+    return textscan.classify_nodes(nodes, hits.where("path like 'documents/%'"), _calls(spark, sf_dir))
+
+
+@query("kind_frequency", """
+WITH k AS (SELECT 'test' AS what, CASE WHEN l_linenumber = 1 THEN 'unique' WHEN l_returnflag = 'R' THEN 'accepted_values' ELSE 'not_null' END AS name FROM lineitem
+  UNION ALL SELECT 'materialization', coalesce(nullif(CASE o_orderkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'incremental' WHEN 2 THEN '' END, ''), 'view') FROM orders)
+SELECT what, name, count(*) AS n, row_number() OVER (PARTITION BY what ORDER BY count(*) DESC, name) AS position FROM k GROUP BY 1, 2""")
+def kind_frequency(spark, sf_dir):
+    tests = table(spark, sf_dir, "lineitem").selectExpr("case when l_linenumber = 1 then 'unique' when l_returnflag = 'R' then 'accepted_values' else 'not_null' end as type")
+    models = table(spark, sf_dir, "orders").selectExpr("case o_orderkey % 4 when 0 then 'table' when 1 then 'incremental' when 2 then '' end as materialized")
+    return textscan.kind_frequency(tests, models)
 
 
 @query("alias_shadow")

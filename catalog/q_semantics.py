@@ -12,10 +12,12 @@ from equipoise.functions import conditionals as sc
 from equipoise.functions import dates as dt
 from equipoise.functions import numbers as nu
 from equipoise.functions import semi as js
+from equipoise.functions import sketches as sk
 from equipoise.functions import strings as st
 from equipoise.functions.ordering import ascending, descending
 from equipoise.operators import windows as wn
 from equipoise.operators.keyed import attach
+from equipoise.session import cut_lineage
 
 
 @query("cond_nulls", """
@@ -259,9 +261,29 @@ WITH {_META_SQL}
 SELECT CASE json_type(v, '$.k') WHEN 'UBIGINT' THEN 'INTEGER' WHEN 'BIGINT' THEN 'INTEGER' WHEN 'VARCHAR' THEN 'VARCHAR' WHEN 'BOOLEAN' THEN 'BOOLEAN'
   WHEN 'DOUBLE' THEN 'DECIMAL' END AS kind, count(*) AS n FROM meta GROUP BY 1""")
 def json_types(spark, sf_dir):
-    kind = js.type_of(F.get_json_object("v", "$.k"))
-    quoted = js.type_of(F.concat(F.lit('"'), F.get_json_object("v", "$.k"), F.lit('"')))
-    return _meta(spark, sf_dir).groupBy(F.coalesce(kind, quoted).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _meta(spark, sf_dir).groupBy(js.type_of(F.col("v"), "k").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NESTED_SQL = """nested AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '[1,[2,[' || o_custkey || ',[]]],{}]' WHEN 1 THEN '{"a":{"b":{"c":{"d":[' || o_custkey || ',null]}}}}'
+  WHEN 2 THEN '{"status":"' || o_orderstatus || '","tags":[{"n":1,"x":[true,"' || o_orderpriority || '"]},{"n":2}]}' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '7' END ELSE '{}' END AS v FROM orders)"""
+
+
+@query("json_flatten_recursive", f"""
+WITH RECURSIVE {_NESTED_SQL},
+t(o_orderkey, path, depth, key, idx, item) AS (SELECT o_orderkey, '', 0, NULL::VARCHAR, NULL::BIGINT, v::JSON FROM nested WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT o_orderkey, path || CASE WHEN e.key IS NULL THEN '[' || e.idx || ']' WHEN path = '' THEN e.key ELSE '.' || e.key END, depth + 1, e.key, e.idx, e.item
+  FROM (SELECT o_orderkey, path, depth, unnest(CASE json_type(item) WHEN 'OBJECT' THEN list_transform(json_keys(item), lambda k: {{'key': k, 'idx': NULL::BIGINT, 'item': json_extract(item, '$."' || k || '"')}})
+    ELSE list_transform(range(0, json_array_length(item)::BIGINT), lambda i: {{'key': NULL::VARCHAR, 'idx': i, 'item': json_extract(item, '$[' || i || ']')}}) END) AS e FROM t WHERE json_type(item) IN ('OBJECT', 'ARRAY')))
+SELECT o_orderkey, path, depth, key, idx AS index, item::VARCHAR AS item FROM t WHERE depth > 0
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM nested WHERE v IS NULL OR v IN ('7', '{{}}')""")
+def json_flatten_recursive(spark, sf_dir):
+    """Every value inside nested JSON, up to five levels down, with its path."""
+    nested = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        """case o_orderkey % 5 when 0 then concat('[1,[2,[', o_custkey, ',[]]],{}]') when 1 then concat('{"a":{"b":{"c":{"d":[', o_custkey, ',null]}}}}')
+        when 2 then concat('{"status":"', o_orderstatus, '","tags":[{"n":1,"x":[true,"', o_orderpriority, '"]},{"n":2}]}') when 3 then if(o_orderkey % 2 = 0, '7', null) else '{}' end as v""",
+    )
+    return js.flatten_recursive(nested, F.col("v"), outer=True).select("o_orderkey", "path", "depth", "key", F.col("index").cast("bigint").alias("index"), F.to_json("item").alias("item"))
 
 
 # --------------------------------------------------------------------------- aggregates
@@ -311,10 +333,34 @@ def agg_semantics(spark, sf_dir):
 SELECT event_type, quantile_cont(value, 0.5)::DECIMAL(18,6) AS median_value, quantile_cont(value, 0.9)::DECIMAL(18,6) AS p90_value FROM events GROUP BY event_type""")
 def exact_quantiles(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    at = lambda q, name: wn.exact_quantile(events, ["event_type"], "value", q).select(
-        "event_type", F.col("value_quantile").cast("decimal(18,6)").alias(name)
+    found = wn.exact_quantiles(events, ["event_type"], "value", {"median_value": 0.5, "p90_value": 0.9})
+    return found.select("event_type", *[F.col(c).cast("decimal(18,6)").alias(c) for c in ("median_value", "p90_value")])
+
+
+@query("stored_sketches", """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close, true AS p95_close, true AS top_close FROM events GROUP BY 1""")
+def stored_sketches(spark, sf_dir):
+    """Sketches stored by day and type and merged by type: each estimate is held against the exact value and its stated error."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
+    daily = cut_lineage(sk.sketches(events, ["day", "event_type"], distinct="user_id", quantile="value", frequent="user_id"))
+    q = {"median": 0.5, "p95": 0.95}
+    whole = cut_lineage(sk.merged(daily, ["event_type"]).select(
+        "event_type", "n", sk.distinct_estimate().alias("about"), sk.frequent_estimate(3).alias("top"), *[sk.quantile_estimate(x).alias(f"{name}_at") for name, x in q.items()]
+    ))
+    ranks = [F.count_if(F.col("value") < F.col(f"{n}_at")).alias(f"{n}_below") for n in q] + [F.count_if(F.col("value") <= F.col(f"{n}_at")).alias(f"{n}_upto") for n in q]
+    exact = attach(events, whole, ["event_type"]).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), *ranks)
+    counts = cut_lineage(events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")))
+    places = wn.qualify_top(counts, ["event_type"], [F.col("c").desc()], 3)
+    truly = places.groupBy("event_type").agg(F.min("c").alias("third"))
+    listed = whole.select("event_type", F.explode("top").alias("t")).select("event_type", F.col("t.item").alias("user_id"), F.col("t.count").alias("told"))
+    tops = attach(attach(listed, counts, ["event_type", "user_id"]), truly, ["event_type"]).groupBy("event_type").agg(
+        F.max(F.abs(F.col("told") - F.col("c"))).alias("off"), F.min(F.col("c") - F.col("third")).alias("short")
     )
-    return at(0.5, "median_value").join(at(0.9, "p90_value"), "event_type")
+    near = lambda name, x: ((F.col(f"{name}_below") <= (x + sk.RANK_ERROR) * F.col("n")) & (F.col(f"{name}_upto") >= (x - sk.RANK_ERROR) * F.col("n"))).alias(f"{name}_close")
+    return attach(attach(whole, exact, ["event_type"]), tops, ["event_type"]).select(
+        "event_type", "n", "users", (F.abs(F.col("about") - F.col("users")) <= sk.DISTINCT_ERROR * F.col("users")).alias("users_close"), *[near(n, x) for n, x in q.items()],
+        ((F.col("off") <= sk.COUNT_ERROR * F.col("n")) & (F.col("short") >= -sk.COUNT_ERROR * F.col("n"))).alias("top_close"),
+    )
 
 
 @query("surplus_keys", """
@@ -323,9 +369,44 @@ def surplus_keys(spark, sf_dir):
     return ag.surplus_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("fingerprint")
+_LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity::DECIMAL(12,2)", "l_extendedprice::DECIMAL(12,2)", "l_discount::DECIMAL(12,2)", "l_tax::DECIMAL(12,2)", "l_returnflag", "l_linestatus", "l_shipdate::DATE")
+
+
+def _digest_sql(*columns):
+    return "md5(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+
+def _sum_sql(at, digest="digest"):
+    return f"coalesce(sum(('0x' || substr({digest}, {at}, 15))::BIGINT::HUGEINT), 0)"
+
+
+def _lines(spark, sf_dir):
+    typed = [F.col(c.split("::")[0]).cast(c.split("::")[1].lower()).alias(c.split("::")[0]) if "::" in c else F.col(c) for c in _LINE_COLUMNS]
+    return table(spark, sf_dir, "lineitem").select(*typed)
+
+
+@query("fingerprint", f"SELECT count(*) AS row_count, {_sum_sql(1)}::VARCHAR || ':' || {_sum_sql(16)}::VARCHAR AS content FROM (SELECT {_digest_sql(*_LINE_COLUMNS)} AS digest FROM lineitem)")
 def fingerprint(spark, sf_dir):
-    return ag.fingerprint(table(spark, sf_dir, "lineitem"))
+    """One number for all lines, whatever their order."""
+    return ag.fingerprint(_lines(spark, sf_dir))
+
+
+_CHANGED_LINES = ["CASE WHEN l_orderkey % 911 = 5 AND l_linenumber = 1 THEN 'Z' ELSE l_returnflag END" if c == "l_returnflag" else c for c in _LINE_COLUMNS]
+
+
+@query("differing_buckets", f"""
+WITH a AS (SELECT {_digest_sql("l_orderkey")} AS k, {_digest_sql(*_LINE_COLUMNS)} AS digest FROM lineitem),
+b AS (SELECT {_digest_sql("l_orderkey")} AS k, {_digest_sql(*_CHANGED_LINES)} AS digest FROM lineitem WHERE l_orderkey % 1009 <> 3),
+t AS (SELECT 1 AS side, k, digest FROM a UNION ALL SELECT -1, k, digest FROM b),
+l AS (SELECT level, substr(k, 1, level) AS bucket, side, count(*) AS n, {_sum_sql(1)} AS x, {_sum_sql(16)} AS y FROM t, (VALUES (0), (1), (2), (3)) v(level) GROUP BY ALL)
+SELECT level, bucket, sum(CASE WHEN side = 1 THEN n ELSE 0 END)::BIGINT AS rows_left, sum(CASE WHEN side = -1 THEN n ELSE 0 END)::BIGINT AS rows_right
+FROM l GROUP BY 1, 2 HAVING sum(side * n) <> 0 OR sum(side * x) <> 0 OR sum(side * y) <> 0""")
+def differing_buckets(spark, sf_dir):
+    """Which key buckets of two versions of all lines differ: some lines changed, some orders are missing."""
+    lines = _lines(spark, sf_dir)
+    changed = lines.where("l_orderkey % 1009 <> 3").withColumn("l_returnflag", F.expr("if(l_orderkey % 911 = 5 and l_linenumber = 1, 'Z', l_returnflag)"))
+    halves = [ag.bucket_tree(changed.where(f"l_suppkey % 2 = {i}"), ["l_orderkey"]) for i in (0, 1)]
+    return ag.differing_buckets(ag.bucket_tree(lines, ["l_orderkey"]), ag.merged_trees(*halves))
 
 
 @query("type_frequency", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")

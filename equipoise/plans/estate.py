@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.functions.ordering import descending
+from equipoise.operators.keyed import attach
+from equipoise.operators.positions import with_position
 from equipoise.operators.windows import qualify_top
 from equipoise.plans.rules import AUTOMATIC, CLASSES, NAMED_CLASSES, REDESIGN, REVIEW, UNSUPPORTED
 from equipoise.plans.textscan import class_of, severity
+from equipoise.session import cut_lineage
 from equipoise.sources.tables import FILE_BYTES, SINGLE_FILE_LIMIT, TARGET_PREFIX
 
 VERIFIED, INFERENCE = "verified", "inference"
@@ -341,10 +344,15 @@ def parquet_estimate(size: Column, ratio: float = PARQUET_RATIO) -> Column:
 
 
 def volume(tables: DataFrame, ratio: float = PARQUET_RATIO) -> DataFrame:
-    """Per schema: tables, views, rows, bytes and the estimated Parquet size."""
+    """Per schema and over all: tables, views, rows, bytes and the estimated Parquet size.
+
+    One aggregate over two grouping sets; ``is_total`` marks the row of all schemas, which tells it from
+    that of tables without a schema. Without tables there are no rows.
+    """
     is_view = F.coalesce(F.upper("table_type") == "VIEW", F.lit(False))
     amount = lambda c: F.coalesce(F.sum(F.when(~is_view, F.coalesce(c, F.lit(0)))), F.lit(0)).cast("bigint")
-    return tables.groupBy("table_schema").agg(
+    return tables.groupingSets([["table_schema"], []], "table_schema").agg(
+        (F.grouping("table_schema") == 1).alias("is_total"),
         F.count_if(~is_view).alias("tables"),
         F.count_if(is_view).alias("views"),
         amount(F.col("row_count")).alias("total_rows"),
@@ -353,9 +361,19 @@ def volume(tables: DataFrame, ratio: float = PARQUET_RATIO) -> DataFrame:
     )
 
 
-def largest_tables(tables: DataFrame, n: int = 15) -> DataFrame:
+def largest_tables(tables: DataFrame, n: int = 15, *, classes: DataFrame | None = None, ratio: float = PARQUET_RATIO) -> DataFrame:
+    """The ``n`` largest tables by bytes with their ``position``, rows, estimate and class (``-`` where ``classes`` has none).
+
+    ``classes``: table_schema, table_name, class.
+    """
     kept = tables.where(~F.coalesce(F.upper("table_type") == "VIEW", F.lit(False)))
-    return kept.orderBy(F.coalesce("bytes", F.lit(0)).desc(), "table_schema", "table_name").limit(n)
+    order = [F.coalesce("bytes", F.lit(0)).desc(), F.col("table_schema").asc_nulls_last(), F.col("table_name").asc_nulls_last()]
+    top = with_position(cut_lineage(kept.orderBy(*order).limit(_top(n))), order)
+    top = top.withColumn("est_parquet_bytes", parquet_estimate(F.col("bytes"), ratio))
+    if classes is None:
+        return top.withColumn("class", F.lit("-"))
+    named = attach(top, classes.select("table_schema", "table_name", "class"), ["table_schema", "table_name"], "left")
+    return named.withColumn("class", F.coalesce("class", F.lit("-")))
 
 
 def move_plan(
@@ -422,7 +440,9 @@ def move_plan(
 
 
 def in_move_order(plan: DataFrame) -> DataFrame:
-    return plan.orderBy("move_group", F.coalesce("bytes", F.lit(0)), "table_schema", "table_name")
+    """The plan with each table's ``position`` in the move: by group, then small tables first. Ranges are sorted, never the whole in one task."""
+    order = ["move_group", F.coalesce("bytes", F.lit(0)), F.col("table_schema").asc_nulls_last(), F.col("table_name").asc_nulls_last(), "row_count", "why"]
+    return with_position(cut_lineage(plan), order)
 
 
 def _identifier(name) -> Column:

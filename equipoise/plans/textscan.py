@@ -13,7 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.plans.rules import CLASSES, RULES, full_pattern
+from equipoise.operators.keyed import attach
+from equipoise.operators.positions import with_position
+from equipoise.plans.closure import upstream
+from equipoise.plans.rules import CLASSES, REDESIGN, REVIEW, RULES, UNSUPPORTED, full_pattern
+from equipoise.session import cut_lineage
 
 _MARK, _TEMPLATE = "\u0001", "\u0002"
 # The delimiters of comments, template comments, dollar bodies and literals.
@@ -236,24 +240,25 @@ def construct_frequency(hits: DataFrame) -> DataFrame:
 
 
 def classify_texts(nodes: DataFrame, hits: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """Worst class per text, raised by the macros it calls.
+    """Worst class per text, raised by all macros it reaches: those it calls, those they call, and so on.
 
-    ``nodes``: path. ``calls``: caller, macro (both paths). Hits that do not count are ignored.
+    ``nodes``: path. ``calls``: caller, macro (both paths). Hits that do not count are ignored. The
+    maximum along the call graph is the fixed point that a closure finds: each (macro, rule) travels to
+    all callers in rounds that double the distance, so deep calls and cycles end; there are no more
+    travellers than texts with hits times rules.
     """
-    own = (
-        hits.where("counts")
-        .groupBy("path")
-        .agg(F.max(severity(F.col("class"))).alias("own_rank"), F.sort_array(F.collect_set("rule")).alias("rules"))
-    )
+    found = hits.where("counts").groupBy("path", "rule").agg(F.max(severity(F.col("class"))).alias("rank"))
+    own = found.groupBy("path").agg(F.max("rank").alias("own_rank"), F.sort_array(F.collect_set("rule")).alias("rules"))
     ranked = nodes.join(own, "path", "left")
     if calls is None:
         inherited = ranked.withColumn("macro_rank", F.lit(None).cast("bigint")).withColumn("macro_rules", F.expr("cast(array() as array<string>)"))
     else:
-        macros = own.select(F.col("path").alias("macro"), F.col("own_rank").alias("rank"), F.col("rules").alias("from_macro"))
+        edges = cut_lineage(calls.select(F.col("macro").alias("node"), F.col("caller").alias("parent")).distinct())
+        # from the direct callers on, so that what a text has of its own is not counted as inherited
+        direct = cut_lineage(found.join(edges, found["path"] == edges["node"]).select(F.col("parent").alias("node"), "rule", "rank").distinct())
+        carried = upstream(edges, direct, of=["rule", "rank"])
         # Rule ids form a small fixed set, so the collected set is bounded.
-        pushed = calls.distinct().join(macros, "macro").groupBy(F.col("caller").alias("path")).agg(
-            F.max("rank").alias("macro_rank"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("from_macro")))).alias("macro_rules")
-        )
+        pushed = carried.groupBy(F.col("node").alias("path")).agg(F.max("rank").alias("macro_rank"), F.sort_array(F.collect_set("rule")).alias("macro_rules"))
         inherited = ranked.join(pushed, "path", "left")
     own_rank, macro_rank = F.coalesce("own_rank", F.lit(0)), F.coalesce("macro_rank", F.lit(0))
     return inherited.select(
@@ -263,3 +268,35 @@ def classify_texts(nodes: DataFrame, hits: DataFrame, calls: DataFrame | None =
         F.array_join(F.coalesce("macro_rules", F.expr("cast(array() as array<string>)")), ",").alias("macro_rules"),
         (macro_rank > own_rank).alias("raised_by_macro"),
     )
+
+
+def classify_nodes(nodes: DataFrame, hits: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """``classify_texts`` for the nodes of a project, whose kind can decide alone; ``because`` names what did.
+
+    ``nodes``: path, kind, language, materialized. Seeds and snapshots cannot run on the target at all,
+    Python models are written anew, and an incremental model is at least reviewed.
+    """
+    judged = attach(classify_texts(nodes.select("path").distinct(), hits, calls), nodes.select("path", "kind", "language", "materialized"), ["path"])
+    is_a = lambda column, value: F.coalesce(F.lower(column) == value, F.lit(False))
+    fixed = F.when(is_a("kind", "seed") | is_a("kind", "snapshot"), F.lit(UNSUPPORTED)).when(is_a("language", "python"), F.lit(REDESIGN))
+    incremental = is_a("materialized", "incremental")
+    least = F.when(incremental, severity(F.lit(REVIEW))).otherwise(F.lit(0))
+    raised = class_of(F.greatest(severity(F.col("class")), least))
+    reason = (
+        F.when(is_a("kind", "seed"), "seed").when(is_a("kind", "snapshot"), "snapshot").when(is_a("language", "python"), "python model")
+        .when(incremental & (severity(F.col("class")) < severity(F.lit(REVIEW))), "incremental").when(F.col("raised_by_macro"), "macro")
+        .when(F.col("rules") != "", "rules").otherwise("nothing found")
+    )
+    return judged.select("path", "kind", F.coalesce(fixed, raised).alias("class"), reason.alias("because"), "rules", "macro_rules")
+
+
+def kind_frequency(tests: DataFrame, models: DataFrame) -> DataFrame:
+    """How often each test type and each materialization (none: view) occurs: what, name, n and its ``position``, most frequent first.
+
+    ``tests``: type. ``models``: materialized.
+    """
+    named = tests.select(F.lit("test").alias("what"), F.col("type").alias("name")).unionByName(
+        models.select(F.lit("materialization").alias("what"), F.coalesce(F.nullif("materialized", F.lit("")), F.lit("view")).alias("name"))
+    )
+    counted = cut_lineage(named.groupBy("what", "name").agg(F.count(F.lit(1)).alias("n")))
+    return with_position(counted, [F.col("n").desc(), "name"], ["what"])

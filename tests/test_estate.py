@@ -81,7 +81,8 @@ def test_moves(spark):
     columns = frame(spark, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string",
                     ("RAW", "ORDERS", "META", 2, "VARIANT"), ("RAW", "ORDERS", "ID", 1, "NUMBER"))
     sources = frame(spark, "source string, table_name string, identifier string, contains_pii boolean", ("raw", "logs", "raw_logs", True))
-    plan = estate.in_move_order(estate.move_plan(tables, columns, built=frame(spark, "model string", ("done",)), sources=sources, ratio=1.0)).collect()
+    plan = estate.in_move_order(estate.move_plan(tables, columns, built=frame(spark, "model string", ("done",)), sources=sources, ratio=1.0)).orderBy("position").collect()
+    assert [r.position for r in plan] == [1, 2, 3, 4, 5]
     assert [(r.table_schema, r.table_name) for r in plan] == [("RAW", "LOGS"), ("STAGE", "ORDERS"), ("RAW", "ORDERS"), ("RAW", "BIG"), ("RAW", "DONE")]
     by = {(r.table_schema, r.table_name): r for r in plan}
     assert by["RAW", "ORDERS"].target_table == "raw_raw_orders" and by["STAGE", "ORDERS"].target_table == "raw_stage_orders"
@@ -94,8 +95,12 @@ def test_moves(spark):
     assert "INTO @STAGE/raw/stage_orders.parquet FROM (SELECT * FROM" in copied["STAGE", "ORDERS"] and "SINGLE = TRUE" in copied["STAGE", "ORDERS"]
     assert "@STAGE/raw/big/ " in copied["RAW", "BIG"] and "SINGLE" not in copied["RAW", "BIG"] and "@STAGE/expected/done.parquet" in copied["RAW", "DONE"]
     assert len(set(copied.values())) == len(copied) == 5
-    volume = {r.table_schema: tuple(r)[1:] for r in estate.volume(tables, 1.5).collect()}
-    assert volume["STAGE"] == (1, 0, 5, 500, 750) and volume["RAW"][:2] == (4, 1)
+    volume = {(r.table_schema, r.is_total): tuple(r)[2:] for r in estate.volume(tables, 1.5).collect()}
+    assert volume["STAGE", False] == (1, 0, 5, 500, 750) and volume["RAW", False][:2] == (4, 1)
+    assert volume[None, True] == tuple(map(sum, zip(volume["STAGE", False], volume["RAW", False], strict=True))) and len(volume) == 3
+    assert rows(estate.volume(tables.limit(0))) == []
+    top = estate.largest_tables(tables, 3, classes=frame(spark, "table_schema string, table_name string, class string", ("RAW", "ORDERS", "REDESIGN"))).orderBy("position").collect()
+    assert [(r.position, r.table_name, r["class"]) for r in top] == [(1, "BIG", "-"), (2, "ORDERS", "REDESIGN"), (3, "ORDERS", "-")]
     assert estate.PARQUET_RATIO == 1.52
 
 

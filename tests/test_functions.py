@@ -207,6 +207,10 @@ def test_aggregates(spark):
     assert rows(got) == [(1, "app,web", "app|web|web", '["app","web","web"]', '["app","web"]', 3), (2, "", "", "[]", "[]", None)]
     assert ag.surplus_keys(df, "g").first().surplus == 2
     assert rows(ag.fingerprint(df)) == rows(ag.fingerprint(df.orderBy("o"))) != rows(ag.fingerprint(df.union(df)))
+    tree = ag.bucket_tree(df, ["g"], 2)
+    assert rows(ag.differing_buckets(tree, ag.merged_trees(ag.bucket_tree(df.where("o > 1"), ["g"], 2), ag.bucket_tree(df.where("o = 1"), ["g"], 2)))) == []
+    changed = ag.differing_buckets(tree, ag.bucket_tree(df.withColumn("o", F.expr("if(g = 2, 9, o)")), ["g"], 2)).orderBy("level").collect()
+    assert [(r.level, len(r.bucket)) for r in changed] == [(0, 0), (1, 1), (2, 2)] and [tuple(r)[2:] for r in changed][::2] == [(4, 4), (1, 1)]
     assert [tuple(r) for r in ag.most_frequent(df, "c").collect()] == [("web", 2), ("app", 1), (None, 1)]
     prices = spark.createDataFrame([(D("0.01"),), (D("0.02"),), (None,)], "p decimal(10,2)")
     assert prices.agg(nu.exact_avg(F.col("p"), 2).alias("v")).first().v == D("0.02")
@@ -218,6 +222,14 @@ def test_flatten(spark):
     assert rows(inner) == [(1, 0, "a"), (1, 1, "b")]
     outer = js.flatten(df, F.col("v"), "i", outer=True).select("k", "position")
     assert rows(outer) == [(1, 0), (1, 1), (2, None), (3, None), (4, None), (5, None)]
+    deep = spark.createDataFrame([(1, '[{"a":[5,{"b":null}]},[]]'), (2, "7"), (3, None), (4, "{}"), (5, "not json")], "k int, v string")
+    got = js.flatten_recursive(deep, F.col("v"), outer=True).select("k", "path", "depth", "key", "index", F.to_json("item").alias("j"), F.to_json("this").alias("t"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(
+        [(1, "[0]", 1, None, 0, '{"a":[5,{"b":null}]}', '[{"a":[5,{"b":null}]},[]]'), (1, "[1]", 1, None, 1, "[]", '[{"a":[5,{"b":null}]},[]]'), (1, "[0].a", 2, "a", None, '[5,{"b":null}]', '{"a":[5,{"b":null}]}'),
+         (1, "[0].a[0]", 3, None, 0, "5", '[5,{"b":null}]'), (1, "[0].a[1]", 3, None, 1, '{"b":null}', '[5,{"b":null}]'), (1, "[0].a[1].b", 4, "b", None, "null", '{"b":null}')]
+        + [(k, None, None, None, None, None, None) for k in (2, 3, 4, 5)], key=str)
+    assert js.flatten_recursive(deep.where("k > 1"), F.col("v")).count() == 0
+    assert df.where("k = 1").select(js.array_construct(F.lit(1), F.lit("a"), F.lit(None).cast("int"))).first()[0] == '[1,"a",null]'
     keys = js.flatten_object(df, F.col("v"), "o").select("k", "key", F.col("item").cast("int"))
     assert rows(keys) == [(1, "x", 1), (1, "y", 2)]
     assert df.where("k = 1").select(js.object_keys(F.col("v"))).first()[0] == ["i", "o"]
