@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zipfile
@@ -41,13 +42,35 @@ def ship(spark: SparkSession) -> None:
     context._equipoise_shipped = True
 
 
+#: What else a worker forgets at the end of a task.
+AT_TASK_END: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses, so that workers waiting for their next task are small."""
+    for forget in AT_TASK_END:
+        forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches, so that long texts do not meet in one."""
+    """``mapInArrow`` with small batches, so that long texts do not meet in one; a task gives its memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
