@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.planted import PLANTED
 from catalog.registry import query
 from catalog.shop import table
+from equipoise.operators.keyed import attach
 from equipoise.plans import estate, textscan
 from equipoise.plans.rules import RULES, full_pattern
 
@@ -396,7 +398,18 @@ def kind_frequency(spark, sf_dir):
     return textscan.kind_frequency(tests, models)
 
 
-@query("alias_shadow")
+_TYPE_NAMES_SQL = ", ".join(f"'{n}'" for n in textscan.TYPE_NAMES)
+_ALIAS = "[^a-z0-9_]as[ \\t]+([a-z_][a-z0-9_]*)"
+
+
+@query("alias_shadow", f"""
+WITH corpus AS (SELECT 'documents/' || doc_id AS path, 'select' || chr(10) || ' coalesce(d' || doc_id % 9 || ', 0) as d' || doc_id % 9 || ',' || chr(10) || ' x * d' || doc_id % 7 || ' as y' || chr(10) || 'from t' || chr(10) || text AS text FROM documents),
+{_MASKED_SQL}, split AS (SELECT path, regexp_split_to_array(lower(code), '\\r?\\n') AS ls FROM masked),
+lines AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM split),
+blocks AS (SELECT *, sum(regexp_matches(line, '(^|[^a-z0-9_])select([^a-z0-9_]|$)')::INT) OVER (PARTITION BY path ORDER BY pos) AS block FROM lines),
+known AS (SELECT path, block, alias, min(pos) AS since FROM (SELECT path, block, pos, unnest(regexp_extract_all(line, '{_ALIAS}', 1)) AS alias FROM blocks) WHERE alias NOT IN ({_TYPE_NAMES_SQL}) GROUP BY 1, 2, 3),
+used AS (SELECT DISTINCT path, block, pos, w FROM (SELECT path, block, pos, unnest(regexp_extract_all(regexp_replace(line, '{_ALIAS}', ' ', 'g'), '[a-z0-9_.]+\\(?')) AS w FROM blocks) WHERE regexp_full_match(w, '[a-z_][a-z0-9_]*'))
+SELECT u.path, (pos + 1)::INT AS line_no, alias FROM used u JOIN known k ON k.path = u.path AND k.block = u.block AND k.alias = u.w AND u.pos > since""")
 def alias_shadow(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").selectExpr(
         "concat('documents/', doc_id) as path", "concat('select\\n coalesce(d', doc_id % 9, ', 0) as d', doc_id % 9, ',\\n x * d', doc_id % 7, ' as y\\nfrom t\\n', text) as text"
@@ -412,3 +425,33 @@ def regex_backslashes(spark, sf_dir):
         "concat('select 1,\\nregexp_substr(s, \\'', if(page_id % 2 = 0, '\\\\\\\\d+', 'd+'), page_id, '\\') from t\\n', replace(html, '\\'', '')) as text",
     )
     return textscan.regex_backslashes(texts).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+# --------------------------------------------------------------------------- planted truth
+
+
+def _planted(spark, sf_dir):
+    """Every document after the statement that its id picks; ``lines`` says how many lines of it are the statement's."""
+    entries = ", ".join(f"named_struct('kind', {_quoted(kind)}, 'text', {_quoted(text)}, 'lines', {text.count(chr(10)) + 1})" for kind, text, _ in PLANTED)
+    return table(spark, sf_dir, "documents").selectExpr("concat('documents/', doc_id) as path", "text as own", f"array({entries})[int(doc_id % {len(PLANTED)})] as s").selectExpr(
+        "path", "s.kind as context", "concat(s.text, '\\n', own) as text", "s.lines as lines"
+    )
+
+
+def _quoted(text):
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+_EXPECTED = [(no, *hit.rsplit(" ", 1)) for no, (_, _, found) in enumerate(PLANTED) for hit in found]
+_CONSTRUCTS = {r.name: (r.id, r.cost) for r in RULES}
+_EXPECTED_SQL = ", ".join(f"({no}, '{_CONSTRUCTS[name][0]}', '{name}', '{_CONSTRUCTS[name][1]}', {line})" for no, name, line in _EXPECTED)
+
+
+@query("planted_constructs", f"""
+WITH e(no, rule, construct, class, line_no) AS (VALUES {_EXPECTED_SQL})
+SELECT 'documents/' || doc_id AS path, rule, construct, class, line_no::BIGINT AS line_no, count(*) AS n FROM documents JOIN e ON no = doc_id % {len(PLANTED)} GROUP BY ALL""")
+def planted_constructs(spark, sf_dir):
+    """The hits in statements planted before every document: all 62 constructs, each found where it is and nowhere else."""
+    corpus = _planted(spark, sf_dir)
+    hits = attach(textscan.scan(corpus), corpus.select("path", "lines"), ["path"]).where("line_no <= lines")
+    return hits.groupBy("path", "rule", "construct", "class", F.col("line_no").cast("bigint").alias("line_no")).agg(F.count(F.lit(1)).alias("n"))

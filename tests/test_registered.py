@@ -51,7 +51,7 @@ def test_query(spark, engine, name):
 
 def test_registry():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
-    assert sorted(set(QUERIES) - set(SQL)) == ["alias_shadow", "construct_scan", "inventory_items"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["construct_scan", "inventory_items"]
 
 
 def test_entry(spark):

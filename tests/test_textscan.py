@@ -134,3 +134,11 @@ def test_macro_risk_reaches_callers(spark):
     assert got["clean"] == ("AUTOMATIC", "", "", False)
     assert got["caller"] == ("AGENT_PLUS_REVIEW", "", "N7", True)
     assert got["macro"] == ("AGENT_PLUS_REVIEW", "N7", "", False)
+
+
+def test_every_construct_is_planted():
+    """The statements of the registered query hold all constructs of the rulebook, and some of them none."""
+    from catalog.planted import PLANTED
+
+    found = {hit.rsplit(" ", 1)[0] for _, _, hits in PLANTED for hit in hits}
+    assert found == {r.name for r in rules.RULES} and len(rules.RULES) == 62 and sum(not hits for _, _, hits in PLANTED) > 5
