@@ -8,7 +8,7 @@ from catalog.planted import PLANTED
 from catalog.registry import query
 from catalog.shop import table
 from equipoise.operators.keyed import attach
-from equipoise.plans import estate, textscan
+from equipoise.plans import estate, governance, textscan
 from equipoise.plans.rules import RULES, full_pattern
 
 # Metadata: a part is a table, its order lines are the columns.
@@ -328,8 +328,7 @@ _HITS_SQL = f"{_CORPUS_SQL}, {_MASKED_SQL}, {_CALLS_SQL}, hits AS (SELECT path,
 
 
 def _call_hits(spark, sf_dir):
-    named = [r.name for r in _CALLS]
-    return textscan.scan(corpus(spark, sf_dir)).where(F.col("construct").isin(*named))
+    return textscan.scan(corpus(spark, sf_dir), [r.name for r in _CALLS])
 
 
 query("construct_scan")(lambda spark, sf_dir: textscan.scan(corpus(spark, sf_dir)))
@@ -455,3 +454,16 @@ def planted_constructs(spark, sf_dir):
     corpus = _planted(spark, sf_dir)
     hits = attach(textscan.scan(corpus), corpus.select("path", "lines"), ["path"]).where("line_no <= lines")
     return hits.groupBy("path", "rule", "construct", "class", F.col("line_no").cast("bigint").alias("line_no")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_GUARDED = ("clock functions", "random values and sequences")
+
+
+@query("clock_guard", f"""
+WITH e(no, rule, construct, class, line_no) AS (VALUES {_EXPECTED_SQL})
+SELECT 'documents/' || doc_id AS path, construct, line_no::BIGINT AS line_no, count(*) AS n FROM documents JOIN e ON no = doc_id % {len(PLANTED)} WHERE construct IN {_GUARDED} GROUP BY ALL""")
+def clock_guard(spark, sf_dir):
+    """Model texts whose result depends on when or how often they run."""
+    corpus = _planted(spark, sf_dir)
+    found = attach(governance.unstable_calls(corpus), corpus.select("path", "lines"), ["path"]).where("line_no <= lines")
+    return found.groupBy("path", "construct", F.col("line_no").cast("bigint").alias("line_no")).agg(F.count(F.lit(1)).alias("n"))

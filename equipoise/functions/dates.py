@@ -137,6 +137,12 @@ def date_from_parts(year: Column, month: Column, day: Column) -> Column:
     return F.date_add(first, day - 1)
 
 
+def timestamp_from_parts(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """Every part may lie outside its range and carries over into the larger ones."""
+    days = date_from_parts(year, month, day).cast("timestamp_ntz")
+    return days + F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
+
+
 def to_timestamp(text: Column, fmt: str | None = None) -> Column:
     if fmt is None:
         return text.cast("timestamp_ntz")

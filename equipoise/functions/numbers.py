@@ -106,3 +106,13 @@ def try_to_number(text: Column, precision: int = 38, scale: int = 0) -> Column:
 
 def try_to_double(text: Column) -> Column:
     return text.try_cast("double")
+
+
+def round_half_even(value: Column, scale: int) -> Column:
+    """Ties go to the even neighbour, unlike ROUND, which takes them away from zero."""
+    return F.bround(value, scale)
+
+
+def divide_or_raise(num: Column, den: Column) -> Column:
+    """Plain division: a zero divisor fails the query, whatever the session's ANSI setting."""
+    return F.when(den == 0, F.raise_error(F.lit("division by zero"))).otherwise(num / den)

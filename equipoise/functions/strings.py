@@ -37,6 +37,11 @@ def regexp_like(text: Column, pattern: str) -> Column:
     return text.rlike(f"^(?:{pattern})\\z")
 
 
+def regexp_instr(text: Column, pattern: str) -> Column:
+    """Place of the first match, from 1; 0 without one."""
+    return F.regexp_instr(text, F.lit(pattern))
+
+
 def charindex(needle: str, text: Column) -> Column:
     return F.locate(needle, text)
 

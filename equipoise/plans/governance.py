@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.operators.parity import ParityReport, compare
+from equipoise.plans import textscan
 
 MASK = "****"
 PII_FLAGS = ("contains_pii", "pii", "is_pii")
@@ -63,6 +64,25 @@ def forbidden_reads(corpus: DataFrame, tables: list[str], source_calls: dict[str
     )
 
 
+def unstable_calls(corpus: DataFrame) -> DataFrame:
+    """(path, construct, line_no, matched) of clock reads, random values and sequences: what makes two builds of one model differ.
+
+    ``corpus``: path, context, text. Comments, literals and templates do not count.
+    """
+    found = textscan.scan(corpus, ["clock functions", "random values and sequences"])
+    return found.select("path", "construct", "line_no", "matched")
+
+
+def tests_on_forbidden(tests: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Declared tests that would read a protected source: (source, table_name, test, n), names compared without case.
+
+    ``tests``: source, table_name, test. ``forbidden``: source, table_name.
+    """
+    folded = forbidden.select(F.lower("source").alias("_s"), F.lower("table_name").alias("_t")).distinct()
+    reads = tests.join(folded, (F.lower("source") == F.col("_s")) & (F.lower("table_name") == F.col("_t")), "left_semi")
+    return reads.groupBy("source", "table_name", "test").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rebuild_matches(build, key: list[str]) -> ParityReport:
     """Build a model twice and compare the two results."""
     return compare(build(), build(), key, name="rebuild")

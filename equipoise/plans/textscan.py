@@ -8,6 +8,7 @@ The alias hints are the exception: lines and names of a text meet in a join.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,10 +117,13 @@ def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, **arra
     return rows.withColumn("line", F.col("breaks") + 1).drop("breaks")
 
 
-def scan(corpus: DataFrame) -> DataFrame:
-    """Every hit: (path, rule, construct, class, counts, line_no, matched)."""
+def scan(corpus: DataFrame, constructs: Collection[str] | None = None) -> DataFrame:
+    """Every hit: (path, rule, construct, class, counts, line_no, matched); of the named constructs alone where some are named."""
+    unknown = set(constructs or ()) - {r.name for r in RULES}
+    if unknown:
+        raise ValueError("no such construct: " + ", ".join(sorted(unknown)))
     parts = [
-        _scan_context(corpus.where(F.col("context") == context), context) for context in ("sql", "proc", "yaml")
+        _scan_context(corpus.where(F.col("context") == context), context, constructs) for context in ("sql", "proc", "yaml")
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -146,12 +150,12 @@ def _fires(rule, flags: str) -> str:
     return " or ".join(tests)
 
 
-def _scan_context(texts: DataFrame, context: str) -> DataFrame:
+def _scan_context(texts: DataFrame, context: str, constructs: Collection[str] | None) -> DataFrame:
     # Java's U flag gives \w, \b and \s the Unicode meaning the patterns were written for.
     flags = "(?iuUm)" if context == "yaml" else "(?iuU)"
     # a procedure body is searched for what SQL texts are searched for, too
     kinds = {context, "sql"} if context == "proc" else {context}
-    rules = [(i, r) for i, r in enumerate(RULES) if r.text_kind in kinds]
+    rules = [(i, r) for i, r in enumerate(RULES) if r.text_kind in kinds and (constructs is None or r.name in constructs)]
     sql = context != "yaml"
     prepared = texts.select(
         "path", "text", (mask_sql(F.col("text")) if sql else F.translate("text", _MARK, " ")).alias("code")
@@ -163,7 +167,7 @@ def _scan_context(texts: DataFrame, context: str) -> DataFrame:
         f"if(contains(code, '('), {calls}, array()) as called" if sql else "cast(array() as array<string>) as called",
     )
     # Tests as one SQL expression: an alternative with fixed text is searched for that text first.
-    fired = ", ".join(f"if({_fires(r, flags)}, {i}, null)" for i, r in rules)
+    fired = ", ".join(["cast(null as int)", *(f"if({_fires(r, flags)}, {i}, null)" for i, r in rules)])
     pairs = prepared.select("path", "text", "code", F.explode(F.expr(f"array_compact(array({fired}))")).alias("rule_no"))
     entries = ", ".join(
         f"struct({_sql(flags + full_pattern(r))} as pattern, '{r.id}' as rule, {_sql(r.name)} as construct, '{r.cost}' as class, "

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,21 +111,29 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ingest(spark: SparkSession, sources: dict[str, str], target_root: str, *, kind: str = "raw") -> DataFrame:
+def ingest(spark: SparkSession, sources: dict[str, str], target_root: str, *, kind: str = "raw", at_once: int = 4) -> DataFrame:
     """Load Parquet files as ``<prefix><name>`` tables and prove the row counts.
 
-    Returns (target, rows_in, rows_out, ok): rows in the source file against rows read back
-    from the written table.
+    Returns (target, rows_in, rows_out, ok): rows that went into the write against rows read back from
+    the written table. Rows are counted while they are written, so a source is read once, and the
+    read-back needs file footers alone. Tables are written ``at_once``, since a small one does not fill a cluster.
     """
-    before, after = {}, {}
-    for name, path in sources.items():
-        target = TARGET_PREFIX[kind] + name
-        before[target] = spark.read.parquet(path)
-        after[target] = write_table(before[target], f"{target_root}/{target}")
-    counted = row_counts(before).withColumnRenamed("row_count", "rows_in").join(
-        row_counts(after).withColumnRenamed("row_count", "rows_out"), "name"
-    )
-    return counted.select(F.col("name").alias("target"), "rows_in", "rows_out", (F.col("rows_in") == F.col("rows_out")).alias("ok"))
+
+    def load(name: str, path: str) -> tuple[str, int, DataFrame]:
+        target, seen = TARGET_PREFIX[kind] + name, Observation()
+        source = spark.read.parquet(path)
+        written = write_table(source.observe(seen, F.count(F.lit(1)).alias("rows_in")), f"{target_root}/{target}")
+        return target, seen.get.get("rows_in", 0), written
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(load), name, path) for name, path in sources.items()]
+        done = [job.result() for job in jobs]
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("rows_out")).select(F.lit(target).alias("target"), F.lit(n).cast("bigint").alias("rows_in"), "rows_out")
+        for target, n, df in done
+    ]
+    counted = reduce(DataFrame.unionByName, parts)
+    return counted.withColumn("ok", F.col("rows_in") == F.col("rows_out"))
 
 
 # --------------------------------------------------------------------------- status
