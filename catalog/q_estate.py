@@ -8,6 +8,7 @@ from catalog.planted import PLANTED
 from catalog.registry import query
 from catalog.shop import table
 from equipoise.operators.keyed import attach
+from equipoise.operators.windows import first_per_group
 from equipoise.plans import estate, governance, textscan
 from equipoise.plans.rules import RULES, full_pattern
 
@@ -150,7 +151,7 @@ _VIEWS_SQL = "views AS (SELECT table_schema, table_name, CASE WHEN p_partkey % 2
 
 
 def _inventory(spark, sf_dir):
-    tables = meta_tables(spark, sf_dir).dropDuplicates(["table_schema", "table_name"])
+    tables = first_per_group(meta_tables(spark, sf_dir), ["table_schema", "table_name"], ["p_partkey"])
     views = meta_tables(spark, sf_dir).where("table_type = 'VIEW'")
     views = views.selectExpr(
         "table_schema", "table_name",

@@ -44,13 +44,19 @@ def relation_status(spark, sf_dir):
     return tables.relation_status(spark, {("main", t): load(t) for t in TABLES})
 
 
-@query("source_types", "SELECT t.tab AS table_name, t.pos AS position, t.col AS column_name, t.kind AS data_type FROM (VALUES "
-       "('orders', 1, 'o_orderkey', 'bigint'), ('orders', 2, 'o_custkey', 'bigint'), ('orders', 3, 'o_orderstatus', 'string'), "
-       "('orders', 4, 'o_totalprice', 'double'), ('orders', 5, 'o_orderdate', 'timestamp_ntz'), ('orders', 6, 'o_orderpriority', 'string'), "
-       "('nation', 1, 'n_nationkey', 'int'), ('nation', 2, 'n_name', 'string'), ('nation', 3, 'n_regionkey', 'int')) t(tab, pos, col, kind)")
+_COLUMN_KINDS = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
+}
+
+
+@query("source_types", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{kind}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count FROM {t}"
+    for t, columns in _COLUMN_KINDS.items() for i, (c, kind) in enumerate(columns.items(), 1)))
 def source_types(spark, sf_dir):
-    """Schemas only: no job runs, and a protected table is not described."""
-    frames = {t: table(spark, sf_dir, t) for t in ("orders", "nation", "customer")}
+    """Every column with its type, rows and NULLs; a protected table is not described."""
+    frames = {t: table(spark, sf_dir, t) for t in (*_COLUMN_KINDS, "customer")}
     return tables.source_types(spark, frames, protected=("customer",))
 
 

@@ -182,11 +182,20 @@ def _short(problem: Exception) -> str:
 
 
 def source_types(spark: SparkSession, frames: dict[str, DataFrame], *, protected: tuple[str, ...] = ()) -> DataFrame:
-    """(table_name, position, column_name, data_type) from the schemas alone; protected tables are left out."""
-    rows = [
-        (table, i, column, kind)
-        for table, df in frames.items()
-        if table not in protected
-        for i, (column, kind) in enumerate(df.dtypes, 1)
-    ]
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
+    """(table_name, position, column_name, data_type, row_count, null_count) of every column; protected tables are left out.
+
+    Types come from the schema, counts from one aggregate a table, whose single row is spread over its columns.
+    """
+    parts = []
+    for name, df in frames.items():
+        if name in protected or not df.columns:
+            continue
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        rows = [
+            F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name"), F.lit(kind).alias("data_type"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"c{i}")).alias("null_count"))
+            for i, (c, kind) in enumerate(df.dtypes)
+        ]
+        parts.append(counts.select(F.inline(F.array(*rows))).select(F.lit(name).alias("table_name"), "*"))
+    if not parts:
+        return spark.createDataFrame([], "table_name string, position int, column_name string, data_type string, row_count bigint, null_count bigint")
+    return reduce(DataFrame.unionByName, parts)

@@ -51,7 +51,8 @@ def test_catalog_ingest_and_status(spark, tmp_path):
     merged, path = tables.write_incremental(f"{tmp_path}/orders.parquet", spark.createDataFrame([(2, "new"), (3, "c")], "k int, v string"), ["k"])
     assert rows(merged) == [(1, "a"), (2, "new"), (3, "c")] and rows(spark.read.parquet(f"{tmp_path}/orders.parquet")) == [(1, "a"), (2, "b")]
     assert tables.create_view(df, "seen").sparkSession.sql("select count(*) from seen").first()[0] == 2
-    assert [tuple(r) for r in tables.source_types(spark, {"t": df, "p": df}, protected=("p",)).collect()] == [("t", 1, "k", "int"), ("t", 2, "v", "string")]
+    assert [tuple(r) for r in tables.source_types(spark, {"t": df, "p": df}, protected=("p",)).collect()] == [("t", 1, "k", "int", df.count(), df.where("k is null").count()), ("t", 2, "v", "string", df.count(), df.where("v is null").count())]
+    assert tables.source_types(spark, {"p": df}, protected=("p",)).count() == 0
 
 
 def test_unload_encodes_nested_columns(spark, tmp_path):
