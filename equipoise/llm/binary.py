@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,18 @@ from equipoise.session import shared_folder
 # Fixed values of the published format of seekable zstandard files (frame magics of a skippable frame
 # and of the seek table's foot; flag of a table with checksums).
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
+#: The magic of another skippable frame, which decoders pass over: it holds the ids of each frame.
+ID_INDEX = 0x184D2A5D
 #: Uncompressed bytes after which a frame is closed; a document is never cut between frames.
 FRAME_BYTES = 1 << 18
 LEVEL = 3
 SUFFIX = ".tokens.zst"
 #: A document in a frame: its id, whether it has one, and its number of ids.
 HEAD = np.dtype([("doc_id", "<i8"), ("known", "<u4"), ("n", "<u4")])
+#: What the index says of a frame: its smallest and largest id, and how many documents have one.
+IDS = np.dtype([("first", "<i8"), ("last", "<i8"), ("known", "<u4")])
+#: Ids that are looked for at once; they are sent to the tasks.
+MOST_IDS = 1_000_000
 
 
 def frame_body(heads: np.ndarray, ids: np.ndarray) -> bytes:
@@ -48,6 +54,18 @@ def seek_table(entries: list[tuple[int, int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(rows) + 9) + rows + struct.pack("<IBI", len(entries), WITH_CHECKSUMS, SEEKABLE)
 
 
+def id_range(heads: np.ndarray) -> tuple[int, int, int]:
+    """The smallest and the largest id of a frame's documents, and how many have one."""
+    ids = heads["doc_id"][heads["known"] == 1]
+    return (int(ids.min()), int(ids.max()), len(ids)) if len(ids) else (0, 0, 0)
+
+
+def id_index(ranges: list[tuple[int, int, int]]) -> bytes:
+    """The skippable frame before the seek table, with a row a frame."""
+    rows = np.array(ranges, IDS)
+    return struct.pack("<II", ID_INDEX, rows.nbytes) + rows.tobytes()
+
+
 class Reader:
     """Reads chosen frames of one file; only their bytes are fetched and decompressed."""
 
@@ -67,6 +85,16 @@ class Reader:
     def __len__(self) -> int:
         return len(self.table)
 
+    def frames_with(self, ids: np.ndarray) -> np.ndarray:
+        """The numbers of the frames that may hold one of the sorted ``ids``, from the index alone; all of them in a file without one."""
+        self.source.seek(int(self.starts[-1]))
+        magic, size = struct.unpack("<II", self.source.read(8))
+        if magic != ID_INDEX:
+            return np.arange(len(self))
+        rows = np.frombuffer(self.source.read(size), IDS)
+        at = np.searchsorted(ids, rows["first"])
+        return np.flatnonzero((rows["known"] > 0) & (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] <= rows["last"])) if len(ids) else np.empty(0, np.int64)
+
     def frame(self, k: int) -> bytes:
         packed, size, checksum = (int(x) for x in self.table[k])
         self.source.seek(int(self.starts[k]))
@@ -96,6 +124,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         entries: list[tuple[int, int, int]] = []
+        ranges: list[tuple[int, int, int]] = []
         totals = [0, 0]
 
         def frames(first: pa.RecordBatch) -> Iterator[bytes]:
@@ -103,7 +132,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             open_heads, open_ids, size = [], [], 0
 
             def close() -> bytes:
-                body = frame_body(np.concatenate(open_heads), np.concatenate(open_ids))
+                heads = np.concatenate(open_heads)
+                ranges.append(id_range(heads))
+                body = frame_body(heads, np.concatenate(open_ids))
                 packed = pack(body)
                 entries.append((len(packed), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
                 open_heads.clear()
@@ -134,6 +165,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
                     begin = end
             if open_heads:
                 yield close()
+            yield id_index(ranges)
             yield seek_table(entries)
 
         first = next((b for b in batches if b.num_rows), None)
@@ -188,6 +220,34 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     return map_arrow(files(spark, folder, SUFFIX).select("path"), read, schema)
 
 
+def read_documents(spark: SparkSession, folder: str, ids: Iterable[int]) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents with the given ids, one row for each that is there.
+
+    A file gives its seek table and the range of ids of each frame; only frames that can hold a wanted id
+    are fetched and decompressed. Ids are sent to the tasks, so over MOST_IDS raise.
+    """
+    wanted = np.unique(np.array(list(ids), dtype=np.int64))
+    if len(wanted) > MOST_IDS:
+        raise ValueError(f"{len(wanted)} ids; at most {MOST_IDS} are looked for at once")
+    ship(spark)
+    sent = spark.sparkContext.broadcast(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                system, inner = open_folder(path)
+                with system.open_input_file(inner) as source:
+                    reader = Reader(source)
+                    for k in reader.frames_with(sent.value).tolist():
+                        heads, tokens = parse_body(reader.frame(k))
+                        ends = np.cumsum(heads["n"], dtype=np.int64)
+                        rows = np.flatnonzero((heads["known"] == 1) & np.isin(heads["doc_id"], sent.value))
+                        listed = pa.array([tokens[ends[i] - heads["n"][i] : ends[i]].astype(np.int32) for i in rows.tolist()], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(heads["doc_id"][rows].astype(np.int64)), "n_tokens": pa.array(heads["n"][rows].astype(np.int64)), "ids": listed})
+
+    return map_arrow(files(spark, folder, SUFFIX).select("path"), read, "doc_id long, n_tokens long, ids array<int>")
+
+
 def token_starts(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32: read back from the files.
 

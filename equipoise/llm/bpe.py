@@ -16,9 +16,11 @@ from equipoise.llm.common import AT_TASK_END
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
 
 #: Texts that are encoded together, in bytes: words they share are looked up once.
-ENCODE_BYTES = 1 << 21
-#: Bytes of the words and ids that a task remembers, and what a word takes besides its own; further ones are encoded each time.
-REMEMBERED_BYTES, WORD_BYTES = 32 << 20, 220
+ENCODE_BYTES = 1 << 22
+#: Bytes of the words and ids that a worker remembers, and what a word takes besides its own; further ones are encoded each time.
+REMEMBERED_BYTES, WORD_BYTES = 128 << 20, 220
+#: The same for a lean encoder, which forgets its words at the end of a task and leaves memory to what runs beside it.
+LEAN_ENCODE_BYTES, LEAN_REMEMBERED_BYTES = 1 << 20, 16 << 20
 MOST_SIGNS = 4096
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space between other white space: there the tokenizer's pieces may cross the space.
@@ -40,10 +42,10 @@ class Encoder:
     be are encoded whole. Letters with ASCII signs behind them are two pieces for both kinds.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, lean: bool = False):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(definition)
+        self.library, self.lean = Tokenizer.from_str(definition), lean
         self.drops_space = not self._ids(" ") and self._ids("a b") == self._ids("a") + self._ids("b")
         vocabulary = self.library.get_vocab()
         marks = (lambda t: t.endswith("</w>")) if self.drops_space else (lambda t: t.startswith("Ġ"))
@@ -58,7 +60,7 @@ class Encoder:
         self.bare: dict[str, bytes] = self.spaced if self.drops_space else {}
         self.signs: dict[str, bytes] = {}
         self.step: dict[str, bytes] = {}  # of the words encoded now
-        self.room = REMEMBERED_BYTES
+        self.room = LEAN_REMEMBERED_BYTES if self.lean else REMEMBERED_BYTES
 
     def _fast(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,16 +159,21 @@ class Encoder:
 _current: list[tuple[str, Encoder]] = []
 
 
-def encoder(definition: str) -> Encoder:
-    """The worker's encoder, made anew for another tokenizer; the words it has met are forgotten at the end of a task."""
-    if not _current or _current[0][0] != definition:
-        _current[:] = [(definition, Encoder(definition))]
+def encode_bytes(lean: bool) -> int:
+    return LEAN_ENCODE_BYTES if lean else ENCODE_BYTES
+
+
+def encoder(definition: str, lean: bool = False) -> Encoder:
+    """The worker's encoder, made anew for another tokenizer."""
+    if not _current or _current[0][0] != definition or _current[0][1].lean != lean:
+        _current[:] = [(definition, Encoder(definition, lean))]
     return _current[0][1]
 
 
 def _forget_words() -> None:
     for _, known in _current:
-        known.forget()
+        if known.lean:
+            known.forget()
 
 
 AT_TASK_END.append(_forget_words)

@@ -20,7 +20,7 @@ U64 = np.uint64
 #: Texts of one step in a task, in bytes; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 #: Rows of one Arrow batch; with it a batch of long texts stays small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 #: Bytes of the words whose hash a task remembers, and what a remembered word takes besides its own.
 REMEMBERED_BYTES, WORD_BYTES = 32 << 20, 160
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.llm.bpe import ENCODE_BYTES, encoder, read_tokenizer
+from equipoise.llm.bpe import encode_bytes, encoder, read_tokenizer
 from equipoise.llm.common import map_arrow, ship, steps
 
 #: All values of a dimension that have no target of their own share one.
@@ -42,15 +42,18 @@ def topics(texts: pa.Array) -> pa.Array:
     return pa.array([*(name for name, _, _ in TOPICS), "prose"]).take(pa.array(kinds))
 
 
-def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens", topic_column: str | None = None) -> DataFrame:
-    """``docs`` with the number of tokens of the whole text (null: 0) in ``column``, and its topic; columns of these names are replaced."""
+def with_tokens(docs: DataFrame, tokenizer_path: str, column: str = "n_tokens", topic_column: str | None = None, lean: bool = False) -> DataFrame:
+    """``docs`` with the number of tokens of the whole text (null: 0) in ``column``, and its topic; columns of these names are replaced.
+
+    With ``lean`` the tasks remember fewer words: slower, for runs that have little memory left.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     names = [c for c in docs.columns if c not in (column, topic_column)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(sent.value).encode
-        for batch in steps(batches, size=ENCODE_BYTES):
+        encode = encoder(sent.value, lean).encode
+        for batch in steps(batches, size=encode_bytes(lean)):
             _, bounds = encode(batch["text"])
             added = {column: pa.array(np.diff(bounds))} | ({topic_column: topics(batch["text"])} if topic_column else {})
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *added.values()], [*names, *added])

@@ -11,25 +11,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.llm.bpe import ENCODE_BYTES, encoder, read_tokenizer
+from equipoise.llm.bpe import encode_bytes, encoder, read_tokenizer
 from equipoise.llm.common import map_arrow, ship, steps
 from equipoise.session import cut_lineage
 
 CAPACITY = 4096
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document; nothing is shuffled.
 
     A document is its whole text's ids and ``end_id``; only longer ones are cut, at multiples of
     ``capacity``. Null text is empty, null and repeated ids are kept, other columns are ignored.
+    With ``lean`` the tasks remember fewer words: slower, for runs that have little memory left.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(sent.value).encode
-        for batch in steps(batches, size=ENCODE_BYTES):
+        encode = encoder(sent.value, lean).encode
+        for batch in steps(batches, size=encode_bytes(lean)):
             ids, bounds = encode(batch["text"])
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))

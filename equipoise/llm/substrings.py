@@ -149,7 +149,8 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     edges = blocks.filter("c = 1").select("anchor", "one.*")
     # of a phrase with the anchor of an edge one block stands for all
     examples = blocks.filter("c > 1").join(edges.select("anchor").distinct(), "anchor", "left_semi").select("anchor", "one.*")
-    value = map_arrow(edges.unionByName(examples).select("key", "first"), _value_batches, "value long")
+    # stored, so that making the filter does not chain a second worker to each task
+    value = cut_lineage(map_arrow(edges.unionByName(examples).select("key", "first"), _value_batches, "value long"))
     windows = cut_lineage(_edge_windows(docs, bit_filter(value, "value"), window, seed))
     twice = cut_lineage(windows.groupBy("anchor", "fine").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "fine"))
     checked = _only(windows, "fine", bit_filter(twice, "fine")).join(twice, ["anchor", "fine"], "left_semi")

@@ -184,6 +184,30 @@ def test_token_file_damage(spark, docs, tmp_path):
         binary.Reader(source).frame(0)
 
 
+def test_token_files_read_by_id(spark, docs, tmp_path, monkeypatch):
+    """Only the frames that can hold a wanted id are decompressed; a repeated id gives each of its rows."""
+    monkeypatch.setattr(binary, "FRAME_BYTES", 64)
+    many = spark.createDataFrame([(i, f"text number {i} " * 9) for i in range(0, 600, 2)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").filter("doc_id is null or doc_id = 3"))
+    folder, _ = binary.write_tokens(many.coalesce(1), BYTE, 2, f"file://{tmp_path}/t")
+    asked = [3, 100, 102, 101, 5000]
+    got = sorted((r["doc_id"], list(r["ids"])) for r in binary.read_documents(spark, folder, asked).collect())
+    assert got == sorted((r["doc_id"], encoded(BYTE, r["text"], 2)) for r in many.filter("doc_id in (3, 100, 102)").collect())
+    assert binary.read_documents(spark, folder, []).count() == 0
+    opened, all_frames = 0, 0
+    for path in (tmp_path / "t").glob("*.zst"):
+        with path.open("rb") as source:
+            reader = binary.Reader(source)
+            chosen, all_frames = reader.frames_with(np.array(sorted(asked))), all_frames + len(reader)
+            opened += len(chosen)
+            for k in range(len(reader)):
+                heads, _ = binary.parse_body(reader.frame(k))
+                assert (k in chosen) >= bool({*heads["doc_id"][heads["known"] == 1].tolist()} & {3, 100, 102})
+    # the frames with these three ids, and one whose range holds an id that is not there
+    assert 0 < opened <= 4 and all_frames > 30
+    with pytest.raises(ValueError):
+        binary.read_documents(spark, folder, range(binary.MOST_IDS + 1))
+
+
 def test_packing(docs, empty):
     out = packing.pack(packing.token_pieces(docs, WORD, 1)).collect()
     want = []
