@@ -82,7 +82,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
 
     def drawn(rows: DataFrame) -> DataFrame:
-        counted = cut_lineage(mixing.with_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"), topic_column="topic"))
+        counted = cut_lineage(mixing.with_tokens(rows, public_tokenizers.path("byte_bpe_50k.json"), topic_column="topic", lean=True))
         targets = mixing.tempered_targets(counted, ("source", "lang", "topic"), "n_tokens", POWER, KEEP)
         return mixing.mix(counted, targets, keep=KEEP).filter("sampled")
 
@@ -91,7 +91,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's place in sequences of 4096 tokens; a null or empty text is its end token. Further columns are left out."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, lean=True))
 
 
 STAGES = [
