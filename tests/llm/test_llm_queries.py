@@ -15,7 +15,8 @@ duckdb = pytest.importorskip("duckdb")
 
 import corpus_pipeline  # noqa: E402
 from equipoise.llm import queries  # noqa: E402
-from test_llm_edges import WORD, components, crc, encoded, removed, shingles  # noqa: E402
+from test_llm_edges import BYTE, WORD, components, crc, encoded, removed, shingles  # noqa: E402
+from test_llm_models import base_model  # noqa: E402
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="the given tables are not here")
@@ -26,13 +27,67 @@ def table(names, data):
     return sorted(names), sorted((tuple(row[i] for i in order) for row in data), key=str)
 
 
+def brute_files(rows):
+    ids, start, out = [encoded(BYTE, r["text"], 2) for r in rows], 0, []
+    for r, own in zip(rows, ids, strict=True):
+        out.append((r["doc_id"], start, len(own), crc(own)))
+        start += len(own)
+    return ["doc_id", "start", "n_tokens", "ids_crc32"], out
+
+
+def brute_pieces(rows):
+    out = [(r["doc_id"], k // 4096, k, len(ids[k : k + 4096]), crc(ids[k : k + 4096])) for r in rows for ids in [encoded(WORD, r["text"], 1)] for k in range(0, len(ids), 4096)]
+    return ["doc_id", "piece", "start", "length", "ids_crc32"], out
+
+
+def brute_edits(rows):
+    out = []
+    for r in rows:
+        text = r["text"] or ""
+        n, before = len(text), len(encoded(BYTE, text, 2)) - 1
+        for at, deleted, inserted in ((0, 3, "Re: "), (n // 3, 0, " edited  here"), (n // 2, 40, "\n"), (n + 100, 0, " The end.")):
+            at = min(at, len(text))
+            text = text[:at] + inserted + text[at + deleted :]
+        out.append((r["doc_id"], before, len(encoded(BYTE, text, 2)) - 1))
+    return ["doc_id", "n_tokens", "n_tokens_after"], out
+
+
+def brute_quality(rows):
+    out = []
+    for r in rows:
+        text, words, seen = r["text"] or "", (r["text"] or "").encode().split(), set()
+        duplicates = 0
+        for line in text.split("\n"):
+            if line.encode().split():
+                duplicates += line in seen
+                seen.add(line)
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        again = {k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
+        failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
+        out.append((r["doc_id"], len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), duplicates, len(again), failed))
+    return ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], out
+
+
+def brute_scores(rows):
+    return ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"], [x[:5] for x in base_model(rows)[0]]
+
+
+def brute_ids(rows):
+    """The mixture's decisions are tested by their margins below."""
+    return ["doc_id"], [(r["doc_id"],) for r in rows]
+
+
+BRUTE = {"op2": brute_files, "op3": brute_ids, "op4": brute_pieces, "op7": brute_edits, "op10": brute_quality, "op11": brute_scores}
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, str(DATA))
     got = table(df.columns, df.collect())
     if name not in queries.SQL:
-        source = "embeddings" if "op9" in name else "documents"
-        assert len(got[1]) >= spark.read.parquet(f"{DATA}/{source}.parquet").count()
+        rows = sorted(spark.read.parquet(f"{DATA}/documents.parquet").collect(), key=lambda r: r["doc_id"])
+        columns, want = BRUTE[name.split("_")[0]](rows)
+        assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(want)
         return
     connection = duckdb.connect()
     for path in DATA.glob("*.parquet"):
