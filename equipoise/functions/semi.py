@@ -23,9 +23,25 @@ def _path(path: str) -> str:
     return "$" + (path if path.startswith("[") else "." + path)
 
 
+#: A number as the engine prints it below 0.001 and from 10 million on.
+_SCIENTIFIC = "^(-?)([0-9])[.]([0-9]+)E(-?[0-9]+)$"
+
+
+def _without_exponent(text: Column) -> Column:
+    """The same number with all its digits: 9.0E7 is 90000000.0."""
+    sign, first, rest, power = (F.regexp_extract(text, _SCIENTIFIC, i) for i in range(1, 5))
+    digits, places = F.concat(first, F.regexp_replace(rest, "0+$", "")), power.try_cast("int")
+    after = F.substring(digits, places + 2, F.length(digits))
+    large = F.concat(F.rpad(digits, places + 1, F.lit("0")), F.lit("."), F.when(after == "", "0").otherwise(after))
+    return F.concat(sign, F.when(places >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -places - 1), digits)))
+
+
 def get_text(json: Column, path: str) -> Column:
-    """Missing key, JSON null and NULL column all give NULL; indexes are 0-based."""
-    return F.get_json_object(json, _path(path))
+    """Missing key, JSON null and NULL column all give NULL; indexes are 0-based. Numbers of any size come without an exponent."""
+    text = F.get_json_object(json, _path(path))
+    # only what looks like such a number is parsed again: a string may look the same
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), _path(path), "variant")) == "STRING"
+    return F.when(text.rlike(_SCIENTIFIC) & ~F.coalesce(is_text, F.lit(True)), _without_exponent(text)).otherwise(text)
 
 
 def get_typed(json: Column, path: str, sql_type: str) -> Column:

@@ -99,6 +99,10 @@ PROBES = [
     ("J1 missing", lambda: js.get_text(L(V), "none.here"), None),
     ("J1 null", lambda: js.get_text(L(V), "nul"), None),
     ("J1 index", lambda: js.get_text(L(V), "a.b[0]"), "10"),
+    ("J1 large", lambda: js.get_text(L('{"n":900000e2}'), "n"), "90000000.0"),
+    ("J1 large fraction", lambda: js.get_text(L('{"n":-12345678.25}'), "n"), "-12345678.25"),
+    ("J1 small", lambda: js.get_text(L('{"a":[0.00025]}'), "a[0]"), "0.00025"),
+    ("J1 text like a number", lambda: js.get_text(L('{"n":"9.0E7"}'), "n"), "9.0E7"),
     ("J1 typed", lambda: js.get_typed(L(V), "n", "decimal(10,2)"), D("2.50")),
     ("J1 boolean", lambda: js.get_typed(L(V), "gift", "boolean"), True),
     ("J1 try", lambda: js.try_get_typed(L(V), "bad", "decimal(10,2)"), None),
