@@ -364,10 +364,10 @@ def volume(tables: DataFrame, ratio: float = PARQUET_RATIO) -> DataFrame:
 def largest_tables(tables: DataFrame, n: int = 15, *, classes: DataFrame | None = None, ratio: float = PARQUET_RATIO) -> DataFrame:
     """The ``n`` largest tables by bytes with their ``position``, rows, estimate and class (``-`` where ``classes`` has none).
 
-    ``classes``: table_schema, table_name, class.
+    Of tables with equal bytes and names, that with fewer rows comes first. ``classes``: table_schema, table_name, class.
     """
     kept = tables.where(~F.coalesce(F.upper("table_type") == "VIEW", F.lit(False)))
-    order = [F.coalesce("bytes", F.lit(0)).desc(), F.col("table_schema").asc_nulls_last(), F.col("table_name").asc_nulls_last()]
+    order = [F.coalesce("bytes", F.lit(0)).desc(), *[F.col(c).asc_nulls_last() for c in ("table_schema", "table_name", "row_count")]]
     top = with_position(cut_lineage(kept.orderBy(*order).limit(_top(n))), order)
     top = top.withColumn("est_parquet_bytes", parquet_estimate(F.col("bytes"), ratio))
     if classes is None:

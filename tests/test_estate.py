@@ -104,6 +104,13 @@ def test_moves(spark):
     assert estate.PARQUET_RATIO == 1.52
 
 
+def test_largest_tables_of_equal_size_and_name(spark):
+    """Rows decide, among those listed and at the cut, in whatever order the tables come."""
+    for counts in ((300, 280, None, 290), (None, 290, 300, 280)):
+        tables = frame(spark, "table_schema string, table_name string, table_type string, row_count bigint, bytes bigint", *[("RAW", "T", "BASE TABLE", n, 10) for n in counts])
+        assert [(r.position, r.row_count) for r in estate.largest_tables(tables.repartition(4), 3).orderBy("position").collect()] == [(1, 280), (2, 290), (3, 300)]
+
+
 def test_scope(spark):
     df = frame(spark, "schema_name string, n int", ("raw", 1), ("OTHER", 2))
     assert rows(estate.in_schemas(df, [" RAW "])) == [("raw", 1)] and estate.in_schemas(df, []).count() == 2
