@@ -349,13 +349,16 @@ def stored_sketches(spark, sf_dir):
     ))
     ranks = [F.count_if(F.col("value") < F.col(f"{n}_at")).alias(f"{n}_below") for n in q] + [F.count_if(F.col("value") <= F.col(f"{n}_at")).alias(f"{n}_upto") for n in q]
     exact = attach(events, whole, ["event_type"]).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), *ranks)
-    counts = cut_lineage(events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")))
+    counts = cut_lineage(events.where("user_id is not null").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")))
     places = wn.qualify_top(counts, ["event_type"], [F.col("c").desc()], 3)
-    truly = places.groupBy("event_type").agg(F.min("c").alias("third"))
+    truly = places.groupBy("event_type").agg(F.min("c").alias("third"), F.count(F.lit(1)).alias("places"))
     listed = whole.select("event_type", F.explode("top").alias("t")).select("event_type", F.col("t.item").alias("user_id"), F.col("t.count").alias("told"))
-    tops = attach(attach(listed, counts, ["event_type", "user_id"]), truly, ["event_type"]).groupBy("event_type").agg(
-        F.max(F.abs(F.col("told") - F.col("c"))).alias("off"), F.min(F.col("c") - F.col("third")).alias("short")
+    # where no value stands out, a sketch lists fewer than three or none: a place that is left empty counts as a value that never occurs
+    tops = attach(listed, counts, ["event_type", "user_id"], "left").fillna(0, ["c"]).groupBy("event_type").agg(
+        F.max(F.abs(F.col("told") - F.col("c"))).alias("off"), F.min("c").alias("least"), F.count(F.lit(1)).alias("told_places")
     )
+    tops = attach(attach(whole.select("event_type"), truly, ["event_type"], "left"), tops, ["event_type"], "left").fillna(0, ["third", "places", "off", "told_places"])
+    tops = tops.withColumn("short", F.when(F.col("told_places") < F.col("places"), 0).otherwise(F.coalesce("least", F.lit(0))) - F.col("third"))
     near = lambda name, x: ((F.col(f"{name}_below") <= (x + sk.RANK_ERROR) * F.col("n")) & (F.col(f"{name}_upto") >= (x - sk.RANK_ERROR) * F.col("n"))).alias(f"{name}_close")
     return attach(attach(whole, exact, ["event_type"]), tops, ["event_type"]).select(
         "event_type", "n", "users", (F.abs(F.col("about") - F.col("users")) <= sk.DISTINCT_ERROR * F.col("users")).alias("users_close"), *[near(n, x) for n, x in q.items()],

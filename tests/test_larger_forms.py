@@ -6,7 +6,8 @@ import __spark_entry__ as entry_points
 from tests.test_registered import table
 
 ORDERS = "cast(id as bigint) as o_orderkey, cast(id % 400 + 100000 as bigint) as o_custkey, if(id % 3 = 0, 'F', 'O') as o_orderstatus, 5e9D as o_totalprice"
-CASES = {"json_forms": ("orders", ORDERS, 400), "parity_null_keys": ("orders", ORDERS, 400)}
+EVEN = "id as event_id, timestamp_ntz'2024-01-01' + make_dt_interval(int(id % 3)) as ts, id % 9000 as user_id, if(id % 10 = 0, 'rare', 'view') as event_type, double(id) as value"
+CASES = {"json_forms": ("orders", ORDERS, 400), "parity_null_keys": ("orders", ORDERS, 400), "stored_sketches": ("events", EVEN, 60_000)}
 
 
 @pytest.mark.parametrize("name", CASES)
