@@ -16,7 +16,7 @@ from equipoise.functions.aggregates import listagg_distinct, max_if
 from equipoise.functions.conditionals import decode, iff
 from equipoise.functions.dates import add_to_date, boundaries_between, to_char, trunc_date
 from equipoise.functions.numbers import cents_to_units, gross_amount, line_amount, round_div, rounded_ratio, try_to_number
-from equipoise.functions.semi import get_text, get_typed
+from equipoise.functions.semi import get_typed
 from equipoise.operators.windows import ratio_over
 
 AS_OF = date(2026, 6, 30)
@@ -95,10 +95,10 @@ def stg_orders(orders: DataFrame) -> DataFrame:
         trunc_date("month", day).alias("order_month"),
         F.lower(F.trim("status")).alias("status"),
         F.lower("channel").alias("channel"),
-        get_text(meta, "coupon").alias("coupon_code"),
-        get_text(meta, "device").alias("device"),
-        get_text(meta, "shipping.method").alias("shipping_method"),
-        try_to_number(get_text(meta, "shipping.cost"), 10, 2).alias("shipping_cost"),
+        get_typed(meta, "coupon", "string").alias("coupon_code"),
+        get_typed(meta, "device", "string").alias("device"),
+        get_typed(meta, "shipping.method", "string").alias("shipping_method"),
+        try_to_number(get_typed(meta, "shipping.cost", "string"), 10, 2).alias("shipping_cost"),
         F.coalesce(get_typed(meta, "gift", "boolean"), F.lit(False)).alias("is_gift"),
         add_to_date("day", RETURN_DAYS, day).alias("return_deadline"),
     )
