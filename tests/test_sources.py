@@ -214,3 +214,12 @@ def test_tiny_orders_to_the_cent(spark):
     assert shares[3] == 1.0 and shares[1] + shares[2] == pytest.approx(1.0)
     april = [r for r in m["rpt_monthly_revenue"].collect() if r.order_month.month == 4][0]
     assert (april.orders, april.revenue_orders, april.customers, april.avg_order_value, april.revenue_share_pct, april.channels) == (2, 1, 1, D("20.40"), 100.0, "app")
+
+
+def test_a_choice_draws_once(spark):
+    """Spark's form of a choice has one draw and gives the value that the CASE of other engines gives."""
+    weights = {"a": 3, "b": 1, "c": 2}
+    short, spelled = synthetic.InSpark(), synthetic.Dialect()
+    assert short.choose("x", "k", weights).count("md5") == 1
+    df = spark.range(500).selectExpr("cast(id as string) as k").selectExpr(f"{short.choose('x', 'k', weights)} as a", f"{spelled.choose('x', 'k', weights)} as b", f"{short.choose('y', 'k', {'1': 2, '5': 3}, '')} as m", f"{spelled.choose('y', 'k', {'1': 2, '5': 3}, '')} as n")
+    assert df.where("a <=> b and m <=> n").count() == 500
