@@ -33,6 +33,8 @@ from equipoise.session import cut_lineage
 WINDOW, SEED = 35, 7
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASE = 0x9E3779B97F4A7C15
+#: Most single windows of one batch that goes back to the JVM, which holds a batch outside its heap.
+EDGE_ROWS = 1 << 15
 
 
 def text_key(text: bytes) -> bytes:
@@ -104,7 +106,7 @@ def _edge_windows(docs: DataFrame, words: np.ndarray, window: int, seed: int) ->
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words, done = WordHashes(), sent.value, set()
+        known, words = WordHashes(), sent.value
         for batch in steps(batches):
             texts, hashes, bounds, anchor, first, last, row = _parsed(batch, known, window, seed)
             raw = [text_key(t) for t in texts]
@@ -115,11 +117,13 @@ def _edge_windows(docs: DataFrame, words: np.ndarray, window: int, seed: int) ->
             sizes = (last - first + 1)[hit]
             place = np.repeat(first[hit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
             run_of = np.repeat(hit, sizes)
-            fine = window_hashes(hashes, window, base=0xC2B2AE3D27D4EB4F)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(raw, pa.binary()).take(pa.array(row[run_of])), pa.array(anchor[run_of].view(np.int64)), pa.array(fine[place].view(np.int64)), pa.array((place - bounds[row[run_of]]).astype(np.int32))],
-                ["key", "anchor", "fine", "place"],
-            )
+            fine, keys = window_hashes(hashes, window, base=0xC2B2AE3D27D4EB4F), pa.array(raw, pa.binary())
+            for begin in range(0, len(place), EDGE_ROWS):
+                at, of = place[begin : begin + EDGE_ROWS], run_of[begin : begin + EDGE_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(row[of])), pa.array(anchor[of].view(np.int64)), pa.array(fine[at].view(np.int64)), pa.array((at - bounds[row[of]]).astype(np.int32))],
+                    ["key", "anchor", "fine", "place"],
+                )
 
     return map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "key binary, anchor long, fine long, place int")
 
@@ -136,10 +140,10 @@ def _only(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """key and ``runs``, an array of (first, n, sure): the windows of a text that also start elsewhere.
+    """key and ``runs``, the windows of a text that also start elsewhere: first window, number and kind in one long each.
 
-    ``sure`` runs are whole phrases or single checked windows; the others only say which windows were
-    in question and cancel a phrase there. One row for each text with any repeated anchor.
+    Runs are whole phrases (kind 0) or single checked windows (2); those of kind 1 only say which windows
+    were in question and cancel a phrase there. One row for each text with any repeated anchor.
     """
     runs = cut_lineage(index_runs(docs, window, seed))
     repeated = cut_lineage(runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"))
@@ -154,12 +158,10 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     windows = cut_lineage(_edge_windows(docs, bit_filter(value, "value"), window, seed))
     twice = cut_lineage(windows.groupBy("anchor", "fine").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "fine"))
     checked = _only(windows, "fine", bit_filter(twice, "fine")).join(twice, ["anchor", "fine"], "left_semi")
-    parts = (
-        candidates.select("key", "first", "n", F.lit(0).alias("kind"))
-        .unionByName(edges.select("key", "first", "n", F.lit(1).alias("kind")))
-        .unionByName(checked.select("key", F.col("place").alias("first"), F.lit(1).alias("n"), F.lit(2).alias("kind")))
-    )
-    return cut_lineage(parts.groupBy("key").agg(F.collect_set(F.struct("kind", "first", "n")).alias("runs")))
+    coded = lambda df, first, n, kind: df.selectExpr("key", f"shiftleft(bigint({first}), 33) | shiftleft(bigint({n}), 2) | bigint({kind}) as run")
+    parts = coded(candidates, "first", "n", 0).unionByName(coded(edges, "first", "n", 1)).unionByName(coded(checked, "place", 1, 2))
+    # a set of longs takes a fraction of what a set of rows does, and sets are kept outside Spark's bookkeeping
+    return cut_lineage(parts.groupBy("key").agg(F.collect_set("run").alias("runs")))
 
 
 def _value_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +170,15 @@ def _value_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(_run_value(half, batch["first"].to_numpy().astype(np.int64)).view(np.int64))], ["value"])
 
 
-def removed_words(n: int, runs, window: int) -> np.ndarray:
+def removed_words(n: int, runs: np.ndarray, window: int) -> np.ndarray:
     """Which of ``n`` words lie in a duplicate window: phrases, without the edges, with the checked windows."""
     starts = np.zeros(n, dtype=bool)
-    for kind, value in ((0, True), (1, False), (2, True)):
-        for first, size in ((f, s) for k, f, s in runs if k == kind):
-            starts[first : first + size] = value
+    first, size, kind = (runs >> U64(33)).astype(np.int64), (runs >> U64(2) & U64(0x7FFFFFFF)).astype(np.int64), runs & U64(3)
+    for which, value in ((0, True), (1, False), (2, True)):
+        of, change = kind == U64(which), np.zeros(n + 1, dtype=np.int32)
+        np.add.at(change, first[of], 1)
+        np.add.at(change, first[of] + size[of], -1)
+        starts[np.cumsum(change[:-1]) > 0] = value
     return covered(np.flatnonzero(starts), window, n)
 
 
@@ -215,10 +220,10 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, seed: int = SEED, t
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
             out = {name: [] for name in added}
-            for packed, null, runs in zip(batch["_equipoise_packed"], batch["_equipoise_null"].to_pylist(), batch["_equipoise_runs"].to_pylist(), strict=True):
+            for packed, null, runs in zip(batch["_equipoise_packed"], batch["_equipoise_null"].to_pylist(), batch["_equipoise_runs"], strict=True):
                 text = expand(packed.as_py())
                 words = text.split()
-                gone = removed_words(len(words), [(r["kind"], r["first"], r["n"]) for r in runs or ()], window)
+                gone = removed_words(len(words), runs.values.to_numpy().view(U64), window) if runs.is_valid else np.zeros(len(words), dtype=bool)
                 left = np.flatnonzero(~gone).tolist()
                 kept = b" ".join([words[i] for i in left])
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))

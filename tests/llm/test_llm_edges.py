@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -110,6 +111,25 @@ def components(rows, percent=85):
     return [(r["doc_id"], len(sets[i]), least.get(root(i)), r["doc_id"] is not None and r["doc_id"] == least.get(root(i))) for i, r in enumerate(rows)]
 
 
+def test_substrings_small_batches(spark, monkeypatch):
+    """What single windows and runs take on their way is bounded: batches of so many rows, a long a run."""
+    handed = []
+
+    def looked_at(df, function, schema):
+        if "fine long" in schema:
+            batch = pa.RecordBatch.from_pydict({"text": [words(8, 40_000)]})
+            handed.extend(part.num_rows for part in function(iter([batch])))
+        return original(df, function, schema)
+
+    original = substrings.map_arrow
+    monkeypatch.setattr(substrings, "map_arrow", looked_at)
+    monkeypatch.setattr(substrings, "passing", lambda values, filter_words: np.ones(len(values), dtype=bool))
+    docs = spark.createDataFrame([(words(9, 50) + " " + PASSAGE,), (words(10, 50) + " " + PASSAGE,)], "text string")
+    found = substrings.duplicate_windows(docs)
+    assert dict(found.dtypes)["runs"] == "array<bigint>"
+    assert sum(handed) == 40_000 - 34 and max(handed) <= 1 << 15
+
+
 def test_near_duplicates(docs, empty):
     rows = docs.collect()
     assert plain(neardup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(components(rows), key=str)
