@@ -1,14 +1,15 @@
 """Scan of a SQL-text corpus for dialect constructs.
 
 The corpus is a table (path, context, text). All work is per text, inside the JVM and without a
-shuffle: comments and literals are blanked at equal length so offsets still point into the
+grouping: comments and literals are blanked at equal length so offsets still point into the
 original, one pass lists the functions a text calls, and only texts with a match pay for positions.
-The alias hints are the exception: lines and names of a text meet in a join.
+Before that, texts are dealt out evenly. Alias hints join lines and names of a text, but only those
+lines that begin a block, name something or use a name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,15 @@ def mask_templates(text: Column) -> Column:
     return F.array_join(F.transform(_segments(plain, _TEMPLATES, "{"), inside), "")
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly: a file of few row groups would otherwise keep all but a few tasks idle.
+
+    Rows go round, so neither a long file nor a path that repeats weighs on one task. Looking through a
+    text takes far longer than sending it once.
+    """
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: Numbers that are summed one by one; whole blocks before them come as one sum.
 _BLOCK = 256
 
@@ -86,34 +96,42 @@ def _with_running(df: DataFrame, **sums: str) -> DataFrame:
     return df.withColumns({new: running(new, name) for new, name in sums.items()})
 
 
-def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, **arrays: Column) -> DataFrame:
+def located(df: DataFrame, haystack: Column, pattern: Column, *kept: str, shown: Callable | None = None, **arrays: Column) -> DataFrame:
     """One row per match of ``pattern``: ``start`` (0-based), ``line`` (1-based), ``size``.
 
-    ``kept`` columns pass through; ``arrays`` are extra per-match arrays. The text is cut before
-    every match, and running sums of the pieces' lengths and line breaks place the matches; each
-    step is a column of its own, so nothing is computed per match.
+    ``kept`` columns pass through; ``arrays`` are extra per-match arrays. ``shown`` makes a further column
+    of start and size; it is None where a match does not count. It may read columns that are not kept, so
+    long texts are not copied for each match. One pass marks both ends of every match and the text is cut
+    there; running sums of the pieces' lengths and line breaks place the matches; each step is a column of
+    its own, so nothing is computed per match.
     """
-    cut = df.select(
-        *kept, haystack.alias("_hay"), pattern.alias("_pattern"),
-    ).withColumns(
-        {
-            "_found": F.regexp_extract_all("_hay", F.col("_pattern"), F.lit(0)),
-            "_pieces": F.split(F.regexp_replace("_hay", F.col("_pattern"), F.lit(f"{_MARK}$0")), _MARK, -1),
-            **{f"_{n}": a for n, a in arrays.items()},
-        }
+    read = [c for c in df.columns if shown is not None or c in kept]
+    cut = df.select(*read, haystack.alias("_hay"), pattern.alias("_pattern")).withColumns(
+        {"_pieces": F.split(F.regexp_replace("_hay", F.col("_pattern"), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1), **{f"_{n}": a for n, a in arrays.items()}}
     )
-    lengths = cut.select(
-        *kept,
-        F.transform("_found", F.length).alias("_sizes"),
-        F.transform("_pieces", F.length).alias("_lengths"),
-        F.transform("_pieces", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("_lines"),
-        *[F.col(f"_{n}") for n in arrays],
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    # pieces are text, match, text, match, ..., text
+    measures = cut.select(
+        *read, *[F.col(f"_{n}") for n in arrays], F.transform("_pieces", F.length).alias("_each"), F.transform("_pieces", breaks).alias("_each_breaks"),
+    )
+    count = F.floor(F.size("_each") / 2).cast("int")
+    matches = F.slice(F.sequence(F.lit(0), count), F.lit(1), count)
+    # from a match's begin (or the text's) to the next one's
+    stretch = lambda name: F.concat(F.slice(name, 1, 1), F.transform(matches, lambda k: F.get(name, 2 * k + 1) + F.get(name, 2 * k + 2)))
+    lengths = measures.select(
+        *read, *[F.col(f"_{n}") for n in arrays],
+        F.transform(matches, lambda k: F.get("_each", 2 * k + 1)).alias("_size"), stretch("_each").alias("_lengths"), stretch("_each_breaks").alias("_lines"),
     )
     measured = _with_running(lengths, _starts="_lengths", _breaks="_lines")
-    nth = lambda c: F.slice(c, F.lit(2), F.size("_sizes"))
-    zipped = F.arrays_zip(nth("_starts"), nth("_breaks"), F.col("_sizes"), *[F.col(f"_{n}") for n in arrays])
-    fields = ["start", "breaks", "size", *arrays]
-    rows = measured.select(*kept, F.inline(zipped)).toDF(*kept, *fields)
+    nth = lambda c: F.slice(c, F.lit(2), F.size("_size"))
+    fields = ["_start", "_break", "_size", *[f"_{n}" for n in arrays]]
+    zipped = F.arrays_zip(*fields)
+    placed = measured.select(*read, "_size", *[F.col(f"_{n}") for n in arrays], nth("_starts").alias("_start"), nth("_breaks").alias("_break"))
+    names = ["start", "breaks", "size", *arrays]
+    if shown is not None:
+        with_shown = lambda m: F.struct(*[m[f].alias(n) for f, n in zip(fields, names, strict=True)], shown(m["_start"], m["_size"]).alias("shown"))
+        zipped, names = F.filter(F.transform(zipped, with_shown), lambda m: m["shown"].isNotNull()), [*names, "shown"]
+    rows = placed.select(*kept, F.inline(zipped)).toDF(*kept, *names)
     return rows.withColumn("line", F.col("breaks") + 1).drop("breaks")
 
 
@@ -157,7 +175,7 @@ def _scan_context(texts: DataFrame, context: str, constructs: Collection[str] |
     kinds = {context, "sql"} if context == "proc" else {context}
     rules = [(i, r) for i, r in enumerate(RULES) if r.text_kind in kinds and (constructs is None or r.name in constructs)]
     sql = context != "yaml"
-    prepared = texts.select(
+    prepared = spread(texts).select(
         "path", "text", (mask_sql(F.col("text")) if sql else F.translate("text", _MARK, " ")).alias("code")
     )
     # One pass lists the functions a text calls; a rule made of names is then a set lookup.
@@ -179,15 +197,20 @@ def _scan_context(texts: DataFrame, context: str, constructs: Collection[str] |
     haystack = F.when(F.col("r.keep"), mask_sql(F.col("text"), keep_strings=True)).otherwise(F.col("code"))
     placed = pairs.withColumn("r", F.get(table, F.col("rule_no")))
     if sql:
-        placed = placed.withColumn("template", F.when(F.col("r.skip"), mask_templates(F.col("text"))))
+        opened = F.col("text").contains("{{") | F.col("text").contains("{%")
+        placed = placed.withColumn("template", F.when(F.col("r.skip") & opened, mask_templates(F.col("text"))))
     else:
         placed = placed.withColumn("template", F.lit(None).cast("string"))
-    hits = located(placed, haystack, F.col("r.pattern"), "path", "text", "template", "r")
-    in_template = F.substring(F.col("template"), F.col("start") + 1, F.lit(1)) == _TEMPLATE
-    shown = F.trim(F.regexp_replace(F.substring(F.col("text"), F.col("start") + 1, F.col("size")), r"(?U)\s+", " "))
-    return hits.where(~F.coalesce(in_template, F.lit(False))).select(
+
+    def matched(start: Column, size: Column) -> Column:
+        in_template = F.substring(F.col("template"), start + 1, F.lit(1)) == _TEMPLATE
+        text = F.trim(F.regexp_replace(F.substring(F.col("text"), start + 1, size), r"(?U)\s+", " "))
+        return F.when(~F.coalesce(in_template, F.lit(False)), text)
+
+    hits = located(placed, haystack, F.col("r.pattern"), "path", "r", shown=matched)
+    return hits.select(
         "path", F.col("r.rule").alias("rule"), F.col("r.construct").alias("construct"), F.col("r.class").alias("class"),
-        F.col("r.counts").alias("counts"), F.col("line").alias("line_no"), shown.alias("matched"),
+        F.col("r.counts").alias("counts"), F.col("line").alias("line_no"), F.col("shown").alias("matched"),
     )
 
 

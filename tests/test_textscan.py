@@ -142,3 +142,14 @@ def test_every_construct_is_planted():
 
     found = {hit.rsplit(" ", 1)[0] for _, _, hits in PLANTED for hit in hits}
     assert found == {r.name for r in rules.RULES} and len(rules.RULES) == 62 and sum(not hits for _, _, hits in PLANTED) > 5
+
+
+def test_one_file_is_dealt_out(spark):
+    """A corpus in one partition is scanned by as many tasks as a shuffle has; positions are those of the text."""
+    text = "select nvl(a, b)\nfrom t where {{ a / b }} > 1 and c / d > nvl(e, 1)"
+    corpus = spark.createDataFrame([(f"p{i}", "sql", text) for i in range(64)], "path string, context string, text string").coalesce(1)
+    assert textscan.spread(corpus).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hits = textscan.scan(corpus, ["NVL family", "division"])
+    assert "RoundRobinPartitioning" in hits._jdf.queryExecution().optimizedPlan().toString() or "RoundRobinPartitioning" in hits._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in hits.where("path = 'p7'").select("construct", "line_no", "matched").collect()}
+    assert found == {("NVL family", 1, "nvl("), ("NVL family", 2, "nvl("), ("division", 2, "/")}
