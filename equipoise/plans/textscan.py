@@ -223,18 +223,32 @@ def alias_shadow(corpus: DataFrame) -> DataFrame:
     Candidates to read, not defects.
     """
     alias = r"[^a-z0-9_]as[ \t]+([a-z_][a-z0-9_]*)"
-    lines = F.split(F.lower(mask_sql(F.col("text"))), r"\r?\n", -1)
+    word = r"(?<![a-z0-9_.])([a-z_][a-z0-9_]*+)(?![a-z0-9_.(])"
+    # fixed text that every match holds is looked for first, which is many times faster than the patterns
+    can_name = lambda line: line.contains("as ") | line.contains("as\t")
+    names_in = lambda line: F.filter(F.regexp_extract_all(line, F.lit(alias), F.lit(1)), lambda a: ~a.isin(*TYPE_NAMES))
+    known_in = lambda line: F.when(can_name(line), names_in(line)).otherwise(F.expr("cast(array() as array<string>)"))
     # texts are told apart by a number, since paths may repeat
-    numbered = corpus.select("path", lines.alias("lines")).withColumn("text_no", F.monotonically_increasing_id())
-    rows = numbered.select("path", "text_no", F.posexplode("lines").alias("at", "line"))
-    begins = F.col("line").rlike(r"(^|[^a-z0-9_])select([^a-z0-9_]|$)").cast("int")
+    lines = spread(corpus.select("path", "text")).select("path", F.split(F.lower(mask_sql(F.col("text"))), r"\r?\n", -1).alias("lines"))
+    named = lines.withColumn("known", F.transform("lines", known_in)).withColumn("text_no", F.monotonically_increasing_id())
+    numbered = named.withColumn("names", F.array_distinct(F.flatten("known")))
+
+    def looked_at(line: Column, at: Column) -> Column:
+        rest = F.when(can_name(line), F.regexp_replace(line, alias, " ")).otherwise(line)
+        used = F.array_intersect(F.regexp_extract_all(rest, F.lit(word), F.lit(1)), F.col("names"))
+        begins = (line.contains("select") & line.rlike(r"(^|[^a-z0-9_])select([^a-z0-9_]|$)")).cast("int")
+        return F.struct(at.alias("at"), begins.alias("begins"), F.get("known", at).alias("known"), used.alias("used"))
+
+    # only lines that begin a block, name something or use a name of the text go on
+    seen = F.filter(F.transform("lines", looked_at), lambda m: (m["begins"] > 0) | (F.size(m["known"]) > 0) | (F.size(m["used"]) > 0))
+    # a text without an alias has nothing to find; said here, since a filter would be moved ahead of the masking and of spread
+    found = F.inline(F.when(F.size("names") > 0, seen))
+    # stored, since two sides read it and the numbers of texts have to be the same for both
+    stored = cut_lineage(numbered.select("path", "text_no", found))
     order = Window.partitionBy("text_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = rows.select("path", "text_no", "at", "line", F.sum(begins).over(order).alias("block"))
-    named = blocks.select("text_no", "block", "at", F.explode(F.regexp_extract_all("line", F.lit(alias), F.lit(1))).alias("alias"))
-    known = named.where(~F.col("alias").isin(*TYPE_NAMES)).groupBy("text_no", "block", "alias").agg(F.min("at").alias("since"))
-    word = r"(?<![a-z0-9_.])([a-z_][a-z0-9_]*+)(?![a-z0-9_.(])"
-    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("line", alias, " "), F.lit(word), F.lit(1)))
-    used = blocks.select("path", "text_no", "block", "at", F.explode(words).alias("alias"))
+    blocks = stored.withColumn("block", F.sum("begins").over(order))
+    known = blocks.select("text_no", "block", "at", F.explode("known").alias("alias")).groupBy("text_no", "block", "alias").agg(F.min("at").alias("since"))
+    used = blocks.select("path", "text_no", "block", "at", F.explode("used").alias("alias"))
     return used.join(known, ["text_no", "block", "alias"]).where("at > since").select("path", (F.col("at") + 1).alias("line_no"), "alias")
 
 

@@ -153,3 +153,14 @@ def test_one_file_is_dealt_out(spark):
     assert "RoundRobinPartitioning" in hits._jdf.queryExecution().optimizedPlan().toString() or "RoundRobinPartitioning" in hits._jdf.queryExecution().executedPlan().toString()
     found = {tuple(r) for r in hits.where("path = 'p7'").select("construct", "line_no", "matched").collect()}
     assert found == {("NVL family", 1, "nvl("), ("NVL family", 2, "nvl("), ("division", 2, "/")}
+
+
+def test_alias_shadow_keeps_few_lines(spark, monkeypatch):
+    """Lines that name nothing, use no alias and begin no select list go no further than their text."""
+    stored, original = [], textscan.cut_lineage
+    monkeypatch.setattr(textscan, "cut_lineage", lambda df: stored.append(original(df)) or stored[-1])
+    idle = "\n".join(f"plain words {i}" for i in range(500))
+    rows = [("a", f"select x as y,\n{idle}\n y + 1 as z\nselect y"), ("b", idle + "\nselect y\n"), ("c", None)]
+    found = textscan.alias_shadow(spark.createDataFrame(rows, "path string, text string"))
+    assert [tuple(r) for r in found.collect()] == [("a", 502, "y")]
+    assert [df.count() for df in stored] == [3]
