@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ BUCKETS = 1 << 12
 SAMPLE = 2000
 #: A document stays if its calibrated probability of good quality is at least this.
 THRESHOLD = 0.5
+#: Buckets whose column of the sample is dense on the driver at once.
+COLUMNS = 1 << 9
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 #: Share of the sample that is kept from the fit to calibrate its scores, and the strength of the penalty.
@@ -109,19 +112,25 @@ def _scores(weights: np.ndarray, arrays) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Ridge logistic regression by Newton steps in the space of the rows (there are few)."""
-    gram = x @ x.T + 1e-9 * np.eye(len(x))
-    a = np.zeros(len(x))
+def _logistic(gram: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge logistic regression by Newton steps in the space of the rows (there are few): the factor of each row.
+
+    ``gram`` has the products of all rows; its diagonal is changed.
+    """
+    diagonal = slice(None, None, len(y) + 1)
+    gram.flat[diagonal] += 1e-9
+    a = np.zeros(len(y))
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(gram @ a, -30, 30)))
         r = np.maximum(p * (1 - p), 1e-6)
         target = gram @ a + (y - p) / r
-        new = np.linalg.solve(gram + penalty * np.diag(1 / r), target)
+        system = gram.copy()
+        system.flat[diagonal] += penalty * (1 / r)
+        new = np.linalg.solve(system, target)
         step, a = np.abs(new - a).max(), new
         if step < 1e-8:
             break
-    return x.T @ a
+    return a
 
 
 def _platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -175,21 +184,45 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     return one.select("doc_id", "row.*")
 
 
+def _columns(row: np.ndarray, bucket: np.ndarray, share: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The matrix of ``n`` texts by buckets, COLUMNS of it at a time; all of it is never dense at once."""
+    for start in range(0, 2 * BUCKETS, COLUMNS):
+        own = np.flatnonzero((bucket >= start) & (bucket < start + COLUMNS))
+        x = np.zeros((n, COLUMNS), dtype=np.float32)
+        x[row[own], bucket[own] - start] = SCALE * share[own]
+        yield slice(start, start + COLUMNS), x
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the sample and calibrate on its held-out part; without both labels every text has odds 1."""
-    rows = sorted(sample_rows(docs, labels, sample).collect(), key=lambda r: r["doc_id"])
-    x = np.zeros((len(rows), 2 * BUCKETS), dtype=np.float32)
-    for i, row in enumerate(rows):
-        x[i, row["bucket"]] = SCALE * np.asarray(row["share"], dtype=np.float32)
-    y = np.array([r["quality"] for r in rows], dtype=np.float64)
-    held = np.array([mixed(np.array([r["doc_id"] & (2**63 - 1)], dtype=U64))[0] % U64(1000) < U64(int(1000 * HELD_OUT)) for r in rows], dtype=bool)
+    """Fit on the sample and calibrate on its held-out part; without both labels every text has odds 1.
+
+    The driver holds the sample's counts as they come from Arrow and the products of its rows; with
+    ``SAMPLE`` rows that is a fraction of the dense matrix.
+    """
+    rows = sample_rows(docs, labels, sample).toArrow()
+    ids, n = rows["doc_id"].to_numpy(), rows.num_rows
+    order = np.argsort(ids)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    y = rows["quality"].to_numpy()[order].astype(np.float64)
+    held = mixed((ids[order] & (2**63 - 1)).astype(U64)) % U64(1000) < U64(int(1000 * HELD_OUT))
     if len({*y[~held]}) < 2:
         return Model(np.zeros(2 * BUCKETS), 1.0, 0.0)
-    mean = x[~held].mean(axis=0)
-    weights = _logistic((x[~held] - mean).astype(np.float64), y[~held], PENALTY)
+    counts = np.repeat(place, pc.list_value_length(rows["bucket"]).to_numpy()), pc.list_flatten(rows["bucket"]).to_numpy(), pc.list_flatten(rows["share"]).to_numpy()
+    del rows
+    centred = lambda x: (x[~held] - x[~held].mean(axis=0)).astype(np.float64)
+    gram = np.zeros((int((~held).sum()),) * 2)
+    for _, x in _columns(*counts, n):
+        part = centred(x)
+        gram += part @ part.T
+    factors = _logistic(gram, y[~held], PENALTY)
+    del gram
     fit = held if len({*y[held]}) == 2 else ~held
-    slope, offset = _platt(x[fit].astype(np.float64) @ weights, y[fit])
-    return Model(weights, slope, offset)
+    weights, scores = np.empty(2 * BUCKETS), np.zeros(int(fit.sum()))
+    for own, x in _columns(*counts, n):
+        weights[own] = centred(x).T @ factors
+        scores += x[fit].astype(np.float64) @ weights[own]
+    return Model(weights, *_platt(scores, y[fit]))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:

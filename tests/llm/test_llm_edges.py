@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -401,6 +402,37 @@ def test_quality_base(spark, docs, empty):
     assert quality.score_documents(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_training_is_small_on_the_driver(spark):
+    """A full sample: the model is that of the dense matrix, which is never made whole, and counts are no Python objects."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array(words(11, 3000).split())
+    rows = [(i, " ".join(rng.choice(vocabulary[(i % 2) * 500 :][:2500], 500))) for i in range(-5, quality.SAMPLE - 5)]
+    rows += [(-5, ""), (1, "another text of a used id"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    model = quality.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+
+    sampled = sorted(quality.sample_rows(docs, labels).collect(), key=lambda r: r["doc_id"])
+    x, y = np.zeros((len(sampled), 2 * quality.BUCKETS), dtype=np.float32), np.array([r["quality"] for r in sampled], dtype=np.float64)
+    for i, r in enumerate(sampled):
+        x[i, r["bucket"]] = quality.SCALE * np.asarray(r["share"], dtype=np.float32)
+    held = quality.mixed(np.array([r["doc_id"] & (2**63 - 1) for r in sampled], dtype=np.uint64)) % np.uint64(1000) < 250
+    centred = (x[~held] - x[~held].mean(axis=0)).astype(np.float64)
+    a = np.zeros(len(centred))
+    gram = centred @ centred.T + 1e-9 * np.eye(len(centred))
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(gram @ a, -30, 30)))
+        r = np.maximum(p * (1 - p), 1e-6)
+        a = np.linalg.solve(gram + quality.PENALTY * np.diag(1 / r), gram @ a + (y[~held] - p) / r)
+    assert len(sampled) == quality.SAMPLE and 0 < held.sum() < len(held)
+    assert np.allclose(model.weights, centred.T @ a, rtol=0, atol=1e-7)
+    assert np.allclose((model.slope, model.offset), quality._platt(x[held].astype(np.float64) @ model.weights, y[held]), rtol=1e-7)
+
+
 def test_edit_aware_counts(spark, docs, empty):
     from pyspark.sql import functions as F
 
